@@ -1,0 +1,145 @@
+"""How the given tables stand in for the record tables.
+
+Each binding has a Spark form and the same thing as SQL, so a query and its check start
+from equal rows. All of them read whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- report texts -------------------------------------------------------------------
+
+REPORT_TEXTS_SQL = """
+report_texts AS (
+  SELECT 'P' || l_suppkey AS patient_id,
+         'P' || l_suppkey || '_' || p_type || '_' || strftime(l_shipdate, '%Y%m%d') || '_o'
+           || l_orderkey || '_' || l_linenumber AS report_id,
+         CASE l_linenumber
+           WHEN 1 THEN 'Name: ' || p_name
+           WHEN 2 THEN 'Name: ' || upper(p_name) || ' 42'
+           WHEN 3 THEN '| Patient | ' || upper(split_part(p_name, ' ', 2)) || ', '
+                       || split_part(p_name, ' ', 1) || ' |'
+           WHEN 4 THEN 'First Name: ' || split_part(p_name, ' ', 1) || chr(10)
+                       || 'Last Name: ' || split_part(p_name, ' ', 2) || ' DOB 01/02/1970'
+           WHEN 5 THEN 'Name:' || chr(10) || p_name
+           WHEN 6 THEN 'Patient - ' || p_name
+           ELSE 'Ordered part ' || p_name END
+         || chr(10) || chr(10) || 'Quantity ' || CAST(l_quantity AS INT) || ' kg '
+         || CAST(p_size AS INT) || ' - ' || CAST(p_size + 20 AS INT)
+         || chr(10) || '| Test | Result | Unit | Reference | Status |'
+         || chr(10) || '|------|--------|------|-----------|--------|'
+         || chr(10) || '| ' || p_brand || ' | ' || CAST(l_quantity AS INT) || ' | mg/dL | '
+         || p_size || '-' || (p_size + 20) || ' | '
+         || CASE WHEN l_returnflag = 'R' THEN 'HIGH' ELSE 'B' END || ' |'
+         || chr(10) || 'Batch ' || l_suppkey AS text
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+)"""
+
+
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One short report per order line: name line, value line, pipe table."""
+    lines = table(spark, sf_dir, "lineitem")
+    parts = table(spark, sf_dir, "part")
+    joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    last = F.split_part("p_name", F.lit(" "), F.lit(2))
+    number = F.col("l_linenumber")
+    head = (
+        F.when(number == 1, F.concat(F.lit("Name: "), "p_name"))
+        .when(number == 2, F.concat(F.lit("Name: "), F.upper("p_name"), F.lit(" 42")))
+        .when(number == 3, F.concat(F.lit("| Patient | "), F.upper(last), F.lit(", "), first, F.lit(" |")))
+        .when(
+            number == 4,
+            F.concat(F.lit("First Name: "), first, F.lit("\nLast Name: "), last, F.lit(" DOB 01/02/1970")),
+        )
+        .when(number == 5, F.concat(F.lit("Name:\n"), "p_name"))
+        .when(number == 6, F.concat(F.lit("Patient - "), "p_name"))
+        .otherwise(F.concat(F.lit("Ordered part "), "p_name"))
+    )
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    low, high = F.col("p_size").cast("string"), (F.col("p_size") + 20).cast("string")
+    status = F.when(F.col("l_returnflag") == "R", "HIGH").otherwise("B")
+    text = F.concat(
+        head, F.lit("\n\nQuantity "), quantity, F.lit(" kg "), low, F.lit(" - "), high,
+        F.lit("\n| Test | Result | Unit | Reference | Status |"),
+        F.lit("\n|------|--------|------|-----------|--------|"),
+        F.lit("\n| "), "p_brand", F.lit(" | "), quantity, F.lit(" | mg/dL | "),
+        low, F.lit("-"), high, F.lit(" | "), status, F.lit(" |"),
+        F.lit("\nBatch "), F.col("l_suppkey").cast("string"),
+    )
+    patient = F.concat(F.lit("P"), F.col("l_suppkey").cast("string"))
+    report = F.concat_ws(
+        "_", patient, "p_type", F.date_format("l_shipdate", "yyyyMMdd"),
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), number.cast("string"),
+    )
+    return joined.select(patient.alias("patient_id"), report.alias("report_id"), text.alias("text"))
+
+
+# The evidence rules restated line by line, for checking.
+EVIDENCE_SQL = REPORT_TEXTS_SQL + r""",
+evidence AS (
+  SELECT patient_id, report_id AS source_report, nm AS raw,
+         array_to_string(list_transform(string_split(nm, ' '),
+           lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS name,
+         confidence
+  FROM (
+    SELECT patient_id, report_id,
+      CASE
+        WHEN regexp_matches(text, '^First Name: ') THEN
+          regexp_extract(text, 'First Name: (\w+)', 1) || ' ' || regexp_extract(text, 'Last Name: (\w+)', 1)
+        WHEN regexp_matches(text, '^\| Patient') THEN
+          regexp_extract(text, '^\| Patient \| (\w+), (\w+)', 2) || ' ' ||
+          regexp_extract(text, '^\| Patient \| (\w+), (\w+)', 1)
+        WHEN regexp_matches(text, '^Patient - ') THEN regexp_extract(text, '^Patient - (\w+ \w+)', 1)
+        WHEN regexp_matches(text, '^Name:') THEN regexp_extract(text, '^Name:\s+(\w+ [A-Za-z]+)', 1)
+      END AS nm,
+      CASE
+        WHEN regexp_matches(text, '^First Name: ') THEN 0.98
+        WHEN regexp_matches(text, '^Name: \w+ \w+ 42') THEN 0.94
+        ELSE 0.93 END::DOUBLE AS confidence
+    FROM report_texts)
+  WHERE nm IS NOT NULL
+)"""
+
+# ---- record tables ------------------------------------------------------------------
+
+PATIENTS_SQL = """
+patients AS (
+  SELECT 'P' || c_custkey AS patient_id, CAST(NULL AS VARCHAR) AS full_name,
+         CAST(NULL AS DATE) AS first_seen, CAST(NULL AS DATE) AS last_seen
+  FROM customer
+)"""
+
+REPORTS_SQL = """
+reports AS (
+  SELECT 'R' || o_orderkey AS report_id, 'P' || o_custkey AS patient_id,
+         o_orderpriority AS test_type, CAST(o_orderdate AS DATE) AS report_date,
+         'in/' || o_orderkey || '.pdf' AS src_path, CAST(NULL AS INT) AS pages
+  FROM orders
+)"""
+
+
+def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("patient_id"),
+        F.lit(None).cast("string").alias("full_name"),
+        F.lit(None).cast("date").alias("first_seen"),
+        F.lit(None).cast("date").alias("last_seen"),
+    )
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("report_id"),
+        F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("patient_id"),
+        F.col("o_orderpriority").alias("test_type"),
+        F.col("o_orderdate").cast("date").alias("report_date"),
+        F.concat(F.lit("in/"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("src_path"),
+        F.lit(None).cast("int").alias("pages"),
+    )

@@ -30,7 +30,7 @@ report_texts AS (
            WHEN 5 THEN 'Name:' || chr(10) || p_name
            WHEN 6 THEN 'Patient - ' || p_name
            ELSE 'Ordered part ' || p_name END
-         || chr(10) || chr(10) || 'Quantity ' || CAST(l_quantity AS INT) || ' kg '
+         || chr(10) || chr(10) || 'Quantity ' || CAST(l_quantity AS INT) || '.5 kg '
          || CAST(p_size AS INT) || ' - ' || CAST(p_size + 20 AS INT)
          || chr(10) || '| Test | Result | Unit | Reference | Status |'
          || chr(10) || '|------|--------|------|-----------|--------|'
@@ -66,7 +66,7 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = F.col("p_size").cast("string"), (F.col("p_size") + 20).cast("string")
     status = F.when(F.col("l_returnflag") == "R", "HIGH").otherwise("B")
     text = F.concat(
-        head, F.lit("\n\nQuantity "), quantity, F.lit(" kg "), low, F.lit(" - "), high,
+        head, F.lit("\n\nQuantity "), quantity, F.lit(".5 kg "), low, F.lit(" - "), high,
         F.lit("\n| Test | Result | Unit | Reference | Status |"),
         F.lit("\n|------|--------|------|-----------|--------|"),
         F.lit("\n| "), "p_brand", F.lit(" | "), quantity, F.lit(" | mg/dL | "),

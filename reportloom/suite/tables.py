@@ -143,3 +143,59 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("in/"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("src_path"),
         F.lit(None).cast("int").alias("pages"),
     )
+
+# ---- usage ledger -------------------------------------------------------------------
+
+_MODELS = (
+    "gpt-4", "gpt-4-turbo", "gpt-4-turbo-preview", "gpt-4o", "gpt-4o-mini", "gpt-3.5-turbo",
+    "gpt-3.5-turbo-16k", "claude-3-opus", "claude-3-sonnet", "claude-3-haiku",
+    "claude-3-5-sonnet", "GPT-4O", "other",
+)
+
+_PRICES_SQL = """
+prices(model, pin, pout) AS (VALUES
+  ('gpt-4', 0.03, 0.06), ('gpt-4-turbo', 0.01, 0.03), ('gpt-4-turbo-preview', 0.01, 0.03),
+  ('gpt-4o', 0.005, 0.015), ('gpt-4o-mini', 0.00015, 0.0006), ('gpt-3.5-turbo', 0.0005, 0.0015),
+  ('gpt-3.5-turbo-16k', 0.003, 0.004), ('claude-3-opus', 0.015, 0.075), ('claude-3-sonnet', 0.003, 0.015),
+  ('claude-3-haiku', 0.00025, 0.00125), ('claude-3-5-sonnet', 0.003, 0.015))"""
+
+USAGE_SQL = f"""{_PRICES_SQL},
+calls AS (
+  SELECT event_id, ts AS timestamp, 'u' || user_id AS user_id,
+         'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, event_type AS operation_type,
+         ([{", ".join(f"'{m}'" for m in _MODELS)}])[CAST(event_id % 13 AS INT) + 1] AS model_name,
+         CAST(regexp_extract(props, '"k": (\\d+)', 1) AS INT) * 10 AS input_tokens,
+         CAST(floor(value) AS INT) AS output_tokens
+  FROM events),
+usage AS (
+  SELECT c.*, input_tokens + output_tokens AS total_tokens,
+         CAST(coalesce(pin, 0.001) AS DECIMAL(10,6)) AS input_price,
+         CAST(coalesce(pout, 0.002) AS DECIMAL(10,6)) AS output_price,
+         CAST(input_tokens::DECIMAL(12,0) * coalesce(pin, 0.001)::DECIMAL(10,6) * 0.001::DECIMAL(4,3) AS DECIMAL(10,6)) AS input_cost,
+         CAST(output_tokens::DECIMAL(12,0) * coalesce(pout, 0.002)::DECIMAL(10,6) * 0.001::DECIMAL(4,3) AS DECIMAL(10,6)) AS output_cost,
+         CAST(input_tokens::DECIMAL(12,0) * coalesce(pin, 0.001)::DECIMAL(10,6) * 0.001::DECIMAL(4,3)
+            + output_tokens::DECIMAL(12,0) * coalesce(pout, 0.002)::DECIMAL(10,6) * 0.001::DECIMAL(4,3) AS DECIMAL(10,6)) AS total_cost
+  FROM calls c LEFT JOIN prices p ON p.model = lower(c.model_name))"""
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model calls: events with a model name and token counts."""
+    events = table(spark, sf_dir, "events")
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    models = F.array(*[F.lit(m) for m in _MODELS])
+    return events.select(
+        "event_id",
+        F.col("ts").alias("timestamp"),
+        user.alias("user_id"),
+        F.concat_ws("-", user, F.date_format("ts", "yyyyMMdd")).alias("session_id"),
+        F.col("event_type").alias("operation_type"),
+        F.get(models, (F.col("event_id") % len(_MODELS)).cast("int")).alias("model_name"),
+        (F.get_json_object("props", "$.k").cast("int") * 10).alias("input_tokens"),
+        F.floor("value").cast("int").alias("output_tokens"),
+    )
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportloom.operators.costs import calculate_cost
+
+    return calculate_cost(calls(spark, sf_dir))

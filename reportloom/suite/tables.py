@@ -199,3 +199,91 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reportloom.operators.costs import calculate_cost
 
     return calculate_cost(calls(spark, sf_dir))
+
+# ---- chat ----------------------------------------------------------------------------
+
+CHAT_SQL = """
+messages AS (
+  SELECT conv_id AS session_id, turn, role, text AS content,
+         strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(turn AS INT)), '%Y-%m-%dT%H:%M:%S') AS created_at
+  FROM conversations),
+sessions AS (
+  SELECT conv_id AS session_id, 'u' || (conv_id % 7) AS user_id,
+         TIMESTAMP '2024-01-01' + to_minutes(CAST(max(turn) AS INT)) AS updated_at
+  FROM conversations GROUP BY conv_id)"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.timestamp_add("MINUTE", F.col("turn"), F.lit("2024-01-01").cast("timestamp"))
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+    )
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    at = F.timestamp_add("MINUTE", F.col("last"), F.lit("2024-01-01").cast("timestamp"))
+    return per.select(
+        F.col("conv_id").alias("session_id"),
+        F.concat(F.lit("u"), (F.col("conv_id") % 7).cast("string")).alias("user_id"),
+        at.alias("updated_at"),
+    )
+
+
+# ---- content items -------------------------------------------------------------------
+
+ITEMS_SQL = r"""
+raw_lines AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n
+  FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM documents)),
+item_lines AS (
+  SELECT doc_id, trim(line, e' \t\r 　') AS line,
+         CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS i
+  FROM raw_lines WHERE trim(line, e' \t\r 　') <> ''),
+items AS (
+  SELECT doc_id, i AS pos, i // 5 AS page_idx,
+         CASE WHEN i % 7 = 3 THEN 'table' WHEN i % 7 = 5 THEN 'image' WHEN i % 11 = 6 THEN 'equation'
+              WHEN i % 13 = 8 THEN NULL ELSE 'text' END AS type,
+         line, CASE WHEN i % 10 = 0 THEN 1 + i % 3 END AS text_level
+  FROM item_lines),
+shown AS (
+  SELECT doc_id, pos, page_idx, type,
+         CASE WHEN coalesce(type, 'text') = 'text' THEN
+                CASE WHEN text_level > 0 THEN repeat('#', text_level) || ' ' || line ELSE line END
+              WHEN type = 'image' THEN '[Image: I' || pos || ', more]'
+              WHEN type = 'table' THEN '[Table: T' || pos || ']' END AS shown
+  FROM items)"""
+
+
+def content_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, items): the lines of a document as a content list."""
+    from reportloom.functions.text import lines_of
+
+    def item(line, i):
+        kind = (
+            F.when(i % 7 == 3, "table").when(i % 7 == 5, "image").when(i % 11 == 6, "equation")
+            .when(i % 13 == 8, F.lit(None)).otherwise("text")
+        )
+        number = i.cast("string")
+        is_text = kind.isNull() | (kind == "text")
+        none = F.lit(None)
+        strings = "array<string>"
+        return F.struct(
+            kind.alias("type"),
+            F.when(is_text, line).alias("text"),
+            F.when(i % 10 == 0, 1 + i % 3).alias("text_level"),
+            F.floor(i / 5).cast("int").alias("page_idx"),
+            F.when(kind == "image", F.concat(F.lit("img/"), number, F.lit(".png"))).alias("img_path"),
+            F.when(kind == "image", F.array(F.concat(F.lit("I"), number), F.lit("more"))).alias("image_caption"),
+            none.cast(strings).alias("image_footnote"),
+            F.when(kind == "table", line).alias("table_body"),
+            F.when(kind == "table", F.array(F.concat(F.lit("T"), number))).alias("table_caption"),
+            none.cast(strings).alias("table_footnote"),
+            F.when(kind == "equation", line).alias("latex"),
+            F.when(kind == "equation", F.lit("LaTeX")).alias("text_format"),
+        )
+
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.transform(lines_of(F.col("text")), item).alias("items")
+    )

@@ -1,0 +1 @@
+"""Writers. The functions here start Spark actions."""

@@ -58,32 +58,19 @@ def insert_content_list(spark, sf_dir):
 
 @query(
     "read_content_list",
-    f"""{_I} SELECT doc_id, pos, coalesce(type, '-') AS type, page_idx, md5(line) AS line_md5,
+    f"""{_I} SELECT doc_id, pos, coalesce(type, '-') AS type, page_idx,
+  CASE WHEN type = 'image' THEN '-' ELSE md5(line) END AS line_md5,
   CASE type WHEN 'image' THEN 'I' || pos || ', more' WHEN 'table' THEN 'T' || pos ELSE '' END AS captions FROM items""",
 )
 def read_content_list(spark, sf_dir):
     as_json = tb.content_lists(spark, sf_dir).select("doc_id", F.to_json("items").alias("json"))
     items = op.content_items(as_json.select("doc_id", ct.parse_content_list(F.col("json")).alias("items")))
     body = F.coalesce("text", "table_body", "latex")
-    line = items.join(
-        _items(spark, sf_dir).where("type = 'image'").select("doc_id", "pos"), ["doc_id", "pos"], "left_anti"
-    )
     captions = F.array_join(F.coalesce("image_caption", "table_caption", F.array().cast("array<string>")), ", ")
-    common = ["doc_id", "pos", F.coalesce("type", F.lit("-")).alias("type"), "page_idx"]
-    images = (
-        items.where("type = 'image'")
-        .select(*common, captions.alias("captions"))
-        .join(_image_lines(spark, sf_dir), ["doc_id", "pos"])
+    return items.select(
+        "doc_id", "pos", F.coalesce("type", F.lit("-")).alias("type"), "page_idx",
+        F.coalesce(F.md5(body), F.lit("-")).alias("line_md5"), captions.alias("captions"),
     )
-    return line.select(*common, captions.alias("captions"), F.md5(body).alias("line_md5")).unionByName(images)
-
-
-def _image_lines(spark, sf_dir):
-    """Images carry no text of their own: their source line comes from the document."""
-    from reportloom.functions.text import lines_of
-
-    lines = tb.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    return lines.select("doc_id", "pos", F.md5("line").alias("line_md5"))
 
 
 @query(

@@ -110,11 +110,13 @@ def vector_top_k(
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hybrid_candidates(local: DataFrame, global_: DataFrame, mode: str = "hybrid", key: str = "id") -> DataFrame:
-    """(key, score) of local (entity) and global (relation) hits; the better score counts."""
+def hybrid_candidates(
+    local: DataFrame, global_: DataFrame, mode: str = "hybrid", keys: tuple[str, ...] = ("id",)
+) -> DataFrame:
+    """(keys, score) of local (entity) and global (relation) hits; the better score counts."""
     parts = {"local": [local], "global": [global_], "hybrid": [local, global_]}[mode]
-    both = reduce(DataFrame.unionByName, [p.select(key, "score") for p in parts])
-    return both.groupBy(key).agg(F.max("score").alias("score"))
+    both = reduce(DataFrame.unionByName, [p.select(*keys, "score") for p in parts])
+    return both.groupBy(*keys).agg(F.max("score").alias("score"))
 
 
 def merge_entities(mentions: DataFrame, name: str = "name", description: str = "description") -> DataFrame:

@@ -179,8 +179,11 @@ usage AS (
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
     """Model calls: events with a model name and token counts."""
-    events = table(spark, sf_dir, "events")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     models = F.array(*[F.lit(m) for m in _MODELS])
     return events.select(

@@ -21,7 +21,10 @@ def separate_content(docs: DataFrame, items: str = "items", keep: tuple[str, ...
 
 def content_items(docs: DataFrame, items: str = "items", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per item: (keep..., pos, item fields...)."""
-    return docs.select(*keep, F.posexplode(items).alias("pos", "_item")).select(*keep, "pos", "_item.*")
+    # Exploding a bare column makes the optimizer add size and null filters on it; where the
+    # list is itself computed, those would compute it again below. A slice hides it.
+    whole = F.slice(items, 1, 2**31 - 1)
+    return docs.select(*keep, F.posexplode(whole).alias("pos", "_item")).select(*keep, "pos", "_item.*")
 
 
 def content_type_distribution(items: DataFrame, multimodal_only: bool = True) -> DataFrame:

@@ -115,26 +115,33 @@ def _table_row(cells: Column, at: Column, table_no: Column, row_no: Column) -> C
     def cell(field: str) -> Column:
         return F.get(cells, at[field] - 1)
 
-    value_cell = cell("value")
-    number = F.regexp_extract(value_cell, rf"^({labs.NUMBER})", 1)
-    rest = F.trim(F.regexp_replace(value_cell, rf"^{labs.NUMBER}", ""))
     tail_range = rf"({labs.NUMBER}\s*-\s*{labs.NUMBER})\s*$"
-    # Some unit and range cells both hold "unit low - high".
-    unit = F.trim(F.regexp_replace(cell("unit"), tail_range, ""))
-    ref = F.regexp_extract(cell("ref"), tail_range, 1)
-    return F.struct(
-        table_no.alias("table_no"),
-        row_no.alias("row_no"),
-        cell("name").alias("analyte"),
-        F.when(number != "", number).otherwise(value_cell).alias("value"),
-        F.when(at["unit"] > 0, unit).when(number != "", rest).otherwise("").alias("unit"),
-        F.when(ref != "", ref).otherwise(F.coalesce(cell("ref"), F.lit(""))).alias("ref_range"),
-        F.coalesce(cell("status"), F.lit("")).alias("status"),
-        F.coalesce(
-            labs.normalize_status(cell("status")),
-            F.when(at["blank_is_normal"] & (cell("status") == ""), "NORMAL"),
-        ).alias("status_code"),
+
+    def row(parts: Column) -> Column:
+        number, ref, status = parts["number"], parts["ref"], cell("status")
+        rest = F.trim(F.substr(cell("value"), F.length(number) + 1))
+        return F.struct(
+            table_no.alias("table_no"),
+            row_no.alias("row_no"),
+            cell("name").alias("analyte"),
+            F.when(number != "", number).otherwise(cell("value")).alias("value"),
+            # Some unit and range cells both hold "unit low - high".
+            F.when(at["unit"] > 0, F.trim(F.regexp_replace(cell("unit"), tail_range, "")))
+            .when(number != "", rest)
+            .otherwise("")
+            .alias("unit"),
+            F.when(ref != "", ref).otherwise(F.coalesce(cell("ref"), F.lit(""))).alias("ref_range"),
+            F.coalesce(status, F.lit("")).alias("status"),
+            F.coalesce(
+                labs.normalize_status(status), F.when(at["blank_is_normal"] & (status == ""), "NORMAL")
+            ).alias("status_code"),
+        )
+
+    found = F.struct(
+        F.regexp_extract(cell("value"), rf"^({labs.NUMBER})", 1).alias("number"),
+        F.regexp_extract(cell("ref"), tail_range, 1).alias("ref"),
     )
+    return tx.bind(found, row)
 
 
 def table_observations(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job needs for the plans in this package to hold at scale. Shuffle partitions
 # are a starting point only: adaptive execution coalesces small ones and splits skewed ones.
@@ -45,3 +45,13 @@ def workspace(spark: SparkSession, name: str = "work") -> str:
             _local_bases[app] = tempfile.mkdtemp(prefix="reportloom-")
         base = _local_bases[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are task slots.
+
+    For rules that cost far more than moving a row (text reading, rendering). A scan that
+    already splits well is left as it is, so large inputs are never shuffled for this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

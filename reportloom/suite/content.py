@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions import content as ct, templates as tm
 from reportloom.operators import content as op, documents as docs
+from reportloom.session import spread
 from reportloom.suite import tables as tb
 from reportloom.suite.registry import query
 
@@ -18,6 +19,10 @@ def _items(spark, sf_dir):
     return op.content_items(tb.content_lists(spark, sf_dir))
 
 
+def _documents(spark, sf_dir):
+    return spread(tb.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _truncated_sql(text: str, n: int) -> str:
     words = rf"regexp_extract_all({text}, '\S+\s*')"
     head = f"array_to_string(({words})[1:{n}], '')"
@@ -165,7 +170,7 @@ def _chunks_sql(source="documents", key="doc_id", split="[text]", size=ct.CHUNK_
 
 @query("chunk_text", f"WITH {_chunks_sql(size=120, overlap=20)} SELECT * FROM chunks")
 def chunk_text(spark, sf_dir):
-    return op.chunk_documents(tb.table(spark, sf_dir, "documents"), size=120, overlap=20)
+    return op.chunk_documents(_documents(spark, sf_dir), size=120, overlap=20)
 
 
 @query(
@@ -173,12 +178,12 @@ def chunk_text(spark, sf_dir):
     f"WITH {_chunks_sql(split='string_split(text, chr(10))', size=40, overlap=10)} SELECT * FROM chunks",
 )
 def chunk_text_by_character(spark, sf_dir):
-    return op.chunk_documents(tb.table(spark, sf_dir, "documents"), split_by="\n", size=40, overlap=10)
+    return op.chunk_documents(_documents(spark, sf_dir), split_by="\n", size=40, overlap=10)
 
 
 @query("chunk_text_default", f"WITH {_chunks_sql()} SELECT doc_id, chunk_index, md5(chunk) AS chunk, n_words FROM chunks")
 def chunk_text_default(spark, sf_dir):
-    return op.chunk_documents(tb.table(spark, sf_dir, "documents")).withColumn("chunk", F.md5("chunk"))
+    return op.chunk_documents(_documents(spark, sf_dir)).withColumn("chunk", F.md5("chunk"))
 
 
 @query(

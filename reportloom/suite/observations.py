@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions import labs
 from reportloom.operators import observations as op
+from reportloom.session import spread
 from reportloom.suite import tables as tb
 from reportloom.suite.registry import query
 
@@ -34,7 +35,7 @@ observations AS (SELECT 'D' || doc_id AS report_id, obs_no, analyte, value, unit
 
 
 def documents(spark, sf_dir):
-    return tb.table(spark, sf_dir, "documents").select(
+    return spread(tb.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("report_id"), "text"
     )
 
@@ -49,7 +50,7 @@ def extract_observations(spark, sf_dir):
     f"""WITH {tb.REPORT_TEXTS_SQL},
 rows AS (
   SELECT report_id, unnest(list_filter([
-      {{'n': 0, 'analyte': 'Quantity', 'value': regexp_extract(text, 'Quantity (\\d+\.5)', 1),
+      {{'n': 0, 'analyte': 'Quantity', 'value': regexp_extract(text, 'Quantity (\\d+[.]5)', 1),
         'unit': 'kg', 'ref_range': regexp_extract(text, 'kg (\\d+ - \\d+)', 1)}},
       {{'n': 1, 'analyte': 'Batch', 'value': regexp_extract(text, 'Batch (\\d+)', 1), 'unit': '', 'ref_range': ''}}
     ], lambda x: x.value <> '')) AS o, text FROM report_texts)
@@ -153,7 +154,8 @@ SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey, 1, 'Supplier', '-'
        CASE WHEN l_returnflag = 'R' THEN 'LOW' END, CAST(-l_suppkey - 1 AS DOUBLE) FROM cards""",
 )
 def card_observations(spark, sf_dir):
-    lines = tb.table(spark, sf_dir, "lineitem")
+    needed = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
+    lines = spread(tb.table(spark, sf_dir, "lineitem").select(*needed))
     q = F.col("l_quantity").cast("int")
     status = F.when(q < 10, "LOW").when(q > 30, "HIGH").otherwise("NORMAL")
     text = F.concat(

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reportloom.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,7 +46,8 @@ report_texts AS (
 
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One short report per order line: name line, value line, pipe table."""
-    lines = table(spark, sf_dir, "lineitem")
+    needed = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate"]
+    lines = spread(table(spark, sf_dir, "lineitem").select(*needed))
     parts = table(spark, sf_dir, "part")
     joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
     first = F.split_part("p_name", F.lit(" "), F.lit(1))
@@ -287,6 +290,6 @@ def content_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(kind == "equation", F.lit("LaTeX")).alias("text_format"),
         )
 
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.transform(lines_of(F.col("text")), item).alias("items")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -48,7 +50,8 @@ def file_stem(path: Column) -> Column:
 def scan_report_files(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
     """(path, name, mtime, size_bytes) of the report files right in a folder.
 
-    Only metadata is selected, so file contents are not read.
+    Only metadata is selected, so file contents are not read. The reader leaves out
+    zero-byte files; ``list_files`` shows them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return files.select(
@@ -81,10 +84,41 @@ def scan_parsed_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _listing(recursive: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        def rows(root: str):
+            store, inside = fs.FileSystem.from_uri(root)
+            info = store.get_file_info(inside)
+            if info.type == fs.FileType.Directory:
+                return store.get_file_info(fs.FileSelector(inside, recursive=recursive))
+            return [info]
+
+        kinds = {fs.FileType.File: "file", fs.FileType.Directory: "folder"}
+        for pdf in batches:
+            for root in pdf["root"]:
+                found = [(i.path, kinds.get(i.type, "missing"), i.size) for i in rows(root)]
+                yield pd.DataFrame(found, columns=["path", "kind", "length"]).astype({"length": "Int64"})
+
+    return run
+
+
 def list_files(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
-    """(path, length) of files and of what is in folders; content is not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(paths).select("path", "length")
+    """(path, kind, length) of files and of what is in folders, empty files included.
+
+    ``kind`` is ``file``, or ``missing`` for a path that does not exist. Tasks do the
+    listing: first the given folders, then each folder inside them on its own.
+    """
+    schema = "path string, kind string, length bigint"
+    roots = spark.createDataFrame([(p,) for p in paths], "root string")
+    top = roots.mapInPandas(_listing(False), schema)
+    if not recursive:
+        return top.where("kind <> 'folder'")
+    folders = top.where("kind = 'folder'").select(F.col("path").alias("root"))
+    spread_out = folders.repartition(spark.sparkContext.defaultParallelism, "root")
+    below = spread_out.mapInPandas(_listing(True), schema)
+    return top.unionByName(below).where("kind <> 'folder'")
 
 
 def supported_extensions(groups: dict = SUFFIX_GROUPS) -> tuple[str, ...]:
@@ -97,6 +131,8 @@ def filter_supported_files(
     """Files with ``suffix`` and ``reject_reason`` (NULL when the suffix is supported)."""
     suffix = suffix_of(F.col(path_col))
     reason = F.when(~suffix.isin(*suffixes), "unsupported file type")
+    if "kind" in files.columns:
+        reason = F.when(F.col("kind") == "missing", "path does not exist").otherwise(reason)
     return files.withColumns({"suffix": suffix, "reject_reason": reason})
 
 

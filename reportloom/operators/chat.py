@@ -154,7 +154,9 @@ def active_sessions(
 ) -> DataFrame:
     """Number of sessions whose cache entry is alive at ``as_of``."""
     since = as_of - dt.timedelta(seconds=ttl_seconds)
-    live = writes.where((F.col(at) > F.lit(since)) & (F.col(at) <= F.lit(as_of)))
+    kind = writes.schema[at].dataType  # literals of the same type push down to the scan
+    after, until = (F.lit(t).cast("timestamp_ntz").cast(kind) for t in (since, as_of))
+    live = writes.where((F.col(at) > after) & (F.col(at) <= until))
     return live.agg(F.count_distinct(session).alias("active_sessions"))
 
 

@@ -36,6 +36,11 @@ def calculate_cost(usage: DataFrame, prices: dict | None = None) -> DataFrame:
     )
 
 
+def _moment(rows: DataFrame, value: dt.datetime, column: str = "timestamp") -> Column:
+    """A literal of the column's own timestamp type, so the comparison reaches the scan."""
+    return F.lit(value).cast("timestamp_ntz").cast(rows.schema[column].dataType)
+
+
 def usage_filter(
     usage: DataFrame,
     user_id: str | None = None,
@@ -53,16 +58,16 @@ def usage_filter(
         if value:
             conditions.append(F.col(column) == value)
     if start_date:
-        conditions.append(F.col("timestamp") >= F.lit(dt.datetime.fromisoformat(start_date)))
+        conditions.append(F.col("timestamp") >= _moment(usage, dt.datetime.fromisoformat(start_date)))
     if end_date:
-        conditions.append(F.col("timestamp") <= F.lit(dt.datetime.fromisoformat(end_date)))
+        conditions.append(F.col("timestamp") <= _moment(usage, dt.datetime.fromisoformat(end_date)))
     return usage.where(reduce(lambda a, b: a & b, conditions)) if conditions else usage
 
 
 def last_n_days(usage: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """Rows from midnight ``days`` before ``as_of`` on."""
     start = dt.datetime.combine(as_of - dt.timedelta(days=days), dt.time())
-    return usage.where(F.col("timestamp") >= F.lit(start))
+    return usage.where(F.col("timestamp") >= _moment(usage, start))
 
 
 def _total(column: str) -> Column:

@@ -47,8 +47,9 @@ def report_for_question(
     untyped = wanted.where("test_type IS NULL").drop("test_type").join(any_type, "patient_id")
     cols = ["question_id", "patient_id", "report_id"]
     chosen = typed.select(*cols).unionByName(untyped.select(*cols))
-    body = texts.select("report_id", ct.truncate_to_words(F.col("text"), max_words).alias("report_text"))
-    return chosen.join(body, "report_id", "left")
+    # Only the chosen reports' texts are cut, not every text before the join.
+    found = chosen.join(texts.select("report_id", "text"), "report_id", "left")
+    return found.withColumn("report_text", ct.truncate_to_words(F.col("text"), max_words)).drop("text")
 
 
 def answer_from_reports(chosen: DataFrame, questions: DataFrame, make_model: Callable) -> DataFrame:

@@ -178,7 +178,7 @@ def card_observations(spark, sf_dir):
 FROM orders""",
 )
 def header_fields(spark, sf_dir):
-    orders = tb.table(spark, sf_dir, "orders")
+    orders = spread(tb.table(spark, sf_dir, "orders"))
     key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     text = F.concat(
         F.lit("## Patient Information\n\n**Patient:** LEE, ANN\nDOB: "), F.date_format("o_orderdate", "MM/dd/yyyy"),

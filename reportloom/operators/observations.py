@@ -16,19 +16,13 @@ MAX_ROWS = 200
 _SEP = "\x1e"
 
 
-def extract_observations(
-    docs: DataFrame,
-    text_col: str = "text",
-    keep: tuple[str, ...] = ("report_id",),
-    max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """(keep..., obs_no, analyte, value, unit, ref_range): first value per short line.
+def observation_rows(text: Column, max_rows: int = MAX_ROWS) -> Column:
+    """Array of (obs_no, analyte, value, unit, ref_range): first value per short line.
 
     ``obs_no`` numbers the rows of a document in text order; at most ``max_rows`` are kept,
     which is part of the rule. Lines over 200 characters are not looked at.
     """
-    text = tx.plain_breaks(F.col(text_col))
-    lines = F.transform(F.split(text, "\n", -1), tx.strip)
+    lines = F.transform(F.split(tx.plain_breaks(text), "\n", -1), tx.strip)
     # Every match holds a blank before a digit; this cheap test spares prose the full rule.
     short = F.filter(lines, lambda s: (F.length(s) <= MAX_LINE) & s.rlike(r"\s-?\d"))
     once = rf"(?s)^.*?{labs.VALUE_ROW}.*$"
@@ -36,7 +30,7 @@ def extract_observations(
         short, lambda s: F.split(F.regexp_replace(s, once, f"$1{_SEP}$2{_SEP}$3{_SEP}$5"), _SEP, -1)
     )
     kept = F.filter(fields, lambda f: (F.size(f) == 4) & ~labs.is_header_word(F.get(f, F.lit(0))))
-    rows = F.transform(
+    return F.transform(
         F.slice(kept, 1, max_rows),
         lambda f, i: F.struct(
             i.alias("obs_no"),
@@ -46,7 +40,16 @@ def extract_observations(
             F.get(f, F.lit(3)).alias("ref_range"),
         ),
     )
-    return docs.select(*keep, F.inline(rows))
+
+
+def extract_observations(
+    docs: DataFrame,
+    text_col: str = "text",
+    keep: tuple[str, ...] = ("report_id",),
+    max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """(keep..., obs_no, analyte, value, unit, ref_range); see ``observation_rows``."""
+    return docs.select(*keep, F.inline(observation_rows(F.col(text_col), max_rows)))
 
 
 def first_rows_per_report(

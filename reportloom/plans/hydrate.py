@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from reportloom.functions import text as tx
 from reportloom.operators import documents, merge, names, observations as obs
 
 
@@ -19,21 +20,41 @@ class Store:
     observations: DataFrame
 
 
-def hydrate(docs: DataFrame, store: Store, strict: bool = True) -> tuple[Store, DataFrame]:
+def read_reports(docs: DataFrame, strict: bool = True) -> DataFrame:
+    """(report_id, patient_id, test_type, report_date, src_path, found, rows): what a report
+    says, from one pass over its text. Ids that do not decompose drop out."""
+    parsed = documents.decompose_report_id(docs, strict=strict)
+    said = F.struct(
+        tx.person_name(F.col("text")).alias("found"), obs.observation_rows(F.col("text")).alias("rows")
+    )
+    keys = ["report_id", "patient_id", "test_type", "report_date", F.col("path").alias("src_path")]
+    return parsed.select(*keys, F.inline(F.array(said)))
+
+
+def hydrate(
+    docs: DataFrame, store: Store, strict: bool = True, stage: str | None = None
+) -> tuple[Store, DataFrame]:
     """New table states and the name index for ``docs`` (report_id, path, text).
 
-    One lineage over the texts; ids that do not decompose drop out. The caller writes each
-    state to a new path. Write the evidence before the patients if the texts are large:
-    both derive from it.
+    The caller writes each state to a new path. With ``stage`` (a path in the shared folder)
+    the rows read from the texts are written there first and everything derives from that
+    table, so the texts are read once for all states and a lost task never re-reads them.
     """
-    parsed = documents.decompose_report_id(docs, strict=strict)
-    keyed = parsed.select("report_id", "patient_id", "test_type", "report_date", F.col("path").alias("src_path"))
+    rows = read_reports(docs, strict)
+    if stage is not None:
+        rows.write.mode("overwrite").parquet(stage)
+        rows = docs.sparkSession.read.parquet(stage)
+    keyed = rows.select("report_id", "patient_id", "test_type", "report_date", "src_path")
     patients = merge.insert_if_absent(store.patients, keyed.select("patient_id"), ["patient_id"])
     reports = merge.upsert_reports(store.reports, keyed, ["src_path"])
-    found = names.name_evidence(parsed)
+    found = rows.where("found IS NOT NULL").select(
+        "patient_id", F.col("report_id").alias("source_report"), "found.name", "found.confidence"
+    )
     evidence = merge.replace_observations(store.name_evidence, found, "source_report")
-    rows = obs.extract_observations(parsed).withColumn("page", F.lit(None).cast("int"))
-    observations = merge.replace_observations(store.observations, rows)
+    seen = rows.select("report_id", F.inline(F.slice("rows", 1, obs.MAX_ROWS)))
+    observations = merge.replace_observations(
+        store.observations, seen.withColumn("page", F.lit(None).cast("int"))
+    )
     named = names.apply_canonical_name(patients, names.canonical_name(evidence))
     state = Store(named, reports, evidence, observations)
     return state, names.first_seen_name(found)

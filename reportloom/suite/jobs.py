@@ -32,9 +32,9 @@ def _store(spark, sf_dir):
     return hy.Store(people, tb.reports(spark, sf_dir), no_evidence, old)
 
 
-def _hydrated(spark, sf_dir):
+def _hydrated(spark, sf_dir, stage=None):
     docs = tb.report_texts(spark, sf_dir).select("report_id", F.concat(F.lit("md/"), "report_id").alias("path"), "text")
-    return hy.hydrate(docs, _store(spark, sf_dir))
+    return hy.hydrate(docs, _store(spark, sf_dir), stage=stage)
 
 
 @query(
@@ -59,6 +59,17 @@ def hydrate_reports(spark, sf_dir):
     return got.withColumn("report_date", F.date_format("report_date", "yyyy-MM-dd"))
 
 
+@query(
+    "hydrate_observations",
+    f"""{obs_suite.REPORT_OBSERVATIONS_SQL}
+UNION ALL SELECT 'R' || o_orderkey, 0, 'old', '1', '', '' FROM orders""",
+)
+def hydrate_observations(spark, sf_dir):
+    """From the staged table: the texts are read once, whatever is derived."""
+    state, _ = _hydrated(spark, sf_dir, workspace(spark, "hydrate"))
+    return state.observations.drop("page")
+
+
 @query(
     "bootstrap_reports",
     """WITH files AS (

@@ -45,9 +45,7 @@ def extract_observations(spark, sf_dir):
     return op.extract_observations(documents(spark, sf_dir))
 
 
-@query(
-    "extract_report_observations",
-    f"""WITH {tb.REPORT_TEXTS_SQL},
+REPORT_OBSERVATIONS_SQL = f"""WITH {tb.REPORT_TEXTS_SQL},
 rows AS (
   SELECT report_id, unnest(list_filter([
       {{'n': 0, 'analyte': 'Quantity', 'value': regexp_extract(text, 'Quantity (\\d+[.]5)', 1),
@@ -63,8 +61,10 @@ SELECT report_id, 0, regexp_extract(text, '^Name: (\\w+ \\w+) 42', 1), '42', '',
 FROM report_texts WHERE regexp_matches(text, '^Name: \\w+ \\w+ 42')
 UNION ALL
 SELECT report_id, 0, regexp_extract(text, 'Last Name: (\\w+ DOB) 01', 1), '01', '/', ''
-FROM report_texts WHERE regexp_matches(text, ' DOB 01')""",
-)
+FROM report_texts WHERE regexp_matches(text, ' DOB 01')"""
+
+
+@query("extract_report_observations", REPORT_OBSERVATIONS_SQL)
 def extract_report_observations(spark, sf_dir):
     return op.extract_observations(tb.report_texts(spark, sf_dir))
 

@@ -132,8 +132,13 @@ def resolve_patient_name(
         "_key", "patient_id", F.lit(0).alias("distance")
     )
     rest = keys.join(known, F.col("_key") == F.col("known_key"), "left_anti")
-    left = rest.select("_key", F.explode(deletion_keys(F.col("_key"))).alias("_h"))
-    right = known.select("known_key", "patient_id", F.explode(deletion_keys(F.col("known_key"))).alias("_h"))
+    # A name becomes some hundred hashes. Adaptive execution would merge the names, few bytes
+    # as they are, into one task for that; a fixed number of partitions keeps it spread.
+    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = rest.repartition(tasks, "_key").select("_key", F.explode(deletion_keys(F.col("_key"))).alias("_h"))
+    right = known.repartition(tasks, "known_key").select(
+        "known_key", "patient_id", F.explode(deletion_keys(F.col("known_key"))).alias("_h")
+    )
     distance = F.levenshtein("_key", "known_key", max_distance)
     near = (
         left.join(right, "_h")

@@ -241,6 +241,48 @@ def card_observations(
     return rows.withColumn("value_num", F.col("value").try_cast("double"))
 
 
+def bar_observations(
+    docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("report_id",)
+) -> DataFrame:
+    """Values of reports whose cells stand one per line, without a table or ``Ref:`` lines.
+
+    Either value by value (name, number, unit, status) or column by column (all names, all
+    numbers, all units, all statuses). Statuses belong to the values in order if there are
+    as many of them, else they are NULL.
+    """
+    lines = F.filter(
+        F.transform(F.split(tx.plain_breaks(F.col(text_col)), "\n", -1), tx.strip),
+        lambda s: (s != "") & ~F.startswith(s, F.lit("#")) & ~F.startswith(s, F.lit("![")),
+    )
+
+    def read(ln: Column) -> Column:
+        statuses = F.filter(ln, lambda s: s.rlike(_STATUS_LINE))
+        places = F.filter(
+            F.transform(ln, lambda s, i: F.when(s.rlike(rf"^{labs.NUMBER}$"), i)), lambda i: i.isNotNull()
+        )
+
+        def rows(at: Column) -> Column:
+            k, first = F.size(at), F.get(at, F.lit(0))
+            by_column = (k > 1) & (F.get(at, k - 1) - first == k - 1)
+            return F.transform(
+                at,
+                lambda i, j: F.struct(
+                    j.alias("row_no"),
+                    F.get(ln, F.when(by_column, first - k + j).otherwise(i - 1)).alias("analyte"),
+                    F.get(ln, i).alias("value"),
+                    F.get(ln, F.when(by_column, first + k + j).otherwise(i + 1)).alias("unit"),
+                    F.when(F.size(statuses) == k, F.upper(F.get(statuses, j))).alias("status"),
+                ),
+            )
+
+        other = F.exists(ln, lambda s: F.startswith(s, F.lit("|")) | s.rlike(_REF_LINE))
+        return F.when(~other, tx.bind(places, rows))
+
+    found = docs.select(*keep, F.inline(tx.bind(lines, read))).where("analyte IS NOT NULL")
+    unit = F.when(F.col("unit").rlike(_STATUS_LINE), "").otherwise(F.coalesce("unit", F.lit("")))
+    return found.withColumns({"unit": unit, "value_num": F.col("value").try_cast("double")})
+
+
 _DATE = r"(\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}|[A-Z][a-z]+ \d{1,2}, \d{4})"
 # Labels in report headers.
 HEADER_LABELS = {

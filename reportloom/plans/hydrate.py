@@ -20,15 +20,16 @@ class Store:
     observations: DataFrame
 
 
-def read_reports(docs: DataFrame, strict: bool = True) -> DataFrame:
-    """(report_id, patient_id, test_type, report_date, src_path, found, rows): what a report
-    says, from one pass over its text. Ids that do not decompose drop out."""
-    parsed = documents.decompose_report_id(docs, strict=strict)
+_KEYS = ["report_id", "patient_id", "test_type", "report_date", "src_path"]
+
+
+def stage_reports(parsed: DataFrame, path: str) -> DataFrame:
+    """Write what each report says (keys, name, value rows) in one pass; read it back."""
     said = F.struct(
         tx.person_name(F.col("text")).alias("found"), obs.observation_rows(F.col("text")).alias("rows")
     )
-    keys = ["report_id", "patient_id", "test_type", "report_date", F.col("path").alias("src_path")]
-    return parsed.select(*keys, F.inline(F.array(said)))
+    parsed.select(*_KEYS, F.inline(F.array(said))).write.mode("overwrite").parquet(path)
+    return parsed.sparkSession.read.parquet(path)
 
 
 def hydrate(
@@ -36,22 +37,26 @@ def hydrate(
 ) -> tuple[Store, DataFrame]:
     """New table states and the name index for ``docs`` (report_id, path, text).
 
-    The caller writes each state to a new path. With ``stage`` (a path in the shared folder)
-    the rows read from the texts are written there first and everything derives from that
-    table, so the texts are read once for all states and a lost task never re-reads them.
+    The caller writes each state to a new path. To write several, give ``stage`` (a path in
+    the shared folder): the rows read from the texts are written there first, so the texts
+    are read once for all states and a lost task never re-reads them. Without it each state
+    reads from the texts just what it needs.
     """
-    rows = read_reports(docs, strict)
-    if stage is not None:
-        rows.write.mode("overwrite").parquet(stage)
-        rows = docs.sparkSession.read.parquet(stage)
-    keyed = rows.select("report_id", "patient_id", "test_type", "report_date", "src_path")
+    parsed = documents.decompose_report_id(docs, strict=strict).withColumn("src_path", F.col("path"))
+    if stage is None:
+        keyed = parsed.select(*_KEYS)
+        found = names.name_evidence(parsed)
+        seen = obs.extract_observations(parsed)
+    else:
+        rows = stage_reports(parsed, stage)
+        keyed = rows.select(*_KEYS)
+        found = rows.where("found IS NOT NULL").select(
+            "patient_id", F.col("report_id").alias("source_report"), "found.name", "found.confidence"
+        )
+        seen = rows.select("report_id", F.inline(F.slice("rows", 1, obs.MAX_ROWS)))
     patients = merge.insert_if_absent(store.patients, keyed.select("patient_id"), ["patient_id"])
     reports = merge.upsert_reports(store.reports, keyed, ["src_path"])
-    found = rows.where("found IS NOT NULL").select(
-        "patient_id", F.col("report_id").alias("source_report"), "found.name", "found.confidence"
-    )
     evidence = merge.replace_observations(store.name_evidence, found, "source_report")
-    seen = rows.select("report_id", F.inline(F.slice("rows", 1, obs.MAX_ROWS)))
     observations = merge.replace_observations(
         store.observations, seen.withColumn("page", F.lit(None).cast("int"))
     )

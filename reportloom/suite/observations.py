@@ -168,6 +168,26 @@ def card_observations(spark, sf_dir):
     return op.card_observations(lines.select(report.alias("report_id"), text.alias("text")))
 
 
+@query(
+    "bar_observations",
+    """SELECT 'R' || o_orderkey AS report_id, 0 AS row_no, 'Iron' AS analyte, CAST(o_custkey AS VARCHAR) AS value, 'ug/dL' AS unit,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'HIGH' ELSE '-' END AS status, CAST(o_custkey AS DOUBLE) AS value_num FROM orders
+UNION ALL SELECT 'R' || o_orderkey, 1, 'Vitamin D, 25', '-' || (o_orderkey + 1), 'ng/mL',
+       CASE WHEN o_orderkey % 3 = 0 THEN 'NORMAL' ELSE '-' END, CAST(-o_orderkey - 1 AS DOUBLE) FROM orders""",
+)
+def bar_observations(spark, sf_dir):
+    orders = spread(tb.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    one, two = F.col("o_custkey").cast("string"), F.concat(F.lit("-"), (F.col("o_orderkey") + 1).cast("string"))
+    marked = F.col("o_orderkey") % 3 == 0
+    high, normal = F.when(marked, "\nHIGH").otherwise(""), F.when(marked, "\nNORMAL").otherwise("")
+    rows = F.concat(F.lit("## X\n\nIron\n\n"), one, F.lit("\nug/dL"), high, F.lit("\nVitamin D, 25\n"), two, F.lit("\nng/mL"), normal)
+    columns = F.concat(F.lit("## X\nIron\n\nVitamin D, 25\n"), one, F.lit("\n"), two, F.lit("\nug/dL\nng/mL"), high, normal, F.lit("\n![Image](x)"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, rows).otherwise(columns)
+    report = F.concat(F.lit("R"), F.col("o_orderkey").cast("string"))
+    got = op.bar_observations(orders.select(report.alias("report_id"), text.alias("text")))
+    return got.withColumn("status", F.coalesce("status", F.lit("-")))
+
+
 @query(
     "header_fields",
     """SELECT 'R' || o_orderkey AS report_id, 'LEE, ANN' AS patient, 'P' || o_custkey AS patient_id,

@@ -152,7 +152,8 @@ def test_hydration_twice_gives_the_same(spark, folder):
     docs = files.scan_parsed_text(spark, folder)
     once, index = hy.hydrate(docs, empty_store(spark))
     twice, _ = hy.hydrate(docs, once)
-    for state in (once, twice):
+    staged, _ = hy.hydrate(docs, empty_store(spark), stage=workspace(spark, "stage"))
+    for state in (once, twice, staged):
         assert [(r.patient_id, r.full_name) for r in state.patients.collect()] == [("P1", "Ann Lee")]
         assert [(r.report_id, str(r.report_date)) for r in state.reports.collect()] == [("P1_LFT_20240101_grid", "2024-01-01")]
         assert state.name_evidence.count() == 1

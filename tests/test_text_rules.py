@@ -168,6 +168,24 @@ def test_cards_with_late_status(spark):
     ]
 
 
+def test_bars_by_row_and_by_column(spark):
+    texts = {
+        "a": "## Inflammation\n\nC-Reactive Protein\n\n1.48\n\nmg/L\n\nNORMAL\n\nESR\n11.3\nmm/hr\nHIGH",
+        "b": "## Iron\nIron\nFerritin\n105.0\n233\nug/dL\nng/mL\n![Image](x)",
+        "c": "Iron\n5\nRef: 1-2",
+        "d": "| Iron | 5 |",
+        "e": "",
+    }
+    rows = obs.bar_observations(spark.createDataFrame(list(texts.items()), "report_id string, text string"))
+    got = [(r.report_id, r.analyte, r.value, r.unit, r.status) for r in rows.orderBy("report_id", "row_no").collect()]
+    assert got == [
+        ("a", "C-Reactive Protein", "1.48", "mg/L", "NORMAL"),
+        ("a", "ESR", "11.3", "mm/hr", "HIGH"),
+        ("b", "Iron", "105.0", "ug/dL", None),
+        ("b", "Ferritin", "233", "ng/mL", None),
+    ]
+
+
 def test_canonical_name_order(spark):
     rows = [("p", f"r{i}", "Ann Lee", 0.93) for i in range(3)] + [("p", "r9", "Anne Lee", 0.94)]
     rows += [("q", "a", "B B", 0.93), ("q", "b", "C C", 0.93), ("q", "c", "C C", 0.93)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +71,64 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
         groups.where(~hot), key
     )
     return near.unionByName(far)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node of ``edges``; component is its smallest reachable node.
+
+    Alternates the two star steps of Kiveris et al. (2014): neighbours above a node are hung on
+    the smallest neighbour, then neighbours below it. Every round is one pre-aggregated minimum
+    and one join, written to the shared folder; links never meet in one place.
+    """
+    u, v = F.col("u"), F.col("v")
+    now = stage_table(
+        edges.where(F.col(a) != F.col(b))
+        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+        .distinct(),
+        "links",
+    )
+    mark = _fingerprint(now)
+    while mark[0]:
+        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        large = stage_table(large, "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        now = stage_table(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+        before, mark = mark, _fingerprint(now)
+        if mark == before:
+            break
+    hung = now.select(u.alias("node"), v.alias("component"))
+    return hung.unionByName(hung.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    row = edges.agg(
+        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    ).first()
+    return tuple(row)
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of equal values in the first ``keys`` columns, each as one table.
+
+    For partitions that are sorted by those columns; a run may span batches.
+    """
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        for i in range(keys):
+            column = table.column(i).to_numpy(zero_copy_only=False)
+            new[1:] |= column[1:] != column[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for start, end in zip(starts, starts[1:], strict=False):
+            yield table.slice(start, end - start)
+        rest = table.slice(starts[-1])
+    if rest is not None:
+        yield rest

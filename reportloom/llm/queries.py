@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from reportloom.llm.bpe import encode_digests
 from reportloom.llm.common import read_table
 from reportloom.llm.exact import exact_groups
+from reportloom.llm.minhash import near_classes
 from reportloom.llm.packing import pack_documents
 from reportloom.llm.shards import shard_documents
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bag_minhash": op1_bag_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_pack": op8_pack,
     "op9_bpe": op9_bpe,
@@ -38,6 +44,39 @@ QUERIES = {
 }
 
 ORACLES = {
+    # Every pair that shares a shingle, compared exactly.
+    "op1_bag_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(CASE
+                WHEN len(words) = 0 THEN []
+                WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+            END) AS shingle
+            FROM w
+        ), items AS (
+            SELECT doc_id, shingle, row_number() OVER (PARTITION BY doc_id, shingle) AS copy FROM s
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m
+            FROM items a JOIN items b ON a.shingle = b.shingle AND a.copy = b.copy AND a.doc_id < b.doc_id
+            GROUP BY ALL
+        ), link AS (
+            SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE m * 100 >= (x.n + y.n - m) * 80
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS other FROM documents
+            UNION
+            SELECT r.node, e.v
+            FROM reach r JOIN (SELECT a AS u, b AS v FROM link UNION ALL SELECT b, a FROM link) e ON e.u = r.other
+        ), class AS (
+            SELECT node AS doc_id, min(other) AS class_id, count(*) AS class_size FROM reach GROUP BY node
+        )
+        SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM class
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.llm.bpe import encode_digests
 from reportloom.llm.common import read_table
+from reportloom.llm.embed import near_vectors
 from reportloom.llm.exact import exact_groups
 from reportloom.llm.minhash import near_classes
 from reportloom.llm.packing import pack_documents
@@ -19,6 +20,10 @@ def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bag_minhash": op1_bag_minhash,
+    "op2_pca_tiles": op2_pca_tiles,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_pack": op8_pack,
     "op9_bpe": op9_bpe,
@@ -44,6 +50,26 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_pca_tiles": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9
+        ), both_ways AS (
+            SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+        ), reach AS (
+            SELECT vec_id AS node, vec_id AS other FROM v
+            UNION
+            SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+        ), n AS (
+            SELECT a, count(*) AS n FROM both_ways GROUP BY a
+        ), part AS (
+            SELECT node AS vec_id, min(other) AS component_id FROM reach GROUP BY node
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM part LEFT JOIN n ON n.a = vec_id
+    """,
     # Every pair that shares a shingle, compared exactly.
     "op1_bag_minhash": r"""
         WITH RECURSIVE w AS (

@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 _NEVER = 1 << 60
 _WORD_END = "</w>"
 # Texts (words, chunks) whose ids a worker remembers before it lets the older ones go.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -173,12 +172,17 @@ class WordBpe:
                     return False
         return True
 
+    def lettered(self, word: str) -> str:
+        """One letter of the vocabulary's alphabet for each byte."""
+        if word.isascii() and word.isprintable():
+            return word
+        return "".join([self.letters[b] for b in word.encode("utf-8")])
+
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word of the split text (or of one special token)."""
         if word in self.special:
             return [self.special[word]]
-        if not (word.isascii() and word.isprintable()):
-            word = "".join([self.letters[b] for b in word.encode("utf-8")])
+        word = self.lettered(word)
         text = word[:-1] + self.ending[word[-1]]
         last = [-1] * (len(text) + 1)
         back = [0] * (len(text) + 1)
@@ -189,12 +193,10 @@ class WordBpe:
                 continue
             start = end + 1 - size
             if start:
-                before = last[start]
-                if before < 0:
-                    continue
-                holds = known(before << 32 | token)
+                key = last[start] << 32 | token
+                holds = known(key)
                 if holds is None:
-                    holds = self.may_stand_beside(before, token)
+                    holds = self.may_stand_beside(last[start], token)
                 if not holds:
                     continue
             done = end
@@ -216,21 +218,25 @@ class WordBpe:
 
 
 class Remembered(dict):
-    """text -> ``make(text)`` for at most twice ``REMEMBERED_WORDS`` words.
+    """text -> ``make(text)`` for at most twice ``most`` texts.
 
     A full table becomes the older one, from which words still in use are taken back; so common
     words stay and memory is bounded.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = REMEMBERED_WORDS):
         super().__init__()
         self.make = make
+        self.most = most
         self.older: dict = {}
 
-    def __missing__(self, word):
-        if len(self) >= REMEMBERED_WORDS:
+    def room(self, more: int = 1) -> None:
+        if len(self) + more > self.most:
             self.older = dict(self)
             self.clear()
+
+    def __missing__(self, word):
+        self.room()
         value = self.older.get(word)
         if value is None:
             value = self.make(word)
@@ -246,30 +252,24 @@ def tools(path: str) -> dict:
     if path not in _loaded:
         bpe = WordBpe(path)
 
-        words = Remembered(bpe.word_ids)
-
-        def ids_of(chunk: str) -> list[int]:
-            return [i for word in bpe.split(chunk) for i in words[word]]
-
-        def texts(chunk: str) -> tuple[bytes, bytes]:
-            ids = ids_of(chunk)
+        def texts_of_word(word: str) -> tuple[bytes, bytes]:
+            ids = bpe.word_ids(word)
             return (
-                b"".join([b"%d " % i for i in ids]),
-                "".join([bpe.piece[i] + " " for i in ids]).encode("utf-8"),
+                (" ".join(map(str, ids)) + " ").encode(),
+                (" ".join([bpe.piece[i] for i in ids]) + " ").encode("utf-8"),
             )
 
-        def packed(chunk: str) -> bytes:
-            ids = ids_of(chunk)
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        _loaded[path] = {"bpe": bpe, "ids": Remembered(ids_of), "texts": Remembered(texts), "packed": Remembered(packed)}
-    return _loaded[path]
+        words = Remembered(texts_of_word)
 
+        def texts(chunk: str) -> tuple[bytes, bytes]:
+            parts = [words[w] for w in bpe.split(chunk)]
+            if len(parts) == 1:
+                return parts[0]
+            return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
-def packed_ids(path: str, text: str) -> bytes:
-    """All ids of ``text`` as little-endian unsigned 32-bit numbers."""
-    t = tools(path)
-    return b"".join(map(t["packed"].__getitem__, t["bpe"].chunks(text)))
+        ids = Remembered(lambda chunk: [i for w in bpe.split(chunk) for i in bpe.word_ids(w)])
+        _loaded[path] = {"bpe": bpe, "ids": ids, "texts": Remembered(texts)}
+    return _loaded[path]
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

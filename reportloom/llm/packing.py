@@ -9,21 +9,72 @@ number of pieces, and each piece finds its place by its rank among pieces of its
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from reportloom.llm.bpe import packed_ids
-from reportloom.llm.common import stage_table, with_rank
+from reportloom.llm.bpe import Remembered, tools
+from reportloom.llm.common import small_batches, stage_table, with_rank
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLAN_SCHEMA = "length bigint, first bigint, last bigint, copies bigint, sequence bigint, offset bigint"
 
 
+class PackedIds:
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit numbers.
+
+    White space never joins words, so a text is looked up by its white-space chunks; chunks not
+    seen before are encoded in bulk, already split into words, and remembered.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.bpe = tools(path)["bpe"]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.normalizer = None
+        self.tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ends = [i for i, t in self.bpe.piece.items() if t.endswith("</w>")] + [*self.bpe.special.values()]
+        self.is_end = np.zeros(max(self.bpe.piece) + 1, bool)
+        self.is_end[ends] = True
+        self.known = Remembered(None, 600_000)
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        split, lettered = self.bpe.split, self.bpe.lettered
+        words = [split(c) for c in chunks]
+        flat = [lettered(w) for ws in words for w in ws]
+        lines = [" ".join(flat[i : i + 1000]) for i in range(0, len(flat), 1000)]
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        joined = np.concatenate(ids) if ids else np.empty(0, "<u4")
+        # The k-th word ends with the k-th id that ends a word.
+        after = np.r_[0, np.flatnonzero(self.is_end[joined]) + 1] * 4
+        at = after[np.cumsum([0, *map(len, words)])].tolist()
+        raw = joined.tobytes()
+        return {c: raw[a:b] for c, a, b in zip(chunks, at, at[1:], strict=False)}
+
+    def __call__(self, texts: list) -> list[bytes]:
+        chunked = [self.bpe.chunks(t or "") for t in texts]
+        known, older = self.known, self.known.older
+        seen: set[str] = set()
+        for chunks in chunked:
+            seen.update(chunks)
+        new = [c for c in seen if c not in known]
+        kept = {c: older[c] for c in new if c in older}
+        found = {**kept, **self.learn([c for c in new if c not in kept])}
+        known.room(len(found))
+        known.update(found)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
+
+
+_packers: dict[str, PackedIds] = {}
+
+
 def cut_pieces(
     docs: DataFrame,
     vocab_path: str,
@@ -42,10 +93,13 @@ def cut_pieces(
     step = size * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        if vocab_path not in _packers:
+            _packers[vocab_path] = PackedIds(vocab_path)
+        for batch in small_batches(batches):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = packed_ids(vocab_path, text or "") + tail
+            encoded = _packers[vocab_path](batch.column(1).to_pylist())
+            for doc, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                data += tail
                 for n, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     out.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part), part))

@@ -12,6 +12,7 @@ from reportloom.llm.exact import exact_groups
 from reportloom.llm.minhash import near_classes
 from reportloom.llm.packing import pack_documents
 from reportloom.llm.shards import shard_documents
+from reportloom.llm.toxicity import toxicity
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,6 +25,10 @@ def op2_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_pca_tiles": op2_pca_tiles,
+    "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_pack": op8_pack,
     "op9_bpe": op9_bpe,

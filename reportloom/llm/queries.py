@@ -11,6 +11,7 @@ from reportloom.llm.embed import near_vectors
 from reportloom.llm.exact import exact_groups
 from reportloom.llm.minhash import near_classes
 from reportloom.llm.packing import pack_documents
+from reportloom.llm.pii import find_personal_data
 from reportloom.llm.shards import shard_documents
 from reportloom.llm.toxicity import toxicity
 
@@ -33,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), VOCAB)
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_pca_tiles": op2_pca_tiles,
     "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii": op6_pii,
     "op8_pack": op8_pack,
     "op9_bpe": op9_bpe,
     "op10_hilbert_shards": op10_hilbert_shards,

@@ -51,19 +51,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int = T
     )
 
 
+def _beginnings(words: Column, n: int) -> Column:
+    longer = F.filter(words, lambda w: F.length(w) > n)
+    return F.transform(longer, lambda w: F.concat(F.lit("p:"), F.substring(w, 1, n)))
+
+
 def term_counts(rows: DataFrame, most: int = LEXICON_TERMS) -> list:
     """Terms with the toxic and other texts they stand in, per half; at most ``most``."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
     terms = F.array_distinct(
         F.concat(
             F.transform(words, lambda w: F.concat(F.lit("w:"), w)),
-            *(
-                F.transform(
-                    F.filter(words, lambda w, n=n: F.length(w) > n),
-                    lambda w, n=n: F.concat(F.lit("p:"), F.substring(w, 1, n)),
-                )
-                for n in PREFIXES
-            ),
+            *(_beginnings(words, n) for n in PREFIXES),
         )
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reportloom.llm.bpe import encode_digests
 from reportloom.llm.common import read_table
@@ -12,8 +13,10 @@ from reportloom.llm.exact import exact_groups
 from reportloom.llm.minhash import near_classes
 from reportloom.llm.packing import pack_documents
 from reportloom.llm.pii import find_personal_data
+from reportloom.llm.quality import quality
 from reportloom.llm.shards import shard_documents
 from reportloom.llm.toxicity import toxicity
+from reportloom.llm.warc import archive_index, fixity_audit
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +33,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as an archive, audited against a replica with one page in 97 damaged."""
+    pages = read_table(spark, sf_dir, "pages")
+    hurt = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    return fixity_audit(archive_index(pages), archive_index(pages.withColumn("html", hurt)))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +48,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), VOCAB)
 
@@ -54,8 +68,10 @@ QUERIES = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_pca_tiles": op2_pca_tiles,
     "op3_toxicity": op3_toxicity,
+    "op4_merkle_audit": op4_merkle_audit,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op8_pack": op8_pack,
     "op9_bpe": op9_bpe,
     "op10_hilbert_shards": op10_hilbert_shards,
@@ -115,6 +131,32 @@ ORACLES = {
         )
         SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM class
     """,
+    "op4_merkle_audit": r"""
+        WITH r AS (
+            SELECT page_id, coalesce(url, '') AS url, html,
+                CASE WHEN page_id % 97 = 13 THEN '#' || substr(html, 2) ELSE html END AS other
+            FROM pages
+        ), records AS (
+            SELECT page_id, url,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+                    || chr(13) || chr(10) || 'Content-Length: ' AS head,
+                chr(13) || chr(10) || chr(13) || chr(10) AS gap, coalesce(html, '') AS html, coalesce(other, '') AS other
+            FROM r
+        ), hashed AS (
+            SELECT page_id, url,
+                strlen(head || strlen(html) || gap || html || gap) AS length,
+                sha256(head || strlen(html) || gap || html || gap) AS sha256,
+                sha256(head || strlen(other) || gap || other || gap) AS replica_sha256
+            FROM records
+        ), placed AS (
+            SELECT *, (row_number() OVER (ORDER BY page_id, url, sha256) - 1) AS place FROM hashed
+        )
+        SELECT page_id, place // 1024 AS file,
+            (sum(length) OVER (PARTITION BY place // 1024 ORDER BY place) - length)::BIGINT AS "offset",
+            length, sha256, replica_sha256,
+            CASE WHEN sha256 = replica_sha256 THEN 'ok' ELSE 'changed' END AS status
+        FROM placed
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -211,6 +211,9 @@ def format_report_markdown(entities: Column, original: Column) -> Column:
 
 
 def answer_file_stem(question: Column, prefix: str = "sql_") -> Column:
-    """File stem for an answer: words of the question joined by ``_``, at most 80 characters."""
+    """File stem for an answer: leading words of the question joined by ``_`` and a hash of all of it.
+
+    The hash keeps the answers of questions apart that begin alike or differ in signs only.
+    """
     words = F.left(F.regexp_replace(question, "[^A-Za-z0-9]+", "_"), F.lit(80))
-    return F.concat(F.lit(prefix), F.trim(words, F.lit("_")))
+    return F.concat(F.lit(prefix), F.trim(words, F.lit("_")), F.lit("_"), F.left(F.sha2(question, 256), F.lit(12)))

@@ -18,6 +18,9 @@ VALUE_ROW = (
 HEADER_WORDS = ("name", "patient", "value", "result", "reference")
 
 NUMBER = r"-?\d+(?:\.\d+)?"
+# The measured value at the start of a cell, whole: bounds and thousands marks belong to it, and
+# a date or another number that runs on is none.
+CELL_VALUE = r"^\s*([<>≤≥]?\s*-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)(?![\d,.]*\d|\s*[/:]\s*\d)"
 RANGE = rf"({NUMBER})\s*-\s*({NUMBER})"
 
 # Printed status marks and the status they stand for.
@@ -35,14 +38,14 @@ STATUS_WORDS = {
 # Test classes by keyword, most specific first.
 TEST_TYPES = (
     ("CMP", r"comprehensive metabolic|\bcmp\b"),
-    ("RFT", r"kidney|renal|\brft\b"),
+    ("RFT", r"kidney|\brenal\b|\brft\b"),
     ("LFT", r"liver|hepatic|\blft\b"),
     ("CBC", r"blood count|\bcbc\b"),
     ("Thyroid", r"thyroid|\bt3\b|\bt4\b|\btsh\b"),
     ("Lipid_Profile", r"cholesterol|lipid"),
     ("Diabetes", r"glucose|hba1c|diabetes"),
     ("Inflammation", r"\bcrp\b|\besr\b|inflammation"),
-    ("Iron_Studies", r"ferritin|iron"),
+    ("Iron_Studies", r"ferritin|\biron\b"),
     ("Vitamin", r"vitamin|b12"),
 )
 OTHER_TEST_TYPE = "General"
@@ -61,6 +64,16 @@ def value_number(value: Column) -> Column:
     return F.regexp_extract(value, rf"^\s*({NUMBER})", 1).try_cast("double")
 
 
+def cell_value(cell: Column) -> Column:
+    """Leading value of a cell as printed (``1,200``, ``<0.5``), empty if there is none."""
+    return F.regexp_extract(cell, CELL_VALUE, 1)
+
+
+def cell_number(value: Column) -> Column:
+    """A printed value as double; NULL for bounds such as ``<0.5`` and for words."""
+    return F.replace(value, F.lit(","), F.lit("")).try_cast("double")
+
+
 def range_bound(ref_range: Column, upper: bool) -> Column:
     return F.regexp_extract(ref_range, RANGE, 2 if upper else 1).try_cast("double")
 

@@ -87,13 +87,14 @@ def page_context(
     """(doc_id, pos, context) for every non-text item: what stands within ``window`` pages.
 
     The item itself is left out; order is page, then position. The context is cut to
-    ``max_words``, so of each page only the leading 2 x ``max_words`` words are gathered
-    (twice, because the item left out may be among them): lists stay bounded however many
-    items a page has, and the result is the same as from the whole page.
+    ``max_words``, so of each page only the leading items are gathered, up to one past
+    2 x ``max_words`` words (twice, because the item left out may be among them; one past,
+    because a cut shows only if something follows): lists stay bounded however many items a
+    page has, and the result is the same as from the whole page.
     """
     src = _sources(items, types, headers, captions)
     words = F.least(ct.n_words(F.col("shown")), F.lit(max_words))
-    lead = _running_words(src, ["doc_id", "page_idx"], "pos", words).where(F.col("_before") < 2 * max_words)
+    lead = _running_words(src, ["doc_id", "page_idx"], "pos", words).where(F.col("_before") <= 2 * max_words)
     pages = lead.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("_items"))
     targets = _targets(items)
     wanted = (

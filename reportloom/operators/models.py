@@ -106,7 +106,6 @@ def parse_files(
     """(path, ok, error, attempts, duration_sec, n_blocks, items) of a parser run per file.
 
     A failure is a row, not the end of the job; a file is tried ``retries`` more times.
-    ``error`` keeps the last 400 characters.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,7 +119,7 @@ def parse_files(
                         items, error = parse(path, content), None
                         break
                     except Exception as exc:
-                        error = str(exc)[-400:] or type(exc).__name__
+                        error = str(exc) or type(exc).__name__
                         if attempt <= retries:
                             time.sleep(wait_seconds)
                 rows.append(

@@ -102,6 +102,28 @@ def deletion_keys(key: Column) -> Column:
     return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
 
 
+def _plain_words(name: Column) -> Column:
+    return F.filter(F.split(F.lower(tx.strip(name)), r"[\s,]+"), lambda w: w != "")
+
+
+def word_orders(name: Column) -> Column:
+    """The lower-case name in other word orders: sorted, and all rotations of both directions.
+
+    For up to three words these are all orders.
+    """
+
+    def turned(words: Column) -> Column:
+        n = F.size(words)
+        return F.transform(
+            F.sequence(F.lit(1), n),
+            lambda i: F.array_join(F.concat(F.slice(words, i, n), F.slice(words, F.lit(1), i - 1)), " "),
+        )
+
+    words = _plain_words(name)
+    both = F.concat(tx.bind(words, turned), tx.bind(F.reverse(words), turned), F.array(name_key(name)))
+    return F.when(F.size(words) > 0, F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_patient_name(
     mentions: DataFrame,
     patients: DataFrame,
@@ -110,43 +132,48 @@ def resolve_patient_name(
 ) -> DataFrame:
     """Map each mentioned name to the closest known person (patient_id, distance).
 
-    Word order and case do not matter; up to ``max_distance`` (at most 2) edits are
-    accepted. Nearest first, then smallest patient_id; no match gives NULLs.
+    Word order and case do not matter: the distance is the smallest between the mention in any
+    of its ``word_orders`` and the known name as it is or sorted, so a typo counts once wherever
+    it stands. Up to ``max_distance`` (at most 2) edits
+    are accepted. Nearest first, then smallest patient_id; no match gives NULLs.
 
     Exact keys are settled by an equi join. Only the remaining distinct keys enter the fuzzy
     join, which meets on deletion hashes: every pair within distance 2 shares one, and since
     a hash stands for nearly the whole string no block holds all names, whatever prefix or
-    sound they share. Copies of a name collapse to one key first.
+    sound they share. Copies of a name collapse to one key first, and a pair is compared once
+    however many hashes it shares.
     """
     if not 0 <= max_distance <= 2:
         raise ValueError("max_distance must be 0, 1 or 2")
-    known = (
-        patients.where("full_name IS NOT NULL")
-        .select("patient_id", name_key(F.col("full_name")).alias("known_key"))
+    people = patients.where("full_name IS NOT NULL").select(
+        "patient_id",
+        name_key(F.col("full_name")).alias("sorted_key"),
+        F.array_join(_plain_words(F.col("full_name")), " ").alias("known_key"),
+    )
+    known = people.groupBy("sorted_key").agg(F.min("patient_id").alias("patient_id"))
+    spelled = (
+        people.select("patient_id", F.explode(F.array_distinct(F.array("known_key", "sorted_key"))).alias("known_key"))
         .groupBy("known_key")
         .agg(F.min("patient_id").alias("patient_id"))
     )
-    keyed = mentions.withColumn("_key", name_key(F.col(mention_col)))
+    keyed = mentions.withColumn("_key", F.array_join(_plain_words(F.col(mention_col)), " "))
     keys = keyed.select("_key").where("_key <> ''").distinct()
-    exact = keys.join(known, F.col("_key") == F.col("known_key")).select(
-        "_key", "patient_id", F.lit(0).alias("distance")
-    )
-    rest = keys.join(known, F.col("_key") == F.col("known_key"), "left_anti")
-    # A name becomes some hundred hashes. Adaptive execution would merge the names, few bytes
-    # as they are, into one task for that; a fixed number of partitions keeps it spread.
-    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = rest.repartition(tasks, "_key").select("_key", F.explode(deletion_keys(F.col("_key"))).alias("_h"))
-    right = known.repartition(tasks, "known_key").select(
-        "known_key", "patient_id", F.explode(deletion_keys(F.col("known_key"))).alias("_h")
+    same = name_key(F.col("_key")) == F.col("sorted_key")
+    exact = keys.join(known, same).select("_key", "patient_id", F.lit(0).alias("distance"))
+    left = (
+        keys.join(known, same, "left_anti")
+        .select("_key", F.explode(word_orders(F.col("_key"))).alias("_order"))
+        .select("_key", "_order", F.explode(deletion_keys(F.col("_order"))).alias("_h"))
     )
-    distance = F.levenshtein("_key", "known_key", max_distance)
+    right = spelled.select("known_key", "patient_id", F.explode(deletion_keys(F.col("known_key"))).alias("_h"))
     near = (
         left.join(right, "_h")
-        .withColumn("distance", distance)
+        .select("_key", "_order", "known_key", "patient_id")
+        .distinct()
+        .withColumn("distance", F.levenshtein("_order", "known_key", max_distance))
         .where("distance >= 0")
         .groupBy("_key")
         .agg(F.min(F.struct("distance", "patient_id")).alias("_m"))
         .select("_key", F.col("_m.patient_id").alias("patient_id"), F.col("_m.distance").alias("distance"))
     )
-    matched = exact.unionByName(near)
-    return keyed.join(matched, "_key", "left").drop("_key")
+    return keyed.join(exact.unionByName(near), "_key", "left").drop("_key")

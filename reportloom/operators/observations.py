@@ -10,28 +10,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions import labs, text as tx
 
-MAX_LINE = 200
-MAX_ROWS = 200
 # A record separator cannot occur inside a line: it ends lines.
 _SEP = "\x1e"
 
 
-def observation_rows(text: Column, max_rows: int = MAX_ROWS) -> Column:
-    """Array of (obs_no, analyte, value, unit, ref_range): first value per short line.
+def observation_rows(text: Column, max_rows: int | None = None, max_line: int | None = None) -> Column:
+    """Array of (obs_no, analyte, value, unit, ref_range): first value per line.
 
-    ``obs_no`` numbers the rows of a document in text order; at most ``max_rows`` are kept,
-    which is part of the rule. Lines over 200 characters are not looked at.
+    ``obs_no`` numbers the rows of a document in text order. Every line and row counts unless
+    ``max_line`` (characters) or ``max_rows`` is given.
     """
     lines = F.transform(F.split(tx.plain_breaks(text), "\n", -1), tx.strip)
     # Every match holds a blank before a digit; this cheap test spares prose the full rule.
-    short = F.filter(lines, lambda s: (F.length(s) <= MAX_LINE) & s.rlike(r"\s-?\d"))
+    fits = (lambda s: F.length(s) <= max_line) if max_line is not None else (lambda s: F.lit(True))
+    short = F.filter(lines, lambda s: fits(s) & s.rlike(r"\s-?\d"))
     once = rf"(?s)^.*?{labs.VALUE_ROW}.*$"
     fields = F.transform(
         short, lambda s: F.split(F.regexp_replace(s, once, f"$1{_SEP}$2{_SEP}$3{_SEP}$5"), _SEP, -1)
     )
     kept = F.filter(fields, lambda f: (F.size(f) == 4) & ~labs.is_header_word(F.get(f, F.lit(0))))
     return F.transform(
-        F.slice(kept, 1, max_rows),
+        kept if max_rows is None else F.slice(kept, 1, max_rows),
         lambda f, i: F.struct(
             i.alias("obs_no"),
             F.trim(F.get(f, F.lit(0))).alias("analyte"),
@@ -46,14 +45,15 @@ def extract_observations(
     docs: DataFrame,
     text_col: str = "text",
     keep: tuple[str, ...] = ("report_id",),
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
+    max_line: int | None = None,
 ) -> DataFrame:
     """(keep..., obs_no, analyte, value, unit, ref_range); see ``observation_rows``."""
-    return docs.select(*keep, F.inline(observation_rows(F.col(text_col), max_rows)))
+    return docs.select(*keep, F.inline(observation_rows(F.col(text_col), max_rows, max_line)))
 
 
 def first_rows_per_report(
-    rows: DataFrame, keys: list[str], order: list[str], n: int = MAX_ROWS
+    rows: DataFrame, keys: list[str], order: list[str], n: int = 200
 ) -> DataFrame:
     """The first ``n`` rows of each report. A rank limit is pre-applied before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -67,6 +67,11 @@ _UNIT_TITLES = ("unit", "units")
 _RANGE_TITLES = ("reference range", "reference", "range", "biological reference interval")
 _STATUS_TITLES = ("status", "flag")
 _SEPARATOR_ROW = r"^\|[\s:|\-]*-[\s:|\-]*$"
+# Rows inside a table that are no measurement: person banners, range notes, labelled headings.
+_NO_ANALYTE = (
+    r"(?i)^(?:patient|name|dob|date of birth|age|gender|sex|ref(?:erence)?|test date|report date|collected|collection date"
+    r"|specimen|accession|mrn|patient id|id)\b\W*(?::|$)|\b(?:dob|test date)\s*:|^\W*\d+ normal results|^lab results\b"
+)
 
 
 def _cells(line: Column) -> Column:
@@ -122,7 +127,7 @@ def _table_row(cells: Column, at: Column, table_no: Column, row_no: Column) -> C
 
     def row(parts: Column) -> Column:
         number, ref, status = parts["number"], parts["ref"], cell("status")
-        rest = F.trim(F.substr(cell("value"), F.length(number) + 1))
+        rest = F.trim(F.regexp_replace(cell("value"), labs.CELL_VALUE, ""))
         return F.struct(
             table_no.alias("table_no"),
             row_no.alias("row_no"),
@@ -141,7 +146,7 @@ def _table_row(cells: Column, at: Column, table_no: Column, row_no: Column) -> C
         )
 
     found = F.struct(
-        F.regexp_extract(cell("value"), rf"^({labs.NUMBER})", 1).alias("number"),
+        labs.cell_value(cell("value")).alias("number"),
         F.regexp_extract(cell("ref"), tail_range, 1).alias("ref"),
     )
     return tx.bind(found, row)
@@ -153,8 +158,10 @@ def table_observations(
     """Rows of all pipe tables: (keep..., table_no, row_no, analyte, value, unit, ref_range,
     status, value_num, status_code).
 
-    A table starts at the line before a ``|---|`` line. Its first row is a header when it
-    has a name and a value title; otherwise it is data and the fields go by position. A blank
+    A table starts at the line before a ``|---|`` line; pipe lines before the first of these
+    are no table. Its first row is a header when it has a name and a value title; otherwise it is
+    data and the fields go by position. Banner, range and heading rows are left out. Values stay
+    whole (``1,200``, ``<0.5``, words); ``value_num`` is NULL unless they are a number. A blank
     cell in a ``Flag`` column means normal.
     """
     pipes = F.filter(
@@ -162,7 +169,10 @@ def table_observations(
         lambda s: F.startswith(s, F.lit("|")) & (F.length(s) > 2),
     )
     joined = F.array_join(pipes, "\n")
-    tables = F.split(joined, r"\n(?=[^\n]*\n\|[\s:|\-]*-[\s:|\-]*(?:\n|$))", -1)
+    separated = r"^[^\n]*\n\|[\s:|\-]*-[\s:|\-]*(?:\n|$)"
+    tables = F.filter(
+        F.split(joined, r"\n(?=[^\n]*\n\|[\s:|\-]*-[\s:|\-]*(?:\n|$))", -1), lambda b: b.rlike(separated)
+    )
 
     def read(block: Column, table_no: Column) -> Column:
         lines = F.filter(F.split(block, "\n", -1), lambda s: ~s.rlike(_SEPARATOR_ROW) & (s != ""))
@@ -173,16 +183,20 @@ def table_observations(
                 body = F.slice(all_cells, start, F.greatest(F.size(all_cells), F.lit(1)))
                 return F.filter(
                     F.transform(body, lambda c, i: _table_row(c, at, table_no, i)),
-                    lambda r: (r["analyte"] != "") & r["value"].isNotNull(),
+                    lambda r: (r["analyte"] != "")
+                    & (r["value"] != "")
+                    & ~r["analyte"].rlike(_NO_ANALYTE)
+                    & ~labs.is_header_word(r["analyte"]),
                 )
 
             return tx.bind(_layout(F.get(all_cells, F.lit(0))), data)
 
         return tx.bind(F.transform(lines, _cells), rows)
 
-    found = F.when(joined != "", F.flatten(F.transform(tables, read)))
+    # A search for a separator row by itself spares all other texts the rest.
+    found = F.when(F.col(text_col).rlike(r"\|[ \t:|]*-"), F.flatten(F.transform(tables, read)))
     rows = docs.select(*keep, F.inline(found))
-    return rows.withColumn("value_num", F.col("value").try_cast("double"))
+    return rows.withColumn("value_num", labs.cell_number(F.col("value")))
 
 
 _STATUS_LINE = r"(?i)^(?:high|low|normal|borderline)$"
@@ -197,7 +211,8 @@ def card_observations(
     """Values laid out as cards: name, ``value unit``, ``Ref: a-b``, status on single lines.
 
     The status is the line after ``Ref:``; where it comes late, the k-th status belongs to
-    the k-th card if there are as many statuses as cards, else it is NULL.
+    the k-th card if there are as many statuses as cards, else it is NULL. A value in words or
+    with a bound (``Negative``, ``<0.01``) stays as printed, with a NULL ``value_num``.
     """
     text = tx.plain_breaks(F.col(text_col))
     lines = F.transform(
@@ -227,8 +242,10 @@ def card_observations(
             lambda h, k: F.struct(
                 k.alias("card_no"),
                 h["name"].alias("analyte"),
-                F.regexp_extract(h["val"], rf"^({labs.NUMBER})", 1).alias("value"),
-                F.trim(F.regexp_replace(h["val"], rf"^{labs.NUMBER}", "")).alias("unit"),
+                F.coalesce(F.nullif(labs.cell_value(h["val"]), F.lit("")), h["val"]).alias("value"),
+                F.when(labs.cell_value(h["val"]) != "", F.trim(F.regexp_replace(h["val"], labs.CELL_VALUE, "")))
+                .otherwise("")
+                .alias("unit"),
                 F.trim(h["ref"]).alias("ref_range"),
                 F.when(h["nxt"].rlike(_STATUS_LINE), F.upper(h["nxt"]))
                 .when(full, F.upper(F.get(statuses, k)))
@@ -237,8 +254,8 @@ def card_observations(
         )
 
     found = F.when(F.contains(F.lower(F.col(text_col)), F.lit("ref:")), tx.bind(lines, cards))
-    rows = docs.select(*keep, F.inline(found)).where("value <> ''")
-    return rows.withColumn("value_num", F.col("value").try_cast("double"))
+    rows = docs.select(*keep, F.inline(found)).where("value <> '' AND analyte IS NOT NULL")
+    return rows.withColumn("value_num", labs.cell_number(F.col("value")))
 
 
 def bar_observations(
@@ -296,24 +313,30 @@ HEADER_LABELS = {
     "specimen": r"(?i)\bSpecimen(?: ID)?\W*:\W*(\w+)",
     "accession": r"(?i)\bAccession\W*:\W*(\w+)",
 }
+# Several labels may share a line: a value ends where the next label begins.
+_NEXT_LABEL = r"(?i)\s+(?:DOB|Date of Birth|Age|Gender|Sex|(?:Patient )?ID|MRN|Collected|Collection Date|(?:Test|Report) Date|Specimen(?: ID)?|Accession|Panel)\b(?:\W*:.*)?$"
 _DATE_FIELDS = ("dob", "collected", "report_date")
 
 
 def header_fields(
     docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("report_id",)
 ) -> DataFrame:
-    """One row per document with the labelled header values, NULL where absent."""
+    """One row per document with the labelled header values, NULL where absent.
+
+    Every line counts, however long; only image lines are skipped.
+    """
     text = tx.plain_breaks(F.col(text_col))
-    short = F.filter(F.split(text, "\n", -1), lambda s: F.length(s) <= MAX_LINE)
+    lines = F.filter(F.split(text, "\n", -1), lambda s: ~F.startswith(tx.strip(s), F.lit("![")))
 
     def fields(body: Column) -> Column:
         cols = []
         for name, pattern in HEADER_LABELS.items():
-            value = F.nullif(F.trim(F.regexp_extract(body, pattern, 1)), F.lit(""))
+            value = F.trim(F.regexp_replace(F.regexp_extract(body, pattern, 1), _NEXT_LABEL, ""))
+            value = F.nullif(value, F.lit(""))
             cols.append((labs.clean_date(value) if name in _DATE_FIELDS else value).alias(name))
         return F.struct(*cols)
 
-    return docs.select(*keep, F.inline(F.array(tx.bind(F.array_join(short, "\n"), fields))))
+    return docs.select(*keep, F.inline(F.array(tx.bind(F.array_join(lines, "\n"), fields))))
 
 
 def analyte_trend(

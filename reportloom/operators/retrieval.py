@@ -12,10 +12,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 COSINE_THRESHOLD = 0.2
 TOP_K = 60
 RESUMMARY_AT = 6
-MAX_GRAPH_NODES = 1000
-
-# Queries one scan of the vectors serves; more are split over several scans.
-MAX_QUERIES = 4096
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -23,39 +19,53 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int):
-    """The k best (score, then vector id) rows of each query."""
-    order = np.lexsort((v, -s, q))
-    q, v, s = q[order], v[order], s[order]
-    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
-    keep = np.arange(len(q)) - start < k
-    return q[keep], v[keep], s[keep]
+def _block_best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, vector row) of the k best scores of each query, ties by vector id."""
+    out_q, out_v = [], []
+    for q, row in enumerate(scores):
+        hits = np.flatnonzero(row >= threshold)
+        if len(hits) > k:
+            # Scores as good as the k-th all stay in the draw, then ids decide.
+            hits = hits[row[hits] >= np.partition(row[hits], -k)[-k]]
+            hits = hits[np.lexsort((ids[hits], -row[hits]))[:k]]
+        out_q.append(np.full(len(hits), q))
+        out_v.append(hits)
+    return np.concatenate(out_q), np.concatenate(out_v)
+
 
+def _search(k: int, threshold: float, step: int = 256):
+    """Task body over rows (block, query_id, id, vec), the vectors of a block before its queries.
 
-def _scan(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, threshold: float, id_col: str, vec_col: str) -> DataFrame:
-    target = _unit(matrix)
+    A block's vectors are held as one matrix; queries pass by, ``step`` at a time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Running best k per query: memory is queries x k however long the partition is.
-        q = np.zeros(0, np.int64)
-        v = np.zeros(0, np.int64)
-        s = np.zeros(0)
+        block, parts, ids = None, [], []
+        matrix, known = np.zeros((0, 0)), np.zeros(0, np.int64)
         for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if pdf.empty:
-                continue
-            rows = _unit(np.stack(pdf[vec_col].to_numpy()).astype(np.float64))
-            scores = np.round(rows @ target.T, 6)
-            hit_row, hit_q = np.nonzero(scores >= threshold)
-            q = np.r_[q, ids[hit_q]]
-            v = np.r_[v, pdf[id_col].to_numpy(np.int64)[hit_row]]
-            s = np.r_[s, scores[hit_row, hit_q]]
-            q, v, s = _best(q, v, s, k)
-        if len(q):
-            yield pd.DataFrame({"query_id": q, id_col: v, "score": s})
-
-    return vectors.select(id_col, vec_col).mapInPandas(run, f"query_id bigint, `{id_col}` bigint, score double")
+            for (number, is_query), rows in pdf.groupby(["block", "is_query"], sort=True):
+                if number != block:
+                    block, parts, ids, matrix = number, [], [], np.zeros((0, 0))
+                vecs = _unit(np.stack(rows["vec"].to_numpy()).astype(np.float64))
+                if not is_query:
+                    parts.append(vecs)
+                    ids.append(rows["id"].to_numpy(np.int64))
+                    continue
+                if parts:
+                    held = [matrix] if len(matrix) else []
+                    matrix = np.concatenate([*held, *parts])
+                    known = np.concatenate([*([known] if held else []), *ids])
+                    parts, ids = [], []
+                if not len(matrix):
+                    continue
+                names = rows["query_id"].to_numpy(np.int64)
+                for at in range(0, len(vecs), step):
+                    scores = np.round(vecs[at : at + step] @ matrix.T, 6)
+                    q, v = _block_best(scores, known, k, threshold)
+                    if len(q):
+                        yield pd.DataFrame({"query_id": names[at + q], "id": known[v], "score": scores[q, v]})
+
+    return run
 
 
 def vector_top_k(
@@ -67,46 +77,40 @@ def vector_top_k(
     vec_col: str = "embedding",
     query_id: str = "query_id",
     query_vec: str = "embedding",
-    max_queries: int = MAX_QUERIES,
+    blocks: int | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top ``k`` at or above ``threshold``.
 
-    Scores have 6 decimals; equal ones rank by id. The queries (not the vectors) go to the
-    tasks as one matrix, and only after their number was checked: this runs a small job that
-    fetches at most ``max_queries`` + 1 of them. More queries are hashed into groups, each
-    served by its own scan, so nothing unbounded is ever fetched or sent. Every task keeps
-    its own best ``k`` per query, so the shuffle carries no pair lists.
+    Scores have 6 decimals; equal ones rank by id. Vectors are hashed into ``blocks`` (as many
+    as shuffles have partitions unless given) and shuffled once; queries go to every block. A
+    task holds the vectors of one block and keeps its own best ``k`` per query, so neither all
+    vectors nor all queries meet anywhere and no pair lists are shuffled. Nothing runs while the
+    plan is built. Choose ``blocks`` so that a block's vectors fit in a task.
     """
-    wanted = queries.where(F.col(query_vec).isNotNull()).select(
-        F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vec).alias("vec")
+    n = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vec = "array<double>"
+    held = vectors.where(F.col(vec_col).isNotNull()).select(
+        F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"),
+        F.lit(0).alias("is_query"),
+        F.lit(0).cast("bigint").alias("query_id"),
+        F.col(id_col).cast("bigint").alias("id"),
+        F.col(vec_col).cast(vec).alias("vec"),
+    )
+    asked = queries.where(F.col(query_vec).isNotNull()).select(
+        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"),
+        F.lit(1).alias("is_query"),
+        F.col(query_id).cast("bigint").alias("query_id"),
+        F.lit(0).cast("bigint").alias("id"),
+        F.col(query_vec).cast(vec).alias("vec"),
+    )
+    found = (
+        held.unionByName(asked)
+        .repartition(n, "block")
+        .sortWithinPartitions("block", "is_query")
+        .mapInPandas(_search(k, threshold), "query_id bigint, id bigint, score double")
+        .withColumnRenamed("id", id_col)
     )
-
-    def fetch(part: DataFrame) -> list:
-        return part.limit(max_queries + 1).collect()
-
-    def groups(part: DataFrame, level: int) -> list[list]:
-        rows = fetch(part)
-        if len(rows) <= max_queries:
-            return [rows] if rows else []
-        if level > 40:
-            raise ValueError("more queries share one query_id than a scan can serve")
-        bit = F.shiftrightunsigned(F.xxhash64("query_id"), level).bitwiseAND(1)
-        return groups(part.where(bit == 0), level + 1) + groups(part.where(bit == 1), level + 1)
-
-    scans = [
-        _scan(
-            vectors,
-            np.array([r.query_id for r in rows], np.int64),
-            np.array([r.vec for r in rows], np.float64),
-            k, threshold, id_col, vec_col,
-        )
-        for rows in groups(wanted, 0)
-    ]
-    if not scans:
-        empty = vectors.where(F.lit(False)).select(F.lit(0).cast("bigint").alias("query_id"), id_col, F.lit(0.0).alias("score"))
-        scans = [empty]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    found = reduce(DataFrame.unionByName, scans)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -140,9 +144,9 @@ def entity_descriptions(mentions: DataFrame, name: str = "name", description: st
 
 
 def graph_neighbourhood(
-    edges: DataFrame, seeds: DataFrame, max_nodes: int = MAX_GRAPH_NODES, src: str = "src", dst: str = "dst"
+    edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None, src: str = "src", dst: str = "dst"
 ) -> DataFrame:
-    """Seeds and the nodes one edge away: (node, hop, links), at most ``max_nodes``.
+    """Seeds and the nodes one edge away: (node, hop, links), all or the first ``max_nodes``.
 
     Seeds come first, then nodes with more edges to seeds, then by name. Edges are
     undirected; parallel edges count each.
@@ -154,4 +158,4 @@ def graph_neighbourhood(
     own = ids.select(F.col("_seed").alias("node"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("links"))
     around = links.select("node", F.lit(1).alias("hop"), "links")
     nodes = own.unionByName(around).groupBy("node").agg(F.min("hop").alias("hop"), F.max("links").alias("links"))
-    return nodes.orderBy("hop", F.desc("links"), "node").limit(max_nodes)
+    return nodes if max_nodes is None else nodes.orderBy("hop", F.desc("links"), "node").limit(max_nodes)

@@ -53,7 +53,7 @@ def hydrate(
         found = rows.where("found IS NOT NULL").select(
             "patient_id", F.col("report_id").alias("source_report"), "found.name", "found.confidence"
         )
-        seen = rows.select("report_id", F.inline(F.slice("rows", 1, obs.MAX_ROWS)))
+        seen = rows.select("report_id", F.inline("rows"))
     patients = merge.insert_if_absent(store.patients, keyed.select("patient_id"), ["patient_id"])
     reports = merge.upsert_reports(store.reports, keyed, ["src_path"])
     evidence = merge.replace_observations(store.name_evidence, found, "source_report")

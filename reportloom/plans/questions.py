@@ -60,23 +60,68 @@ def answer_from_reports(chosen: DataFrame, questions: DataFrame, make_model: Cal
     return models.apply_text_model(asked, make_model)
 
 
-def process_uploads(parsed: DataFrame, as_of: str, make_model: Callable | None = None) -> DataFrame:
+ENTITY_WINDOW = 4000
+
+
+def window_answers(parsed: DataFrame, make_model: Callable, size: int = ENTITY_WINDOW) -> DataFrame:
+    """(upload_id, _at, answer) of the model for every ``size`` characters of each text."""
+    shape = '{"patient_name", "patient_id", "test_type", "test_date", "analytes": [{"name", "value", "unit", "range", "status"}]}'
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size))
+    parts = parsed.select("upload_id", "text", F.explode(starts).alias("_at"))
+    prompt = F.concat(
+        F.lit(f"Extract entities from this lab report as JSON {shape}:\n\n"), F.substr("text", F.col("_at") + 1, F.lit(size))
+    )
+    asked = parts.select("upload_id", "_at", prompt.alias("prompt"))
+    return models.apply_text_model(asked, make_model).select("upload_id", "_at", "answer")
+
+
+def merge_windows(answers: DataFrame, as_of: str) -> DataFrame:
+    """(upload_id, e): one entities struct per upload from the answers of its windows.
+
+    Analytes of all windows in text order; each field from the first window that has more than
+    its default.
+    """
+    default = ct.parse_entities_json(F.lit("{}"), as_of)
+    read = answers.select(
+        "upload_id", "_at", F.inline(F.array(F.struct(ct.parse_entities_json(F.col("answer"), as_of).alias("e"), default.alias("d"))))
+    )
+    parts = read.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("_at", "e", "d"))).alias("p"))
+    p = F.col("p")
+
+    def field(name: str):
+        said = F.filter(p, lambda x: x["e"][name].isNotNull() & ~x["e"][name].eqNullSafe(x["d"][name]))
+        return F.coalesce(F.get(said, F.lit(0))["e"][name], F.get(p, F.lit(0))["d"][name]).alias(name)
+
+    names = [f.name for f in read.schema["e"].dataType.fields]
+    made = [
+        F.flatten(F.transform(p, lambda x: F.coalesce(x["e"]["analytes"], F.array().cast(read.schema["e"].dataType["analytes"].dataType)))).alias(n)
+        if n == "analytes"
+        else field(n)
+        for n in names
+    ]
+    return parts.select("upload_id", F.struct(*made).alias("e"))
+
+
+def process_uploads(
+    parsed: DataFrame, as_of: str, make_model: Callable | None = None, window: int = ENTITY_WINDOW
+) -> DataFrame:
     """(file_name, text, entities) of uploads: entities, id, file name, formatted report.
 
-    ``parsed`` has upload_id, text and either ``entities_json`` or a model to ask for it with
-    the first 4,000 characters.
+    ``parsed`` has upload_id, text and either ``entities_json`` or a model to ask for it. The
+    model sees the whole text in windows of ``window`` characters; their answers are merged.
     """
-    rows = parsed
     if make_model is not None:
-        shape = '{"patient_name", "patient_id", "test_type", "test_date", "analytes": [{"name", "value", "unit", "range", "status"}]}'
-        prompt = F.concat(
-            F.lit(f"Extract entities from this lab report as JSON {shape}:\n\n"), F.substring("text", 1, 4000)
-        )
-        asked = rows.withColumn("prompt", prompt)
-        rows = models.apply_text_model(asked, make_model, out_col="entities_json").drop("prompt")
+        merged = merge_windows(window_answers(parsed, make_model, window), as_of)
+        read = parsed.select("upload_id", "text").join(merged, "upload_id")
+        return _formatted(read)
+    rows = parsed
     read = rows.select(
         "upload_id", "text", F.inline(F.array(F.struct(ct.parse_entities_json(F.col("entities_json"), as_of).alias("e"))))
     )
+    return _formatted(read)
+
+
+def _formatted(read: DataFrame) -> DataFrame:
     e = F.col("e")
     pid = F.coalesce(F.nullif(e["patient_id"], F.lit("")), ct.generate_patient_id(e["patient_name"]))
     filled = read.withColumn("e", e.withField("patient_id", pid))

@@ -48,10 +48,8 @@ def workspace(spark: SparkSession, name: str = "work") -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are task slots.
+    """``df`` over as many partitions as shuffles have.
 
-    For rules that cost far more than moving a row (text reading, rendering). A scan that
-    already splits well is left as it is, so large inputs are never shuffled for this.
+    For rules that cost far more than moving a row (text reading, rendering).
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

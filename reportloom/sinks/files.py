@@ -6,7 +6,7 @@ write, so a big key neither becomes one task nor scatters into thousands of smal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from reportloom.functions import content as ct
 
@@ -69,10 +69,13 @@ def write_formatted_reports(reports: DataFrame, path: str) -> None:
 def write_answer_csv(result: DataFrame, question: str, sql: str, folder: str) -> str:
     """Result rows as CSV under a name made from the question, and an audit row. Returns the path."""
     spark: SparkSession = result.sparkSession
-    named = spark.range(1).select(ct.answer_file_stem(F.lit(question)).alias("stem"))
-    path = f"{folder.rstrip('/')}/{named.first().stem}"
-    result.write.mode("overwrite").option("header", True).csv(path)
-    rows = spark.read.option("header", True).csv(path).count() if result.columns else 0
+    named = spark.range(1).select(ct.answer_file_stem(F.lit(question)).alias("stem"), F.left(F.sha2(F.lit(sql), 256), F.lit(12)).alias("sql"))
+    row = named.first()
+    path = f"{folder.rstrip('/')}/{row.stem}_{row.sql}"
+    # Counted in the write itself: a cell with line breaks is one row, however it is printed.
+    seen = Observation()
+    result.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    rows = seen.get["n"]
     audit = spark.range(1).select(
         F.lit(question).alias("question"), F.lit(sql).alias("sql"), F.lit(path).alias("csv_path"),
         F.lit(rows).cast("bigint").alias("n_rows"),

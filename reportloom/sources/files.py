@@ -74,9 +74,13 @@ def hash_report_files(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][
     )
 
 
+# Parsed reports, by suffix in any case.
+PARSED_TEXT = "*.{[mM][dD],[jJ][sS][oO][nN]}"
+
+
 def scan_parsed_text(spark: SparkSession, folder: str) -> DataFrame:
     """(report_id, path, text) of the .md and .json files right in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[mM][dD],[jJ][sS][oO][nN]}").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", PARSED_TEXT).load(folder)
     return files.select(
         file_stem(F.col("path")).alias("report_id"),
         "path",

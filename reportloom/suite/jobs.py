@@ -316,7 +316,7 @@ WHERE session_end <= (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') FROM even
 )
 def stream_session_activity(spark, sf_dir):
     path = workspace(spark, "activity")
-    _finish(st.stream_session_activity(_stream(spark, sf_dir, "events", ["user_id", "ts"]), "user_id", f"{path}/out", f"{path}/checkpoint"))
+    _finish(st.stream_session_activity(_stream(spark, sf_dir, "events", ["user_id", "ts"]), "user_id", f"{path}/out", f"{path}/checkpoint", "0 seconds"))
     got = spark.read.schema("user_id bigint, session_start timestamp, session_end timestamp, n_writes bigint").parquet(f"{path}/out")
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return got.withColumns({c: F.date_format(c, fmt) for c in ("session_start", "session_end")})

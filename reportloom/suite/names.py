@@ -177,3 +177,41 @@ def resolve_patient_name(spark, sf_dir):
     mention = F.concat(F.replace("s_name", F.lit("Supplier#"), F.lit("Customer#")), F.lit("7"))
     mentions = tb.table(spark, sf_dir, "supplier").select("s_suppkey", mention.alias("mention"))
     return op.resolve_patient_name(mentions, people)
+
+
+_TYPO_SQL = r"""
+      CASE c_custkey % 5
+        WHEN 0 THEN last || ', ' || first
+        WHEN 1 THEN 'Z' || substr(first, 2) || ' ' || last
+        WHEN 2 THEN last || ' Q' || first
+        WHEN 3 THEN substr(first, 2) || ' ' || last
+        ELSE upper(first) || ' ' || substr(last, 1, 2) || 'x' || substr(last, 4) END AS mention"""
+
+
+@query(
+    "resolve_swapped_and_misspelled",
+    rf"""WITH c AS (
+  SELECT c_custkey, 'P' || c_custkey AS patient_id, lower(c_mktsegment) AS first, 'k' || md5(c_custkey::VARCHAR) AS last FROM customer),
+mention AS (SELECT c_custkey, {_TYPO_SQL} FROM c)
+SELECT c_custkey, mention, 'P' || c_custkey AS patient_id, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 1 END::INT AS distance FROM mention""",
+)
+def resolve_swapped_and_misspelled(spark, sf_dir):
+    """Swapped words, and one letter replaced, added or lost at the start of a word or inside.
+
+    Last names are long hashes, so the one person within two edits is the one meant.
+    """
+    people = tb.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.lower("c_mktsegment").alias("first"), F.concat(F.lit("k"), F.md5(F.col("c_custkey").cast("string"))).alias("last")
+    )
+    kind, first, last = F.col("c_custkey") % 5, F.col("first"), F.col("last")
+    mention = (
+        F.when(kind == 0, F.concat(last, F.lit(", "), first))
+        .when(kind == 1, F.concat(F.lit("Z"), F.substring(first, 2, 99), F.lit(" "), last))
+        .when(kind == 2, F.concat(last, F.lit(" Q"), first))
+        .when(kind == 3, F.concat(F.substring(first, 2, 99), F.lit(" "), last))
+        .otherwise(F.concat(F.upper(first), F.lit(" "), F.substring(last, 1, 2), F.lit("x"), F.substring(last, 4, 99)))
+    )
+    known = people.select(
+        F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("patient_id"), F.concat_ws(" ", first, last).alias("full_name")
+    )
+    return op.resolve_patient_name(people.select("c_custkey", mention.alias("mention")), known)

@@ -10,10 +10,7 @@ from reportloom.session import spread
 from reportloom.suite import tables as tb
 from reportloom.suite.registry import query
 
-_V = (
-    r"([A-Za-z][A-Za-z0-9 _/%\-]{1,40})\s+(-?\d+(?:\.\d+)?)\s*([A-Za-z/%µ\^\-]+)?"
-    r"(?:\s*(\([HL]\)))?(?:\s+(\d+(?:\.\d+)?\s*-\s*\d+(?:\.\d+)?))?"
-)
+_V = labs.VALUE_ROW
 
 DOC_LINES_SQL = r"""
 doc_lines AS (
@@ -26,12 +23,16 @@ doc_lines AS (
 OBSERVATIONS_SQL = f"""{DOC_LINES_SQL},
 hits AS (
   SELECT doc_id, line_no, regexp_extract(line, '{_V}', ['a', 'v', 'u', 'f', 'r']) AS m
-  FROM doc_lines WHERE length(line) <= 200 AND regexp_matches(line, '{_V}')),
+  FROM doc_lines WHERE regexp_matches(line, '{_V}')),
 obs AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS obs_no,
          trim(m.a) AS analyte, m.v AS value, m.u AS unit, m.r AS ref_range
   FROM hits WHERE lower(m.a) NOT IN ('name', 'patient', 'value', 'result', 'reference')),
-observations AS (SELECT 'D' || doc_id AS report_id, obs_no, analyte, value, unit, ref_range FROM obs WHERE obs_no < 200)"""
+observations AS (SELECT 'D' || doc_id AS report_id, obs_no, analyte, value, unit, ref_range FROM obs)"""
+
+LIMITED_SQL = OBSERVATIONS_SQL.replace("WHERE regexp_matches", "WHERE length(line) <= 200 AND regexp_matches").replace(
+    "FROM obs)", "FROM obs WHERE obs_no < 200)"
+)
 
 
 def documents(spark, sf_dir):
@@ -45,6 +46,12 @@ def extract_observations(spark, sf_dir):
     return op.extract_observations(documents(spark, sf_dir))
 
 
+@query("extract_observations_limited", f"WITH {LIMITED_SQL} SELECT * FROM observations")
+def extract_observations_limited(spark, sf_dir):
+    """With both limits of the known loader: lines up to 200 characters, 200 rows a report."""
+    return op.extract_observations(documents(spark, sf_dir), max_rows=200, max_line=200)
+
+
 REPORT_OBSERVATIONS_SQL = f"""WITH {tb.REPORT_TEXTS_SQL},
 rows AS (
   SELECT report_id, unnest(list_filter([
@@ -122,20 +129,83 @@ def first_200_per_report(spark, sf_dir):
     f"""WITH {tb.REPORT_TEXTS_SQL},
 cells AS (
   SELECT report_id, regexp_extract(text, '(?m)^\\| (Brand[^|]*) \\| (\\d+) \\| mg/dL \\| (\\d+-\\d+) \\| (\\w+) \\|$',
-                                   ['a', 'v', 'r', 's']) AS m,
-         regexp_matches(text, '^\\| Patient') AS two FROM report_texts)
-SELECT report_id, CASE WHEN two THEN 1 ELSE 0 END AS table_no, 0 AS row_no, m.a AS analyte, m.v AS value,
+                                   ['a', 'v', 'r', 's']) AS m FROM report_texts)
+SELECT report_id, 0 AS table_no, 0 AS row_no, m.a AS analyte, m.v AS value,
        'mg/dL' AS unit, m.r AS ref_range, m.s AS status, CAST(m.v AS DOUBLE) AS value_num,
        CASE m.s WHEN 'B' THEN 'BORDERLINE' ELSE 'HIGH' END AS status_code
-FROM cells
-UNION ALL
-SELECT report_id, 0, 0, 'Patient', regexp_extract(text, '^\\| Patient \\| ([^|]*) \\|', 1), '', '', '', NULL, NULL
-FROM report_texts WHERE regexp_matches(text, '^\\| Patient')""",
+FROM cells""",
 )
 def table_observations(spark, sf_dir):
     return op.table_observations(tb.report_texts(spark, sf_dir))
 
 
+# Layouts of real reports: a banner inside the table, thousands marks, bounds, words, a range note.
+_LAYOUTS_SQL = """
+SELECT 'R' || o_orderkey AS report_id, o_custkey,
+  substr(CAST(1000 + o_custkey % 9000 AS VARCHAR), 1, 1) || ',' || substr(CAST(1000 + o_custkey % 9000 AS VARCHAR), 2) AS big FROM orders"""
+
+
+@query(
+    "table_layouts",
+    f"""WITH t AS ({_LAYOUTS_SQL})
+SELECT report_id, 0 AS table_no, u.row_no::INT AS row_no, u.analyte AS analyte, u.value AS value, u.unit AS unit, u.ref AS ref_range,
+  u.status AS status, u.num AS value_num, u.code AS status_code
+FROM (SELECT report_id, unnest([
+  {{'row_no': 2, 'analyte': 'Platelets', 'value': big, 'unit': '/uL', 'ref': '150-450', 'status': 'HIGH', 'num': CAST(replace(big, ',', '') AS DOUBLE), 'code': 'HIGH'}},
+  {{'row_no': 3, 'analyte': 'TSH', 'value': '<0.01', 'unit': 'uIU/mL', 'ref': '0.4-4', 'status': 'L', 'num': NULL, 'code': 'LOW'}},
+  {{'row_no': 5, 'analyte': 'HBsAg', 'value': 'Negative', 'unit': '', 'ref': '', 'status': '', 'num': NULL, 'code': NULL}},
+  {{'row_no': 6, 'analyte': 'Iron', 'value': CAST(o_custkey AS VARCHAR) || '.25', 'unit': 'ug/dL', 'ref': '60 - 170', 'status': 'N',
+    'num': CAST(CAST(o_custkey AS VARCHAR) || '.25' AS DOUBLE), 'code': 'NORMAL'}}]) AS u FROM t)""",
+)
+def table_layouts(spark, sf_dir):
+    orders = spread(tb.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    digits = (F.lit(1000) + F.col("o_custkey") % 9000).cast("string")
+    big = F.concat(F.substring(digits, 1, 1), F.lit(","), F.substring(digits, 2, 3))
+    text = F.concat(
+        F.lit("| stray | 5 |\n\n| Test | Result | Unit | Reference | Status |\n|---|---|---|---|---|\n"),
+        F.lit("| PATIENT: DOE, JANE TEST DATE: 01/02/2024 | DOB: 01/02/1970 | AGE: 68 | | |\n| DOB | 01/02/1970 | | | |\n"),
+        F.lit("| Platelets | "), big, F.lit(" | /uL | 150-450 | HIGH |\n| TSH | <0.01 | uIU/mL | 0.4-4 | L |\n"),
+        F.lit("| Ref: 30-100 | 5 | | | |\n| HBsAg | Negative | | | |\n| Iron | "), F.col("o_custkey").cast("string"),
+        F.lit(".25 | ug/dL | 60 - 170 | N |\n"), F.repeat(F.lit("a long line after the table "), 20),
+    )
+    return op.table_observations(orders.select(F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("report_id"), text.alias("text")))
+
+
+@query(
+    "card_layouts",
+    f"""WITH t AS ({_LAYOUTS_SQL})
+SELECT report_id, 0 AS card_no, 'Platelets' AS analyte, big AS value, '/uL' AS unit, '150-450' AS ref_range, 'HIGH' AS status,
+  CAST(replace(big, ',', '') AS DOUBLE) AS value_num FROM t
+UNION ALL SELECT report_id, 1, 'TSH', '<0.01', 'uIU/mL', '0.4-4', 'LOW', NULL FROM t
+UNION ALL SELECT report_id, 2, 'HBsAg', 'Negative', '', 'Negative', 'NORMAL', NULL FROM t""",
+)
+def card_layouts(spark, sf_dir):
+    orders = spread(tb.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    digits = (F.lit(1000) + F.col("o_custkey") % 9000).cast("string")
+    text = F.concat(
+        F.lit("Lab Results\n\n## Platelets\n"), F.substring(digits, 1, 1), F.lit(","), F.substring(digits, 2, 3),
+        F.lit(" /uL\nRef: 150-450\nHIGH\nTSH\n<0.01 uIU/mL\nRef: 0.4-4\nLow\nHBsAg\nNegative\nRef: Negative\nNormal\n"),
+    )
+    return op.card_observations(orders.select(F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("report_id"), text.alias("text")))
+
+
+@query(
+    "header_in_one_line",
+    """SELECT 'R' || o_orderkey AS report_id, 'SMITH, JOHN' AS patient, 'P' || o_custkey AS patient_id, '1970-01-02' AS dob,
+  'M' AS gender, CAST(NULL AS VARCHAR) AS panel, strftime(o_orderdate, '%Y-%m-%d') AS collected, CAST(NULL AS VARCHAR) AS report_date,
+  CAST(NULL AS VARCHAR) AS specimen, CAST(o_orderkey AS VARCHAR) AS accession FROM orders""",
+)
+def header_in_one_line(spark, sf_dir):
+    """All labels on one line of far more than 200 characters."""
+    orders = spread(tb.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    text = F.concat(
+        F.lit("Patient: SMITH, JOHN DOB: 01/02/1970 Gender: M ID: P"), F.col("o_custkey").cast("string"), F.repeat(F.lit(" . . ."), 60),
+        F.lit(" Collected: "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" Accession: "), F.col("o_orderkey").cast("string"),
+    )
+    got = op.header_fields(orders.select(F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("report_id"), text.alias("text")))
+    return got.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("dob", "collected", "report_date")})
+
+
 _CARD_SQL = """
 cards AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS q, l_returnflag

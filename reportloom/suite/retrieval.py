@@ -29,8 +29,8 @@ def vector_top_k(spark, sf_dir):
 
 @query("vector_top_k_many_queries", _TOP_SQL.format(k=5))
 def vector_top_k_many_queries(spark, sf_dir):
-    """The same with so small a limit that the queries need several scans."""
-    return op.vector_top_k(tb.table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), k=5, max_queries=32)
+    """A short list per query, from more blocks than there are partitions."""
+    return op.vector_top_k(tb.table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), k=5, blocks=31)
 
 
 @query(
@@ -58,17 +58,16 @@ def merge_entities(spark, sf_dir):
     return op.merge_entities(mentions)
 
 
-@query(
-    "graph_neighbourhood",
-    """WITH edges AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem),
+_GRAPH_SQL = """WITH edges AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem),
 seeds AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_acctbal > 9000 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size = 50),
 hits AS (SELECT dst AS node FROM edges WHERE src IN (SELECT seed FROM seeds)
          UNION ALL SELECT src FROM edges WHERE dst IN (SELECT seed FROM seeds)),
 nodes AS (SELECT node, min(hop) AS hop, max(links) AS links FROM (
   SELECT seed AS node, 0 AS hop, 0 AS links FROM seeds UNION ALL SELECT node, 1, count(*) FROM hits GROUP BY node) GROUP BY node)
-SELECT node, hop, links FROM nodes ORDER BY hop, links DESC, node LIMIT 1000""",
-)
-def graph_neighbourhood(spark, sf_dir):
+SELECT node, hop, links FROM nodes"""
+
+
+def _neighbourhood(spark, sf_dir, most=None):
     edges = tb.table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"),
@@ -79,7 +78,7 @@ def graph_neighbourhood(spark, sf_dir):
     large = tb.table(spark, sf_dir, "part").where("p_size = 50").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("seed")
     )
-    return op.graph_neighbourhood(edges, rich.unionByName(large))
+    return op.graph_neighbourhood(edges, rich.unionByName(large), max_nodes=most)
 
 
 # ---- hooks with pure functions -------------------------------------------------------
@@ -116,6 +115,17 @@ def _line_parser():
     return parse
 
 
+@query("graph_neighbourhood", _GRAPH_SQL)
+def graph_neighbourhood(spark, sf_dir):
+    return _neighbourhood(spark, sf_dir)
+
+
+@query("graph_neighbourhood_limited", _GRAPH_SQL + " ORDER BY hop, links DESC, node LIMIT 1000")
+def graph_neighbourhood_limited(spark, sf_dir):
+    """With the node limit of a retrieval setting."""
+    return _neighbourhood(spark, sf_dir, 1000)
+
+
 @query("apply_text_model", "SELECT doc_id, 'sys:' || length(text) AS answer FROM documents")
 def apply_text_model(spark, sf_dir):
     prompts = tb.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))

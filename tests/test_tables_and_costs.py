@@ -123,19 +123,26 @@ def test_report_scope_by_month(spark):
 @pytest.mark.parametrize(
     "question, stem",
     [
-        ("How many total patients showed up in 2024", "sql_How_many_total_patients_showed_up_in_2024"),
-        ("in 2025?", "sql_in_2025"),
+        ("How many total patients showed up in 2024", "sql_How_many_total_patients_showed_up_in_2024_"),
+        ("in 2025?", "sql_in_2025_"),
     ],
 )
 def test_answer_stems(spark, question, stem):
-    assert spark.range(1).select(ct.answer_file_stem(F.lit(question)).alias("s")).first().s == stem
+    names = [spark.range(1).select(ct.answer_file_stem(F.lit(q)).alias("s")).first().s for q in (question, question + "!")]
+    assert names[0][:-12] == names[1][:-12] == stem
+    assert names[0] != names[1]
 
 
 def test_answer_csv_and_audit(spark, tmp_path):
     path = sink.write_answer_csv(spark.range(3), "How many?", "SELECT id", str(tmp_path))
-    assert path.endswith("sql_How_many")
+    assert path.rsplit("/", 1)[1].startswith("sql_How_many_")
     audit = spark.read.json(f"{tmp_path}/audit").first()
     assert (audit.question, audit.sql, audit.n_rows) == ("How many?", "SELECT id", 3)
+    broken = spark.createDataFrame([("a\nb\nc",), ("d",)], "t string")
+    other = sink.write_answer_csv(broken, "How many?!", "SELECT t", str(tmp_path))
+    assert other != path
+    rows = {r.question: r.n_rows for r in spark.read.json(f"{tmp_path}/audit").collect()}
+    assert rows == {"How many?": 3, "How many?!": 2}
 
 
 def test_ensure_tables(spark):

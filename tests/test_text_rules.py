@@ -105,12 +105,17 @@ def test_observations(spark):
     assert observed(spark, "| Albumin | 3.24 | g/dL |") == []
     assert observed(spark, "San Jose, CA 58689") == [("CA", "58689", "", "")]
     assert observed(spark, "Result 5\nFe -2.5 (H) 1 - 3") == [("Fe", "-2.5", "", "1 - 3")]
-    assert observed(spark, "A" * 190 + " Iron 5 mg/d") == []
+    assert [r[1:3] for r in observed(spark, "- " * 190 + " Iron 5 mg/d")] == [("5", "mg/d")]
 
 
-def test_observations_stop_at_200_rows(spark):
-    rows = observed(spark, "\n".join(f"Iron x{i} {i}" for i in range(300)))
-    assert len(rows) == 200 and rows[-1][1] == "199"
+def test_observations_have_limits_on_request_only(spark):
+    text = "\n".join(f"Iron x{i} {i}" for i in range(300))
+    rows = observed(spark, text)
+    assert len(rows) == 300 and rows[-1][1] == "299"
+    docs = spark.createDataFrame([("r", text + "\n" + "- " * 190 + " Iron 5 mg")], "report_id string, text string")
+    assert obs.extract_observations(docs).count() == 301
+    assert obs.extract_observations(docs, max_rows=200).count() == 200
+    assert obs.extract_observations(docs, max_line=200).count() == 300
 
 
 @settings(max_examples=20, deadline=None)
@@ -211,14 +216,24 @@ def _edit(a, b):
     st.lists(st.text(alphabet="abc ", min_size=1, max_size=7), min_size=1, max_size=12),
 )
 def test_fuzzy_names_like_brute_force(spark, mentions, known):
-    def key(s):
-        return " ".join(sorted(w for w in re.split(r"[\s,]+", s.lower()) if w))
+    def words(s):
+        return [w for w in re.split(r"[\s,]+", s.lower()) if w]
+
+    def known_forms(s):
+        return {" ".join(words(s)), " ".join(sorted(words(s)))}
+
+    def orders(s):
+        w = words(s)
+        turned = {" ".join(v[i:] + v[:i]) for v in (w, w[::-1]) for i in range(len(w))}
+        return turned | {" ".join(sorted(w))}
 
     people = spark.createDataFrame([(f"P{i:02}", n) for i, n in enumerate(known)], "patient_id string, full_name string")
     asked = spark.createDataFrame(list(enumerate(mentions)), "i int, mention string")
     got = {r.i: (r.patient_id, r.distance) for r in names.resolve_patient_name(asked, people).collect()}
     for i, mention in enumerate(mentions):
-        options = [(_edit(key(mention), key(n)), f"P{j:02}") for j, n in enumerate(known)] if key(mention) else []
+        options = [
+            (min(_edit(a, b) for a in orders(mention) for b in known_forms(n)), f"P{j:02}") for j, n in enumerate(known)
+        ] if words(mention) else []
         near = [o for o in options if o[0] <= 2]
         want = (min(near)[1], min(near)[0]) if near else (None, None)
         assert got[i] == want, (mention, known)

@@ -85,10 +85,12 @@ def retrieve(
     mode: str = "hybrid",
     k: int = retrieval.TOP_K,
     threshold: float = retrieval.COSINE_THRESHOLD,
+    chunks: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank): best ``k`` hits per query over entities and relations.
 
-    ``queries`` has (query_id, embedding); the others (vec_id, embedding).
+    With ``chunks`` their hits take part as well, in any mode. ``queries`` has (query_id,
+    embedding); the others (vec_id, embedding). Ids must not repeat across the sides.
     """
 
     def hits(vectors: DataFrame) -> DataFrame:
@@ -101,6 +103,8 @@ def retrieve(
         both = retrieval.hybrid_candidates(side, side, mode, keys)
     else:
         both = retrieval.hybrid_candidates(hits(entities), hits(relations), mode, keys)
+    if chunks is not None:
+        both = both.unionByName(hits(chunks))
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

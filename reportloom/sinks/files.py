@@ -6,6 +6,9 @@ write, so a big key neither becomes one task nor scatters into thousands of smal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from reportloom.functions import content as ct
@@ -66,6 +69,28 @@ def write_formatted_reports(reports: DataFrame, path: str) -> None:
     reports.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
+def write_file_per_row(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Each row's bytes as a file of its own in ``folder``; returns the number of files.
+
+    Tasks write the files, so the folder must be one that all executors share. A repeated task
+    writes the same files again.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, inside = fs.FileSystem.from_uri(folder)
+        store.create_dir(inside, recursive=True)
+        for frame in frames:
+            for file_name, data in zip(frame[name], frame[content], strict=True):
+                with store.open_output_stream(f"{inside}/{file_name}") as out:
+                    out.write(bytes(data or b""))
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    done = rows.select(name, content).mapInPandas(run, "n bigint")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_answer_csv(result: DataFrame, question: str, sql: str, folder: str) -> str:
     """Result rows as CSV under a name made from the question, and an audit row. Returns the path."""
     spark: SparkSession = result.sparkSession

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reportloom.session import workspace
+from reportloom.sinks import files as sink
 from reportloom.sources import files as op
 from reportloom.suite import tables as tb
 from reportloom.suite.registry import query
@@ -20,19 +22,54 @@ def _paths(spark, sf_dir):
     return tb.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text", "n_chars")
 
 
-@query("scan_report_files")
+_FOLDER_SUFFIXES = (".pdf", ".PDF", ".md", ".exe")
+_FOLDER_SQL = f"""files AS (
+  SELECT 'D' || doc_id || ([{", ".join(f"'{s}'" for s in _FOLDER_SUFFIXES)}])[CAST(doc_id % 4 AS INT) + 1] AS name, strlen(text) + 1 AS size_bytes,
+         text, doc_id FROM documents)"""
+
+
+def _folder(spark, sf_dir):
+    """Every document as a file in a new shared folder, a stray byte after its text."""
+    suffix = F.get(F.array(*[F.lit(s) for s in _FOLDER_SUFFIXES]), (F.col("doc_id") % 4).cast("int"))
+    rows = tb.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("D"), F.col("doc_id").cast("string"), suffix).alias("name"),
+        F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))).alias("content"),
+    )
+    folder = workspace(spark, "files")
+    sink.write_file_per_row(rows, folder)
+    return folder
+
+
+@query("scan_report_files", f"WITH {_FOLDER_SQL} SELECT name, size_bytes FROM files WHERE lower(name) LIKE '%.pdf'")
 def scan_report_files(spark, sf_dir):
-    """The table files themselves; their number and sizes are not known to the SQL side."""
-    return op.scan_report_files(spark, sf_dir, "*.parquet").select("name", "size_bytes")
+    return op.scan_report_files(spark, _folder(spark, sf_dir)).select("name", "size_bytes")
 
 
-@query("list_files")
+@query(
+    "hash_report_files",
+    f"WITH {_FOLDER_SQL} SELECT name, sha256(encode(text) || '\\xFF'::BLOB) AS sha256 FROM files WHERE lower(name) LIKE '%.pdf'",
+)
+def hash_report_files(spark, sf_dir):
+    return op.hash_report_files(spark, _folder(spark, sf_dir)).select("name", "sha256")
+
+
+@query(
+    "list_files",
+    f"""WITH {_FOLDER_SQL} SELECT name, lower(regexp_extract(name, '[.]\\w+$')) AS suffix, size_bytes AS length,
+  CASE WHEN name LIKE '%.exe' THEN 'unsupported file type' ELSE '-' END AS reject_reason FROM files""",
+)
 def list_files(spark, sf_dir):
-    return op.filter_supported_files(op.list_files(spark, [sf_dir])).select(
-        op.file_name(F.col("path")).alias("name"), "suffix", "reject_reason"
+    listed = op.filter_supported_files(op.list_files(spark, [_folder(spark, sf_dir)]))
+    return listed.select(
+        op.file_name(F.col("path")).alias("name"), "suffix", "length", F.coalesce("reject_reason", F.lit("-")).alias("reject_reason")
     )
 
 
+@query("scan_parsed_folder", f"WITH {_FOLDER_SQL} SELECT 'D' || doc_id AS report_id, md5(text) AS text_md5 FROM files WHERE name LIKE '%.md'")
+def scan_parsed_folder(spark, sf_dir):
+    return op.scan_parsed_text(spark, _folder(spark, sf_dir)).select("report_id", F.md5("text").alias("text_md5"))
+
+
 @query(
     "filter_supported_files",
     f"""WITH {_PATHS_SQL} SELECT doc_id, path, suffix,

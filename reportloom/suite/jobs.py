@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from reportloom.functions import content as ct
+from reportloom.functions import content as ct, templates as tm
 from reportloom.operators import chat, costs, names
 from reportloom.plans import hydrate as hy, knowledge as kn, questions as qn
 from reportloom.session import workspace
@@ -133,6 +133,36 @@ def insert_multimodal(spark, sf_dir):
     return got.select("doc_id", "pos", "processor", "entity_name", "description", F.md5("chunk").alias("chunk"))
 
 
+@query(
+    "retrieve_with_chunks",
+    """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE label = 0),
+s AS (SELECT query_id, vec_id AS id, label % 3 AS side, round(list_cosine_similarity(qe, CAST(embedding AS DOUBLE[])), 6) AS score
+      FROM q, embeddings WHERE label <> 0),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, side ORDER BY score DESC, id) AS rn FROM s WHERE score >= 0.1) WHERE rn <= 10),
+r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM top)
+SELECT * FROM r WHERE rank <= 10""",
+)
+def retrieve_with_chunks(spark, sf_dir):
+    """Entities, relations and chunks together."""
+    vectors = tb.table(spark, sf_dir, "embeddings")
+    sides = [vectors.where(f"label <> 0 AND label % 3 = {i}") for i in range(3)]
+    return kn.retrieve(retrieval_suite._queries(spark, sf_dir), *sides[:2], k=10, threshold=0.1, chunks=sides[2])
+
+
+@query(
+    "render_query",
+    """SELECT p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE chr(10) || chr(10) || 'Table: ' || p_brand
+  || CASE WHEN p_size % 3 = 2 THEN chr(10) || chr(10) || 'Equation: ' || p_type ELSE '' END
+  || chr(10) || chr(10) || 'Answer the question from the content above as well.' END AS query_text FROM part""",
+)
+def render_query(spark, sf_dir):
+    """A question with no, one or two content parts."""
+    parts = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(
+        F.col("p_size") % 3 == 1, F.array(F.concat(F.lit("Table: "), "p_brand"))
+    ).otherwise(F.array(F.concat(F.lit("Table: "), "p_brand"), F.concat(F.lit("Equation: "), "p_type")))
+    return tb.table(spark, sf_dir, "part").select("p_partkey", tm.render_query(F.col("p_name"), parts).alias("query_text"))
+
+
 @query(
     "retrieve",
     """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE label = 0),

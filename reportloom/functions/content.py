@@ -20,7 +20,22 @@ def kind_of(item_type: Column) -> Column:
 
 
 def parse_content_list(json: Column) -> Column:
-    return F.from_json(json, CONTENT_LIST_DDL)
+    """Content items of a JSON list; ``raw`` holds each item whole, with fields no schema knows.
+
+    A caption or footnote given as one string counts as a list of one.
+    """
+    both = F.arrays_zip(F.from_json(json, CONTENT_LIST_DDL).alias("item"), F.from_json(json, "array<string>").alias("raw"))
+
+    def item(z: Column) -> Column:
+        out = z["item"].withField("raw", z["raw"])
+        for name in ("image_caption", "image_footnote", "table_caption", "table_footnote"):
+            single = F.get_json_object(z["raw"], f"$.{name}")
+            out = out.withField(
+                name, F.coalesce(z["item"][name], F.when(single.isNotNull() & ~F.startswith(single, F.lit("[")), F.array(single)))
+            )
+        return out
+
+    return F.transform(both, item)
 
 
 def separate_text(items: Column) -> Column:

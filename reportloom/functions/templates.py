@@ -21,7 +21,7 @@ _FACTS = {
     "image": "Image path: {img_path}\nCaptions: {captions}\nFootnotes: {footnotes}",
     "table": "Image path: {img_path}\nCaption: {captions}\nBody: {table_body}\nFootnotes: {footnotes}",
     "equation": "Equation: {equation}\nFormat: {text_format}",
-    "generic": "Content: {text}",
+    "generic": "Content: {content}",
 }
 
 _TASKS = {
@@ -60,14 +60,14 @@ CHUNKS = {
         "Mathematical Equation Analysis:\nEquation: {equation}\nFormat: {text_format}\n\n"
         "Mathematical Analysis: {description}"
     ),
-    "generic": "{entity_type} Content Analysis:\nContent: {text}\n\nAnalysis: {description}",
+    "generic": "{entity_type} Content Analysis:\nContent: {content}\n\nAnalysis: {description}",
 }
 
 # Our own wording for content attached to a question.
 QUERY_PARTS = {
     "table": "Table: {captions}\n{table_body}",
     "equation": "Formula: {captions}\n{equation}",
-    "generic": "{entity_type}: {text}",
+    "generic": "{entity_type}: {content}",
 }
 QUERY_SUFFIX = "\n\nAnswer the question from the content above as well."
 
@@ -104,6 +104,8 @@ def item_fields(item: Column, entity_name: Column, context: Column, description:
         "equation": F.coalesce(item["latex"], item["text"]),
         "text_format": item["text_format"],
         "text": item["text"],
+        # Items of other kinds keep their meaning in fields of their own.
+        "content": F.coalesce(item["raw"], item["text"]),
         "context": context,
         "description": description,
     }

@@ -42,7 +42,7 @@ CONTENT_ITEM_FIELDS = (
     "type string, text string, text_level int, page_idx int, img_path string, "
     "image_caption array<string>, image_footnote array<string>, table_body string, "
     "table_caption array<string>, table_footnote array<string>, latex string, "
-    "text_format string"
+    "text_format string, raw string"
 )
 CONTENT_LIST_DDL = "array<struct<" + CONTENT_ITEM_FIELDS.replace(" ", ":").replace(",:", ",") + ">>"
 

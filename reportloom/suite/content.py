@@ -221,6 +221,7 @@ _FIELDS = {
     "equation": "CASE WHEN type = 'equation' OR coalesce(type, 'text') = 'text' THEN line END",
     "text_format": "CASE WHEN type = 'equation' THEN 'LaTeX' END",
     "text": "CASE WHEN coalesce(type, 'text') = 'text' THEN line END",
+    "content": "CASE WHEN coalesce(type, 'text') = 'text' THEN line END",
     "context": "CASE WHEN pos % 2 = 0 THEN 'near ' || page_idx END",
     "description": "'about ' || pos",
 }
@@ -259,6 +260,28 @@ def render_modal_chunks(spark, sf_dir):
     return items.select("doc_id", "pos", chunk.alias("chunk"))
 
 
+@query(
+    "generic_content_items",
+    """SELECT p_partkey, u.pos::INT AS pos, u.chunk AS chunk FROM (SELECT p_partkey, unnest([
+  {'pos': 0, 'chunk': 'chart Content Analysis:' || chr(10) || 'Content: {"type":"chart","chart_data":{"brand":"' || p_brand || '","size":' || p_size
+    || '},"page_idx":3}' || chr(10) || chr(10) || 'Analysis: seen'},
+  {'pos': 1, 'chunk': chr(10) || 'Image Content Analysis:' || chr(10) || 'Image Path: ' || chr(10) || 'Captions: ' || p_name || chr(10)
+    || 'Footnotes: None' || chr(10) || chr(10) || 'Visual Analysis: seen'}]) AS u FROM part)""",
+)
+def generic_content_items(spark, sf_dir):
+    """An unknown kind with fields of its own, and a caption given as one string."""
+    chart = F.struct(
+        F.lit("chart").alias("type"), F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("chart_data"),
+        F.lit(3).alias("page_idx"),
+    )
+    image = F.struct(F.lit("image").alias("type"), F.col("p_name").alias("image_caption"))
+    json = F.concat(F.lit("["), F.to_json(chart), F.lit(","), F.to_json(image), F.lit("]"))
+    lists = tb.table(spark, sf_dir, "part").select("p_partkey", ct.parse_content_list(json).alias("items"))
+    rows = lists.select("p_partkey", F.posexplode("items").alias("pos", "item"))
+    chunk = tm.render_modal_chunk(ct.route_content(F.col("item.type")), F.col("item"), F.lit("seen"))
+    return rows.select("p_partkey", "pos", chunk.alias("chunk"))
+
+
 @query(
     "parse_modal_json",
     """SELECT event_id, CASE WHEN event_type <> 'error' THEN 'value ' || CAST(floor(value) AS BIGINT) ELSE '-' END AS description,

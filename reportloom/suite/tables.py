@@ -288,6 +288,7 @@ def content_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
             none.cast(strings).alias("table_footnote"),
             F.when(kind == "equation", line).alias("latex"),
             F.when(kind == "equation", F.lit("LaTeX")).alias("text_format"),
+            none.cast("string").alias("raw"),
         )
 
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(

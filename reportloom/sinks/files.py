@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from reportloom.functions import content as ct
 
@@ -41,20 +41,35 @@ def write_parse_log(outcomes: DataFrame, path: str) -> None:
 
 
 def usage_entries(usage: DataFrame) -> DataFrame:
-    """Ledger rows as nested log entries with their day."""
+    """Ledger rows as nested log entries with their day.
+
+    ``id``, ``metadata`` (JSON text) and ``error`` are taken where the ledger has them. An entry
+    with an error has the error in place of id, time, operation and total.
+    """
+    failed = F.col("error").isNotNull() if "error" in usage.columns else F.lit(False)
+
+    def unless_failed(column: Column) -> Column:
+        return F.when(~failed, column)
+
+    def optional(name: str) -> list[Column]:
+        return [F.col(name)] if name in usage.columns else []
+
     return usage.select(
         F.to_date("timestamp").alias("date"),
-        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        *[unless_failed(c).alias("id") for c in optional("id")],
+        *optional("error"),
+        unless_failed(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("timestamp"),
         "user_id",
         "session_id",
-        "operation_type",
+        unless_failed(F.col("operation_type")).alias("operation_type"),
         "model_name",
         F.struct(
             F.col("input_tokens").alias("input"),
             F.col("output_tokens").alias("output"),
-            F.col("total_tokens").alias("total"),
+            unless_failed(F.col("total_tokens")).alias("total"),
         ).alias("tokens"),
         F.struct("input_cost", "output_cost", "total_cost").alias("costs"),
+        *optional("metadata"),
     )
 
 

@@ -291,6 +291,35 @@ def write_usage_jsonl(spark, sf_dir):
     )
 
 
+@query(
+    "write_usage_entries",
+    f"""{costs_suite._U} SELECT user_id, CASE WHEN event_id % 10 <> 0 THEN event_id ELSE -1 END AS id,
+  CASE WHEN event_id % 10 = 0 THEN 'failed ' || event_id ELSE '-' END AS error,
+  CASE WHEN event_id % 10 <> 0 THEN operation_type ELSE '-' END AS operation_type, input_tokens::BIGINT AS input_tokens,
+  CASE WHEN event_id % 10 <> 0 THEN total_tokens::BIGINT ELSE -1 END AS total_tokens,
+  '{{"event":' || event_id || '}}' AS metadata FROM usage""",
+)
+def write_usage_entries(spark, sf_dir):
+    """Entries with id and metadata, one in ten in the error form."""
+    path = workspace(spark, "usage-entries")
+    key = F.col("event_id")
+    ledger = tb.usage(spark, sf_dir).withColumns({
+        "id": key,
+        "error": F.when(key % 10 == 0, F.concat(F.lit("failed "), key.cast("string"))),
+        "metadata": F.to_json(F.struct(key.alias("event"))),
+    })
+    sink.write_usage_jsonl(ledger, path)
+    log = spark.read.schema(
+        "id bigint, error string, user_id string, operation_type string, tokens struct<input:bigint,total:bigint>, metadata string"
+    ).json(path)
+    dash = F.lit("-")
+    return log.select(
+        "user_id", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("error", dash).alias("error"),
+        F.coalesce("operation_type", dash).alias("operation_type"), F.col("tokens.input").alias("input_tokens"),
+        F.coalesce("tokens.total", F.lit(-1)).alias("total_tokens"), "metadata",
+    )
+
+
 @query(
     "write_answer_csv",
     f"""WITH {tb.REPORTS_SQL} SELECT test_type, count(*) AS n FROM reports GROUP BY 1""",

@@ -334,11 +334,29 @@ def write_answer_csv(spark, sf_dir):
 # ---- streams -------------------------------------------------------------------------
 
 
-def _stream(spark, sf_dir, name, keep):
-    source = tb.table(spark, sf_dir, name)
-    return (
-        spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir).select(*keep)
-    )
+_BATCHES = 4
+
+
+def _stream(spark, sf_dir, name, keep, at=None, shaken=0):
+    """A table as a stream of four batches: by time ``at``, or by hash without one.
+
+    ``shaken`` seconds of disorder: rows are dealt by their time moved by up to half of that in
+    either direction, so batches overlap in time and no row is later than ``shaken``.
+    """
+    rows = tb.table(spark, sf_dir, name).select(*keep)
+    if at is None:
+        batch = F.pmod(F.xxhash64(keep[0]), F.lit(_BATCHES))
+    else:
+        micros = F.unix_micros(F.col(at).cast("timestamp"))
+        first, last = rows.agg(F.min(micros), F.max(micros)).first()
+        moved = micros + (F.pmod(F.xxhash64(*keep), F.lit(1000)) / 1000 - 0.5) * shaken * 1_000_000
+        batch = F.floor((moved - F.lit(first)) * _BATCHES / F.lit(last - first + 1))
+        batch = F.least(F.greatest(batch, F.lit(0)), F.lit(_BATCHES - 1))
+    folder, files = workspace(spark, "stream"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_batch", batch)
+    for i in range(_BATCHES):
+        dealt.where(F.col("_batch") == i).drop("_batch").repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _finish(started) -> int:
@@ -362,7 +380,7 @@ def stream_ingest_reports(spark, sf_dir):
 @query("stream_daily_costs", costs_suite.DAILY_SQL)
 def stream_daily_costs(spark, sf_dir):
     path = workspace(spark, "daily")
-    events = _stream(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    events = _stream(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"], "ts", 7200)
     _finish(st.stream_daily_costs(costs.calculate_cost(tb.calls_of(events)), f"{path}/out", f"{path}/checkpoint"))
     got = st.current_daily_costs(spark, f"{path}/out")
     return got.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
@@ -371,11 +389,13 @@ def stream_daily_costs(spark, sf_dir):
 @query(
     "stream_session_activity",
     f"""SELECT * FROM ({chat_suite.SESSION_ACTIVITY_SQL})
-WHERE session_end <= (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') FROM events)""",
+WHERE session_end <= (SELECT strftime(max(ts) - INTERVAL 7200 SECOND, '%Y-%m-%d %H:%M:%S.%f') FROM events)""",
 )
 def stream_session_activity(spark, sf_dir):
     path = workspace(spark, "activity")
-    _finish(st.stream_session_activity(_stream(spark, sf_dir, "events", ["user_id", "ts"]), "user_id", f"{path}/out", f"{path}/checkpoint", "0 seconds"))
+    _finish(st.stream_session_activity(
+        _stream(spark, sf_dir, "events", ["user_id", "ts"], "ts", 7200), "user_id", f"{path}/out", f"{path}/checkpoint", "7200 seconds"
+    ))
     got = spark.read.schema("user_id bigint, session_start timestamp, session_end timestamp, n_writes bigint").parquet(f"{path}/out")
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return got.withColumns({c: F.date_format(c, fmt) for c in ("session_start", "session_end")})
@@ -392,6 +412,6 @@ SELECT user_id, event_id, recency FROM c WHERE recency <= 20 AND cuts = 0 AND la
 )
 def stream_context_window(spark, sf_dir):
     path = workspace(spark, "context")
-    messages = _stream(spark, sf_dir, "events", ["user_id", "event_id", "ts"])
+    messages = _stream(spark, sf_dir, "events", ["user_id", "event_id", "ts"], "ts")
     last = _finish(st.stream_context_window(messages, "user_id", "ts", "event_id", f"{path}/out", f"{path}/checkpoint"))
     return st.current_context(spark, f"{path}/out", last).select("user_id", "event_id", "recency")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reportloom.functions import text as tx
 from reportloom.operators import documents, merge, names, observations as obs
+from reportloom.session import workspace
 
 
 @dataclass(frozen=True)
@@ -37,23 +38,17 @@ def hydrate(
 ) -> tuple[Store, DataFrame]:
     """New table states and the name index for ``docs`` (report_id, path, text).
 
-    The caller writes each state to a new path. To write several, give ``stage`` (a path in
-    the shared folder): the rows read from the texts are written there first, so the texts
-    are read once for all states and a lost task never re-reads them. Without it each state
-    reads from the texts just what it needs.
+    The caller writes each state to a new path. The rows read from the texts are first written
+    to ``stage`` (a new path in the shared folder unless given), so the texts are read once for
+    all states and a lost task never re-reads them.
     """
     parsed = documents.decompose_report_id(docs, strict=strict).withColumn("src_path", F.col("path"))
-    if stage is None:
-        keyed = parsed.select(*_KEYS)
-        found = names.name_evidence(parsed)
-        seen = obs.extract_observations(parsed)
-    else:
-        rows = stage_reports(parsed, stage)
-        keyed = rows.select(*_KEYS)
-        found = rows.where("found IS NOT NULL").select(
-            "patient_id", F.col("report_id").alias("source_report"), "found.name", "found.confidence"
-        )
-        seen = rows.select("report_id", F.inline("rows"))
+    rows = stage_reports(parsed, stage or workspace(docs.sparkSession, "hydrate"))
+    keyed = rows.select(*_KEYS)
+    found = rows.where("found IS NOT NULL").select(
+        "patient_id", F.col("report_id").alias("source_report"), "found.name", "found.confidence"
+    )
+    seen = rows.select("report_id", F.inline("rows"))
     patients = merge.insert_if_absent(store.patients, keyed.select("patient_id"), ["patient_id"])
     reports = merge.upsert_reports(store.reports, keyed, ["src_path"])
     evidence = merge.replace_observations(store.name_evidence, found, "source_report")
@@ -65,10 +60,11 @@ def hydrate(
     return state, names.first_seen_name(found)
 
 
-def bootstrap(files: DataFrame, store: Store, ingested: DataFrame, strict: bool = True):
+def bootstrap(files: DataFrame, store: Store, ingested: DataFrame, strict: bool = True, as_of: str | None = None):
     """PDF names -> (store, ingested files): parents, reports, content dedupe, seen dates.
 
-    ``files`` has path, name, mtime, size_bytes, sha256.
+    ``files`` has path, name, mtime, size_bytes, sha256. Files seen for the first time are
+    marked with ``as_of`` as their ``ingested_at``.
     """
     parsed = documents.parse_report_filename(files, strict=strict).where("reject_reason IS NULL")
     keyed = parsed.withColumn("src_path", F.col("path"))
@@ -78,6 +74,7 @@ def bootstrap(files: DataFrame, store: Store, ingested: DataFrame, strict: bool
         keyed.select("sha256", "report_id", "patient_id", "src_path", "mtime", "size_bytes"),
         ingested, ["src_path"],
     )
+    fresh = fresh.withColumn("ingested_at", F.lit(as_of).cast("timestamp"))
     tracked = ingested.unionByName(fresh, allowMissingColumns=True)
     dated = merge.backfill_seen_dates(patients, reports)
     return Store(dated, reports, store.name_evidence, store.observations), tracked

@@ -40,13 +40,20 @@ def report_for_question(
     who = names.resolve_patient_name(questions, patients).where("patient_id IS NOT NULL")
     wanted = who.select("question_id", "patient_id", "test_type")
     candidates = reports.prefer_text_else_pdf(texts, pdfs).drop("text")
-    by_type = reports.latest_report(candidates, ["patient_id", "test_type"])
-    # The latest of a person is the latest among their latest per type.
-    any_type = reports.latest_report(by_type, ["patient_id"]).drop("test_type")
-    typed = wanted.where("test_type IS NOT NULL").join(by_type, ["patient_id", "test_type"])
-    untyped = wanted.where("test_type IS NULL").drop("test_type").join(any_type, "patient_id")
-    cols = ["question_id", "patient_id", "report_id"]
-    chosen = typed.select(*cols).unionByName(untyped.select(*cols))
+    # Every report stands for its type and for any type, so one aggregation finds both.
+    kinds = F.array(
+        F.struct(F.lit(False).alias("any_type"), F.col("test_type").alias("asked")),
+        F.struct(F.lit(True).alias("any_type"), F.lit(None).cast("string").alias("asked")),
+    )
+    twice = candidates.withColumn("_k", F.explode(kinds)).select("*", "_k.*").drop("_k", "test_type")
+    latest = reports.latest_report(twice, ["patient_id", "any_type", "asked"]).select("patient_id", "any_type", "asked", "report_id")
+    asked = wanted.select("question_id", F.col("patient_id").alias("_person"), F.col("test_type").alias("_type"))
+    chosen = asked.join(
+        latest,
+        (F.col("_person") == F.col("patient_id"))
+        & (F.col("_type").isNull() == F.col("any_type"))
+        & F.col("_type").eqNullSafe(F.col("asked")),
+    ).select("question_id", "patient_id", "report_id")
     # Only the chosen reports' texts are cut, not every text before the join.
     found = chosen.join(texts.select("report_id", "text"), "report_id", "left")
     return found.withColumn("report_text", ct.truncate_to_words(F.col("text"), max_words)).drop("text")

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions import content as ct
 
-# Items per block in running totals: bounds what one task puts in order for a page.
-_BLOCK = 1024
-
 
 def separate_content(docs: DataFrame, items: str = "items", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., text_content, multimodal) from a content list column; no shuffle."""
@@ -37,26 +34,6 @@ def content_type_distribution(items: DataFrame, multimodal_only: bool = True) ->
     return kept.groupBy("type").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def _running_words(rows: DataFrame, keys: list[str], order: str, words: Column) -> DataFrame:
-    """Words before each row among rows of the same keys, as ``_before``.
-
-    Totals run inside blocks of positions and are offset by the totals of earlier blocks, so
-    one oversized group is spread over many tasks.
-    """
-    block = F.floor(F.col(order) / _BLOCK)
-    rows = rows.withColumn("_block", block).withColumn("_w", words)
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    blocks = rows.groupBy(*keys, "_block").agg(F.sum("_w").alias("_bw"))
-    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offset = blocks.select(*keys, "_block", F.coalesce(F.sum("_bw").over(across), F.lit(0)).alias("_off"))
-    return (
-        rows.join(offset, [*keys, "_block"])
-        .withColumn("_before", F.col("_in") + F.col("_off"))
-        .drop("_block", "_w", "_in", "_off")
-    )
-
-
 def _sources(items: DataFrame, types: tuple[str, ...], headers: bool, captions: bool) -> DataFrame:
     kind = ct.kind_of(F.col("type"))
     fields = ("type", "text", "text_level", "image_caption", "table_caption")
@@ -93,23 +70,24 @@ def page_context(
     page has, and the result is the same as from the whole page.
     """
     src = _sources(items, types, headers, captions)
-    words = F.least(ct.n_words(F.col("shown")), F.lit(max_words))
-    lead = _running_words(src, ["doc_id", "page_idx"], "pos", words).where(F.col("_before") <= 2 * max_words)
+    page = Window.partitionBy("doc_id", "page_idx").orderBy("pos")
+    # Each item has a word at least. The rank limit is applied before the shuffle, so a page with
+    # very many items sends few rows a task; totals and lists then stay in the same partition.
+    near = 2 * max_words + 1
+    cut = src.withColumn("_n", F.row_number().over(page)).where(F.col("_n") <= near)
+    words = F.least(ct.n_words(F.col("shown")), F.lit(max_words + 1))
+    before = F.coalesce(F.sum(words).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lead = cut.withColumn("_before", before).where(F.col("_before") <= 2 * max_words)
     pages = lead.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("_items"))
-    targets = _targets(items)
-    wanted = (
-        targets.select("doc_id", F.col("page_idx").alias("_page")).distinct()
-        .withColumn("page_idx", F.explode(F.sequence(F.col("_page") - window, F.col("_page") + window)))
-    )
     around = (
-        wanted.join(pages, ["doc_id", "page_idx"])
-        .groupBy("doc_id", F.col("_page").alias("page_idx"))
+        pages.withColumn("_page", F.explode(F.sequence(F.col("page_idx") - window, F.col("page_idx") + window)))
+        .groupBy("doc_id", F.col("_page").alias("_at"))
         .agg(F.array_sort(F.collect_list(F.struct("page_idx", "_items"))).alias("_pages"))
-        .select("doc_id", "page_idx", F.flatten(F.transform("_pages", lambda p: p["_items"])).alias("_all"))
+        .select("doc_id", F.col("_at").alias("page_idx"), F.flatten(F.transform("_pages", lambda p: p["_items"])).alias("_all"))
     )
     own = F.col("pos")
     others = F.transform(F.filter("_all", lambda i: i["pos"] != own), lambda i: i["shown"])
-    return targets.join(around, ["doc_id", "page_idx"], "left").select(
+    return _targets(items).join(around, ["doc_id", "page_idx"], "left").select(
         "doc_id", "pos", F.coalesce(_joined(others, max_words), F.lit("")).alias("context")
     )
 

@@ -89,6 +89,18 @@ def test_contexts_like_brute_force(spark):
                 assert got[(d, p)] == cut("\n".join(s for _, _, s in near), limit), (d, p, types, mode)
 
 
+def test_page_context_with_totals_on_the_limit(spark):
+    rows = [
+        (0, 0, {"type": "image", "page_idx": 0, "image_caption": ["one two"]}),
+        (0, 1, {"type": "text", "page_idx": 0, "text": "x y z"}),
+        (0, 2, {"type": "text", "page_idx": 0, "text": "w"}),
+    ]
+    got = content.page_context(items(spark, rows), 1, 3, ("text", "image")).collect()
+    assert [r.context for r in got] == ["x y z..."]
+    whole = content.page_context(items(spark, rows[:2]), 1, 3, ("text", "image")).collect()
+    assert [r.context for r in whole] == ["x y z"]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n|", max_size=60), min_size=1, max_size=10), st.integers(1, 6), st.integers(0, 5))
 def test_chunks_like_python(spark, texts, size, overlap):

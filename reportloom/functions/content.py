@@ -199,7 +199,10 @@ def parse_modal_json(json: Column) -> Column:
 
 
 def format_report_markdown(entities: Column, original: Column) -> Column:
-    """Report text: header block, value table (if there are values), original text."""
+    """Report text: header block, value table (if there are values), original text.
+
+    The layout is a fixed value.
+    """
     pid = F.coalesce(F.nullif(entities["patient_id"], F.lit("")), F.lit("Not specified"))
     head = F.concat(
         F.lit("# Lab Report - "), entities["test_type"],

@@ -25,10 +25,7 @@ NAME_PATTERN = r"(?i)^(?:patient\s*)?name\s*[:\-]\s*" + _VALUE
 ALT_NAME_PATTERN = r"(?i)^(?:pt\.?\s*)?name\s*[:\-]\s*" + _VALUE + "$"
 PATIENT_PATTERN = r"(?i)^patient\s*[:\-]\s*" + _VALUE + "$"
 PIPE_CELL_PATTERN = r"(?i)\|\s*(?:patient\s*name|name|patient)\s*\|\s*" + _VALUE + r"\s*\|"
-FIELD_PATTERN = (
-    r"(?i)^(?:patient\s*)?(first|last|middle|given|surname)\s*name\s*[:\-]\s*"
-    r"([A-Za-z'\-\.\s]+)"
-)
+FIELD_PATTERN = r"(?i)^(?:patient\s*)?(first|last|middle|given|surname)\s*name\s*[:\-]\s*([A-Za-z'\-\.\s]+)"
 # A label line without a value, alone and together with the line after it.
 BARE_LABEL = r"(?imd)^[^\S\n]*(?:patient[^\S\n]*)?name[^\S\n]*[:\-]?[^\S\n]*$"
 WRAPPED_LABEL = BARE_LABEL[:-1] + r"\n([^\n]+)$"

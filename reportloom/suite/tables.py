@@ -149,12 +149,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- usage ledger -------------------------------------------------------------------
 
+# Model names, one unknown among them.
 _MODELS = (
     "gpt-4", "gpt-4-turbo", "gpt-4-turbo-preview", "gpt-4o", "gpt-4o-mini", "gpt-3.5-turbo",
     "gpt-3.5-turbo-16k", "claude-3-opus", "claude-3-sonnet", "claude-3-haiku",
     "claude-3-5-sonnet", "GPT-4O", "other",
 )
 
+# Dollars per 1,000 input and output tokens.
 _PRICES_SQL = """
 prices(model, pin, pout) AS (VALUES
   ('gpt-4', 0.03, 0.06), ('gpt-4-turbo', 0.01, 0.03), ('gpt-4-turbo-preview', 0.01, 0.03),

@@ -12,11 +12,14 @@ of spine nodes crosses if it comes before either node is merged into its own par
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from weakref import ref
 
 import ahocorasick
 import pyarrow as pa
@@ -25,6 +28,9 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 _NEVER = 1 << 60
+# Separators that only Python counts as white space, and the start of special tokens: a text
+# with one of them is encoded in one piece.
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _WORD_END = "</w>"
 # Texts (words, chunks) whose ids a worker remembers before it lets the older ones go.
 REMEMBERED_WORDS = 400_000
@@ -113,21 +119,24 @@ class WordBpe:
         self.split = WordSplitter(path, spec)
         self.letters = _byte_letters()
         self.ending = {c: self._mark(c + _WORD_END) for c in self.letters}
-        self.whole = re.compile("[\\x1c-\\x1f]|<\\|").search
         self.piece = {i: t for t, i in (self.vocab | self.special).items()}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        ids = self.vocab
+        self.merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.automaton = None
+
+    def prepare(self) -> None:
+        """Ranks, spines and automaton: made when the first word is encoded."""
+        merges, ids = self.merges, self.vocab
         self.merge_rank = {(ids[a], ids[b]): r for r, (a, b) in enumerate(merges)}
         parts = {ids[a + b]: (ids[a], ids[b], r) for r, (a, b) in enumerate(merges)}
         # Spines: (node, rank of the merge that takes it into its parent) from the token down.
         self.left_spine = {t: self._spine(t, parts, 0) for t in ids.values()}
         self.right_spine = {t: self._spine(t, parts, 1) for t in ids.values()}
+        self._beside: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
             marked = self._mark(token)
             self.automaton.add_word(marked, (i, len(marked)))
         self.automaton.make_automaton()
-        self._beside: dict[int, bool] = {}
 
     @staticmethod
     def _spine(token: int, parts: dict, side: int) -> list[tuple[int, int]]:
@@ -148,10 +157,9 @@ class WordBpe:
 
     def chunks(self, text: str) -> list[str]:
         """Pieces of ``text`` that encode on their own: no word spans white space."""
-        if not self.whole(text):
-            return text.split()
-        # Separators that only Python counts as white space, or special tokens.
-        return [text] if text else []
+        if any(mark in text for mark in _WHOLE):
+            return [text]
+        return text.split()
 
     def may_stand_beside(self, left: int, right: int) -> bool:
         key = left << 32 | right
@@ -182,6 +190,8 @@ class WordBpe:
         """Ids of one word of the split text (or of one special token)."""
         if word in self.special:
             return [self.special[word]]
+        if self.automaton is None:
+            self.prepare()
         word = self.lettered(word)
         text = word[:-1] + self.ending[word[-1]]
         last = [-1] * (len(text) + 1)
@@ -228,8 +238,24 @@ class Remembered(dict):
         super().__init__()
         self.make = make
         self.most = most
+        Remembered.alive = [r for r in Remembered.alive if r() is not None] + [ref(self)]
         self.older: dict = {}
 
+    alive: list[ref] = []
+
+    @classmethod
+    def keep_only(cls, *tables: "Remembered") -> None:
+        """Empty all other tables of this worker: operators that ran before leave no memory taken."""
+        for table in (r() for r in cls.alive):
+            if table is not None and not any(table is t for t in tables):
+                table.clear()
+                table.older = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # Freed blocks go back to the system; other C libraries do so by themselves.
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
     def room(self, more: int = 1) -> None:
         if len(self) + more > self.most:
             self.older = dict(self)
@@ -268,7 +294,7 @@ def tools(path: str) -> dict:
             return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
         ids = Remembered(lambda chunk: [i for w in bpe.split(chunk) for i in bpe.word_ids(w)])
-        _loaded[path] = {"bpe": bpe, "ids": ids, "texts": Remembered(texts)}
+        _loaded[path] = {"bpe": bpe, "ids": ids, "texts": Remembered(texts), "words": words}
     return _loaded[path]
 
 
@@ -309,6 +335,7 @@ def encode_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tools(vocab_path)
         chunks, look = t["bpe"].chunks, t["texts"].__getitem__
+        Remembered.keep_only(t["texts"], t["words"])
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
             for text in batch.column(1).to_pylist():

@@ -43,38 +43,58 @@ class PackedIds:
         ends = [i for i, t in self.bpe.piece.items() if t.endswith("</w>")] + [*self.bpe.special.values()]
         self.is_end = np.zeros(max(self.bpe.piece) + 1, bool)
         self.is_end[ends] = True
-        self.known = Remembered(None, 600_000)
+        self.known = Remembered(None, 250_000)
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         split, lettered = self.bpe.split, self.bpe.lettered
-        words = [split(c) for c in chunks]
-        flat = [lettered(w) for ws in words for w in ws]
+        flat: list[str] = []
+        counts = [0]
+        for c in chunks:
+            if c.isascii() and c.isalpha():
+                flat.append(c.lower())
+                counts.append(1)
+            else:
+                words = split(c)
+                flat += map(lettered, words)
+                counts.append(len(words))
         lines = [" ".join(flat[i : i + 1000]) for i in range(0, len(flat), 1000)]
         ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         joined = np.concatenate(ids) if ids else np.empty(0, "<u4")
         # The k-th word ends with the k-th id that ends a word.
         after = np.r_[0, np.flatnonzero(self.is_end[joined]) + 1] * 4
-        at = after[np.cumsum([0, *map(len, words)])].tolist()
+        at = after[np.cumsum(counts)].tolist()
         raw = joined.tobytes()
         return {c: raw[a:b] for c, a, b in zip(chunks, at, at[1:], strict=False)}
 
     def __call__(self, texts: list) -> list[bytes]:
         chunked = [self.bpe.chunks(t or "") for t in texts]
-        known, older = self.known, self.known.older
         seen: set[str] = set()
         for chunks in chunked:
             seen.update(chunks)
-        new = [c for c in seen if c not in known]
-        kept = {c: older[c] for c in new if c in older}
-        found = {**kept, **self.learn([c for c in new if c not in kept])}
-        known.room(len(found))
-        known.update(found)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
+        # A small table of this call's chunks answers much faster than the large ones.
+        here = {c: v for c, v in zip(seen, map(self.known.get, seen), strict=True) if v is not None}
+        if len(here) < len(seen):
+            older = self.known.older.get
+            new = [c for c in seen if c not in here]
+            found = {c: v for c, v in zip(new, map(older, new), strict=True) if v is not None}
+            found |= self.learn([c for c in new if c not in found])
+            self.known.room(len(found))
+            self.known.update(found)
+            here |= found
+        return [b"".join(map(here.__getitem__, chunks)) for chunks in chunked]
 
 
 _packers: dict[str, PackedIds] = {}
 
 
+def packer(path: str) -> PackedIds:
+    """The encoder of ``path``, one per Python worker; what other operators remember is let go."""
+    if path not in _packers:
+        _packers[path] = PackedIds(path)
+    Remembered.keep_only(_packers[path].known)
+    return _packers[path]
+
+
 def cut_pieces(
     docs: DataFrame,
     vocab_path: str,
@@ -93,11 +113,10 @@ def cut_pieces(
     step = size * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocab_path not in _packers:
-            _packers[vocab_path] = PackedIds(vocab_path)
+        encode = packer(vocab_path)
         for batch in small_batches(batches):
             out: list[tuple] = []
-            encoded = _packers[vocab_path](batch.column(1).to_pylist())
+            encoded = encode(batch.column(1).to_pylist())
             for doc, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 data += tail
                 for n, at in enumerate(range(0, len(data), step)):

@@ -135,13 +135,15 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table
         yield rest
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """``batches`` cut so that the texts in their second column stay near ``chars`` bytes."""
+def small_batches(
+    batches: Iterator[pa.RecordBatch], chars: int = 4_000_000, rows: int = 10_000, column: int = 1
+) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut so that the texts of one column stay near ``chars`` bytes."""
     for batch in batches:
-        size = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(1)), 0).cast("int64")).to_numpy()
+        size = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast("int64")).to_numpy()
         start = 0
         while start < batch.num_rows:
             done = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, done + chars, side="right")))
+            end = max(start + 1, min(start + rows, int(np.searchsorted(size, done + chars, side="right"))))
             yield batch.slice(start, end - start)
             start = end

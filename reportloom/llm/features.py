@@ -29,7 +29,7 @@ class ChunkFeatures:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.rows = Remembered(self._row, 150_000)
+        self.rows = Remembered(self._row, 100_000)
 
     def _weight(self, word: str) -> float:
         get = self.lexicon.get

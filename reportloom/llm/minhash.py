@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm.bpe import Remembered
-from reportloom.llm.common import components, in_groups, join_groups, stage_table
+from reportloom.llm.common import components, in_groups, join_groups, small_batches, stage_table
 
 WORDS = 5
 REGISTERS = 160
@@ -53,7 +53,12 @@ def _chunk_hashes(chunk: str) -> bytes:
     return b"".join([hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest() for w in _word(chunk.lower())])
 
 
-_chunks = Remembered(_chunk_hashes)
+_chunks = Remembered(_chunk_hashes, 100_000)
+
+
+def only_word_hashes() -> None:
+    """Let go what other operators remember in this worker."""
+    Remembered.keep_only(_chunks)
 
 
 def word_hashes(text: str | None) -> bytes:
@@ -170,26 +175,19 @@ def sign_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, bag, shingles, sketch, bands) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and chars < 1_500_000:
-                    chars += len(texts[end] or "") + 200
-                    end += 1
-                keys, sizes, sketch, bands = sign_batch(texts[start:end])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(start, end - start),
-                        pa.array(keys, pa.string()),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(sketch, pa.binary()),
-                        pa.array(bands, pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "bag", "shingles", "sketch", "bands"],
-                )
-                start = end
+        only_word_hashes()
+        for batch in small_batches(batches, 1_500_000, 2_000):
+            keys, sizes, sketch, bands = sign_batch(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(keys, pa.string()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(sketch, pa.binary()),
+                    pa.array(bands, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "bag", "shingles", "sketch", "bands"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
@@ -225,6 +223,7 @@ def _links(n: int, alike) -> Iterator[tuple[int, int]]:
 
 
 def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Remembered.keep_only()
     for table in in_groups(batches, 3):
         n = table.num_rows
         if n < 2:
@@ -265,6 +264,7 @@ def overlaps(items: list[np.ndarray]) -> np.ndarray:
 
 def _exact_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.keep_only()
         for table in in_groups(batches, 3):
             n = table.num_rows
             if n < 2:
@@ -330,7 +330,8 @@ def _compare_bags(docs: DataFrame, members: DataFrame, percent: int) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only_word_hashes()
+        for batch in small_batches(batches, column=0):
             out: list[tuple] = []
             for text, bag, part, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = word_hashes(text)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm import boost
+from reportloom.llm.bpe import Remembered
 from reportloom.llm.common import join_groups, small_batches, stage_table
 from reportloom.llm.features import QUALITY_NAMES, ChunkFeatures, quality_row
 from reportloom.llm.toxicity import TRAINING_ROWS, held_out, training_rows
@@ -36,8 +37,7 @@ class DocumentModel:
         return self.calibration(self.trees.margin(x))
 
 
-def _rows(texts: list) -> np.ndarray:
-    tool = ChunkFeatures({})
+def _rows(tool: ChunkFeatures, texts: list) -> np.ndarray:
     x = [quality_row(t or "", *tool.table(t)) for t in texts]
     return np.array(x, float).reshape(-1, len(QUALITY_NAMES))
 
@@ -46,8 +46,9 @@ def fit_documents(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS
     """Document classifier from at most ``bound`` labelled rows, calibrated across halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = ChunkFeatures({})
         for batch in small_batches(batches):
-            x = _rows(batch.column(1).to_pylist())
+            x = _rows(tool, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(2), batch.column(3), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "half", "x"]
             )
@@ -129,8 +130,10 @@ def quality(
     model = fit_documents(docs, labels, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = ChunkFeatures({})
+        Remembered.keep_only(tool.rows)
         for batch in small_batches(batches):
-            score = model.scores(_rows(batch.column(1).to_pylist()))
+            score = model.scores(_rows(tool, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:], pa.array(score)], names=["doc_id", "_host", "_path", "doc_score"]
             )

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm import boost
+from reportloom.llm.bpe import Remembered
 from reportloom.llm.common import small_batches, stage_table
 from reportloom.llm.features import PREFIXES, TOXIC_NAMES, ChunkFeatures, toxic_row
 
@@ -145,6 +146,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = ChunkFeatures(model.lexicon)
+        Remembered.keep_only(tool.rows)
         for batch in small_batches(batches):
             x = np.array([toxic_row(tool.table(t)[1]) for t in batch.column(1).to_pylist()]).reshape(-1, len(TOXIC_NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from reportloom.llm.common import read_table, stage_table
+from reportloom.llm.common import ROW, read_table, stage_table, with_row_key
 from reportloom.llm.exact import exact_groups
 from reportloom.llm.minhash import near_classes
 from reportloom.llm.packing import pack_documents
@@ -14,41 +13,30 @@ from reportloom.llm.queries import VOCAB
 from reportloom.llm.toxicity import toxicity
 
 
-def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of ``docs`` by the ``kept`` of their doc_id in ``judged``; all columns as they were.
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is not in ``gone``; all columns as they were.
 
-    An id goes if none of its rows is kept, and if several are, one row of each text stays. Only
-    ids are sorted out; texts move for ids that repeat and where ids are too many to broadcast.
+    Only keys are sorted out; texts move where keys are too many to broadcast.
     """
-    ids = stage_table(
-        judged.groupBy("doc_id").agg(F.sum(F.col("kept").cast("long")).alias("n")).where("n <> 1"), "ids"
-    ).withColumnRenamed("doc_id", "_id")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    left = docs.join(ids.where("n = 0"), same, "left_anti")
-    again = ids.where("n > 1")
-    if again.isEmpty():
-        return left
-    return left.join(again, same, "left_anti").unionByName(
-        left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    )
+    return keyed.join(stage_table(gone.select(ROW), "gone"), ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
-    scored = toxicity(docs, read_table(spark, sf_dir, "labels"))
-    # An id goes if any of its rows is rejected.
-    rejected = stage_table(scored.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that the toxicity model does not reject, row by row."""
+    keyed = with_row_key(docs)
+    return _without(keyed, toxicity(keyed, read_table(spark, sf_dir, "labels"), by_row=True).where("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _keep(docs, exact_groups(docs))
+    """One row of each group of equal texts."""
+    keyed = with_row_key(docs)
+    return _without(keyed, exact_groups(keyed, by_row=True).where("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    return _keep(docs, near_classes(docs))
+    """One row of each class of near copies."""
+    keyed = with_row_key(docs)
+    return _without(keyed, near_classes(keyed, by_row=True).where("NOT kept"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,27 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW = "_row_key"
+ROW_TYPE = "struct<file:bigint,at:bigint>"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` plus ``ROW``, a key that no two rows share, whatever their columns hold.
+
+    The key is the row's place in its Parquet file, so reading the same files again gives the
+    same keys; anything but a plain scan of Parquet files is written first.
+    """
+
+    def keyed(scan: DataFrame) -> DataFrame:
+        at = scan.metadataColumn("_metadata")
+        return scan.select("*", F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at")).alias(ROW))
+
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.toString().strip().endswith(" parquet"):
+        return keyed(docs)
+    return keyed(stage_table(docs, "rows"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

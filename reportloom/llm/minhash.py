@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm.bpe import Remembered
-from reportloom.llm.common import components, in_groups, join_groups, small_batches, stage_table
+from reportloom.llm.common import ROW, ROW_TYPE, components, in_groups, join_groups, small_batches, stage_table
 
 WORDS = 5
 REGISTERS = 160
@@ -171,8 +171,8 @@ def sign_batch(texts: list) -> tuple[list, list, list, list]:
 SIGNED = "doc_id bigint, bag string, shingles bigint, sketch binary, bands array<bigint>"
 
 
-def sign_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, bag, shingles, sketch, bands) of every document."""
+def sign_documents(docs: DataFrame, row: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, bag, shingles, sketch, bands) and the columns ``row`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_word_hashes()
@@ -185,11 +185,13 @@ def sign_documents(docs: DataFrame) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(sketch, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
+                    *batch.columns[2:],
                 ],
-                names=["doc_id", "bag", "shingles", "sketch", "bands"],
+                names=["doc_id", "bag", "shingles", "sketch", "bands", *row],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row)
+    return picked.mapInArrow(run, ", ".join([SIGNED, *(f"{r} {ROW_TYPE}" for r in row)]))
 
 
 def in_blocks(rows: DataFrame, key: str, size: str, node: str, block: int) -> DataFrame:
@@ -285,7 +287,7 @@ def _exact_links(percent: int):
     return run
 
 
-def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_classes(docs: DataFrame, percent: int = 80, by_row: bool = False) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept.
 
     Documents whose shingle bags have a similarity of at least ``percent`` / 100 are linked;
@@ -294,13 +296,15 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     only) is linked with nothing and kept. A null doc_id takes part like any other; a class of
     null ids alone has a null class_id. Equal word sequences collapse before anything else, so
     copies cost one row in all later steps. An empty table gives an empty result; other columns
-    are not read.
+    are not read. With ``by_row``, ``docs`` and the result have the key of ``with_row_key``, and
+    exactly one row of each class is kept.
     """
-    signed = stage_table(sign_documents(docs), "signed")
+    row = [ROW] if by_row else []
+    signed = stage_table(sign_documents(docs, row), "signed")
     worded = signed.where(F.col("bag").isNotNull())
     light = (
         worded.groupBy("bag")
-        .agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), *(F.min_by(r, F.struct(F.col("doc_id").isNull(), "doc_id", r)).alias(r) for r in row))
     )
     bags = stage_table(light, "bags")
     keyed = bags.select("bag", F.explode("bands").alias("key"))
@@ -316,18 +320,20 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     clusters = stage_table(components(pairs), "clusters")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = stage_table(
-        clusters.join(sizes, "component").join(bags.select(F.col("bag").alias("node"), "lead"), "node"), "members"
+        clusters.join(sizes, "component").join(bags.select(F.col("bag").alias("node"), "lead", *row), "node"), "members"
     )
-    exact = stage_table(components(_compare_bags(docs, members, percent)), "exact")
-    return _class_rows(signed, bags, exact)
+    exact = stage_table(components(_compare_bags(docs, members, percent, row)), "exact")
+    return _class_rows(signed, bags, exact, row)
 
 
-def _compare_bags(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _compare_bags(docs: DataFrame, members: DataFrame, percent: int, row: Sequence[str] = ()) -> DataFrame:
     """Links between whole bags, compared within candidate clusters."""
-    wanted = members.select(F.col("lead").alias("_lead"), F.col("node").alias("_bag"), "component", "size")
+    # A bag is read from its first row: by the row's key, else by its doc_id.
+    key = row[0] if row else "doc_id"
+    wanted = members.select(F.col(key if row else "lead").alias("_lead"), F.col("node").alias("_bag"), "component", "size")
     if wanted.count() <= SMALL_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    texts = docs.select((F.col(key) if row else F.col(key).cast("long")).alias("_id"), F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_word_hashes()
@@ -357,10 +363,10 @@ def _compare_bags(docs: DataFrame, members: DataFrame, percent: int) -> DataFram
     )
 
 
-def _class_rows(signed: DataFrame, bags: DataFrame, exact: DataFrame) -> DataFrame:
+def _class_rows(signed: DataFrame, bags: DataFrame, exact: DataFrame, row: Sequence[str] = ()) -> DataFrame:
     """Class of every document from the classes of bags."""
-    named = bags.select("bag", "lead", "copies").join(exact.withColumnRenamed("node", "bag"), "bag", "left").select(
-        "bag", "lead", "copies", F.coalesce("component", "bag").alias("_root")
+    named = bags.select("bag", "lead", "copies", *(F.col(r).alias("_first_row") for r in row)).join(exact.withColumnRenamed("node", "bag"), "bag", "left").select(
+        "bag", "lead", "copies", *(["_first_row"] if row else []), F.coalesce("component", "bag").alias("_root")
     )
     roots = named.groupBy("_root").agg(
         F.min("lead").alias("class_id"),
@@ -369,14 +375,15 @@ def _class_rows(signed: DataFrame, bags: DataFrame, exact: DataFrame) -> DataFra
     )
     total = signed.count()
     of_bag = stage_table(
-        named.join(roots, "_root").select("bag", "copies", "class_id", "class_size", (F.col("bag") == F.col("_first_bag")).alias("_leads")),
+        named.join(roots, "_root").select("bag", "copies", "class_id", "class_size", (F.col("bag") == F.col("_first_bag")).alias("_leads"), *(["_first_row"] if row else [])),
         "classes",
     )
-    rows = signed.select("doc_id", "bag")
+    rows = signed.select("doc_id", "bag", *row)
+    first = F.col(row[0]) == F.col("_first_row") if row else F.col("doc_id").eqNullSafe(F.col("class_id"))
     classed = join_groups(rows.where(F.col("bag").isNotNull()), of_bag, "bag", "copies", total)
     alone = rows.where(F.col("bag").isNull()).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), *row
     )
     return classed.select(
-        "doc_id", "class_id", "class_size", (F.col("_leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept")
+        "doc_id", "class_id", "class_size", (F.col("_leads") & first).alias("kept"), *row
     ).unionByName(alone)

@@ -8,7 +8,7 @@ of trees of the other half as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from reportloom.llm import boost
 from reportloom.llm.bpe import Remembered
-from reportloom.llm.common import small_batches, stage_table
+from reportloom.llm.common import ROW, ROW_TYPE, small_batches, stage_table
 from reportloom.llm.features import PREFIXES, TOXIC_NAMES, ChunkFeatures, toxic_row
 
 # Bounds of fitting: labelled rows, and terms that may enter the lexicon.
@@ -141,31 +141,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS)
     return ToxicityModel(lexicon(terms, toxic, other, (0, 1)), boost.fit(x, y), boost.isotonic(margin, y))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; see ``toxicity``."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, row: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document, and its ``row``; see ``toxicity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = ChunkFeatures(model.lexicon)
         Remembered.keep_only(tool.rows)
         for batch in small_batches(batches):
             x = np.array([toxic_row(tool.table(t)[1]) for t in batch.column(1).to_pylist()]).reshape(-1, len(TOXIC_NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(model.scores(x)), *batch.columns[2:]], names=["doc_id", "score", *row]
+            )
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, score double").select(
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+    return picked.mapInArrow(run, ", ".join(["doc_id bigint, score double", *(f"{r} {ROW_TYPE}" for r in row)])).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        *row,
     )
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS, by_row: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, trained on ``labels.toxic``.
 
     The whole text is read; null and empty texts get the score of a text without features. A
     null doc_id is scored and never held out; repeated rows are scored each. Labels, lang,
     source and doc_id are no inputs. An empty table gives an empty result; without labels every
-    score is 0. Other columns are not read.
+    score is 0. Other columns are not read. With ``by_row``, ``docs`` and the result have the key
+    of ``with_row_key``.
     """
-    return score_toxicity(docs, fit_toxicity(docs, labels, bound))
+    return score_toxicity(docs, fit_toxicity(docs, labels, bound), [ROW] if by_row else [])

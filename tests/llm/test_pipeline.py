@@ -81,6 +81,40 @@ def test_empty_table(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_decide_by_row_with_null_and_repeated_ids(spark, corpus):
+    folder, rows, _ = corpus
+    clean = [r[1] for r in rows if r[0] in range(1, 60) and r[0] % 6]
+    bad = [r[1] for r in rows if r[0] in range(0, 60, 6)]
+    near = clean[0].rsplit(" ", 1)[0] + " ended"
+    made = [
+        # Null ids: three clean texts, a toxic one, a copy in other white space, a near copy.
+        *((None, t) for t in (clean[0], clean[1], clean[2], bad[0], " " + clean[0].replace(" ", "\n", 3), near)),
+        # One id over clean, toxic, copied and near texts, one of them a full copy.
+        *((7, t) for t in (clean[3], clean[4], bad[1], "  " + clean[3], clean[4] + " ended", clean[3])),
+        # An id of two rows, one of which is the copy of another id's text.
+        (8, clean[5]), (8, clean[6]), (3, clean[6] + " "),
+    ]
+    # Rows to learn from.
+    rest = [r for r in rows if r[0] in range(60, 240)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in made] + rest, COLUMNS)
+    kept = frame
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        # A table that is no plain scan of files is taken as well as a written one.
+        kept = stage(spark, kept if name == "toxicity" else corpus_pipeline.stage_table(kept, name), folder)
+        assert kept.columns == frame.columns
+        got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.where("doc_id IS NULL OR doc_id < 60").collect())
+        if name == "toxicity":
+            assert got == sorted((i or 0, t) for i, t in made if t not in bad)
+        if name == "exact_dedup":
+            assert len(got) == 9
+            assert len({"".join(t.split()) for _, t in got}) == 9
+    texts = ["".join(t.split()) for _, t in got]
+    assert len(got) == 7
+    for t in clean[:7]:
+        assert sum(x.startswith("".join(t.rsplit(" ", 1)[0].split())) for x in texts) == 1
+    assert sum(i == 0 for i, _ in got) == 3
+
+
 def test_every_operator_has_a_query():
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)

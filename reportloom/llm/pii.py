@@ -2,9 +2,12 @@
 
 Four base rules (fixed patterns and checks) give spans that always stay. Wider generators
 propose further spans of the same kinds, which may overlap base spans and each other: written-out
-addresses, numbers with other separators, dotted groups. Trees are fitted on candidates whose
-truth the base rules decide, with features that do not hold the deciding check, so that what
-they learn carries over to candidates no check covers; a calibrated threshold per kind selects.
+addresses, numbers with other separators, dotted groups. A candidate is true if the base rule
+holds for all of it, and false only on counter-evidence in its normal form (signs written plainly,
+separators removed): a failed check sum, a part over 255, a wrong number of digits, a date, a last
+label that is no name. All others are open. Trees are fitted on what is decided, with features of
+the surroundings alone, so that the form of a value tells them nothing and what they learn carries
+over to open candidates; a calibrated threshold per kind selects among these.
 
 Only SQL functions touch rows: candidates are arrays inside a row, the trees a CASE expression.
 """
@@ -28,9 +31,10 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Wider forms of the same kinds.
+# Wider forms of the same kinds. A plain dot with a blank only behind it ends a sentence, unless a
+# common top level follows.
 WIDE = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+\s?(?:@|\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]++(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[A-Za-z0-9-]++)++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+\s?(?:@|\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]++(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\s\.\s?|\.(?:\s(?=(?:com|org|net|edu|gov|info)\b))?)[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]{1,3}+(?:\.|\[\.\]|\(\.\))[0-9]{1,3}+(?:\.|\[\.\]|\(\.\))[0-9]{1,3}+(?:\.|\[\.\]|\(\.\))[0-9]{1,3}+(?![0-9])",
     "card": r"(?:(?<![0-9])|\G)[0-9]{4}[\x20._/-]{0,2}[0-9]{4,6}[\x20._/-]{0,2}[0-9]{4,5}[\x20._/-]{0,2}[0-9]{0,4}(?![0-9])",
     "phone": r"(?:(?<![0-9+])|\G)(?:\+|00|\()[0-9][\x20()./0-9-]{6,22}[0-9](?![0-9])",
@@ -51,7 +55,7 @@ CUE = {
     "phone": r"(?i)(?:phone|call|tel|mobile|fax|telefon|tél)[^A-Za-z]{0,3}$",
 }
 CONTEXT = 16
-FEATURES = ("size", "digits", "separators", "groups", "head", "cue", "letter_before", "letter_after", "number_near")
+FEATURES = ("cue", "letter_before", "letter_after", "number_near", "link_before", "bracket_before", "ends")
 TABLE_ROWS = 50_000
 
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
@@ -139,22 +143,50 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _plain(kind: str, value: Column) -> Column:
+    """``value`` with written-out signs as plain ones; a phone number without its leading 00 or bracket."""
+    if kind == "email":
+        at = F.regexp_replace(value, r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?", "@")
+        return F.regexp_replace(at, r"\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?", ".")
+    if kind == "ip":
+        return F.regexp_replace(value, r"[\[\]()]", "")
+    if kind == "phone":
+        return F.regexp_replace(value, r"^(?:\+|00|\()", "")
+    return value
+
+
+# Days and spans of years, which have as many digits as phone numbers.
+DATE = (
+    r"^\(?(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4}"
+    r"|(?:1[0-9]|20)[0-9]{2}\x20?[/-]\x20?(?:1[0-9]|20)[0-9]{2})(?![0-9])"
+)
+
+
+def refuted(kind: str, value: Column) -> Column:
+    """Whether something besides its form speaks against a candidate that the base rule leaves open."""
+    plain = _plain(kind, value)
+    if kind == "email":
+        return ~plain.rlike(r"\.(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+)$")
+    if kind == "phone":
+        # A number in brackets lacks its country code.
+        least = F.when(F.substring(value, 1, 1) == "(", 8).otherwise(9)
+        return ~F.length(_digits(plain)).between(least, F.lit(15)) | value.rlike(DATE)
+    return ~valid(kind, plain)
+
+
 def _features(kind: str, m: Column) -> Column:
-    """Format and context of a candidate; none of them is the check of its kind."""
-    value = m["value"]
-    digits = F.length(_digits(value))
-    head = F.substring(value, 1, 1)
-    return F.struct(
-        F.least(F.length(value), F.lit(40)).alias("size"),
-        F.least(digits, F.lit(24)).alias("digits"),
-        F.least(F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")), F.lit(8)).alias("separators"),
-        F.least(F.size(F.split(value, "[^A-Za-z0-9]+")), F.lit(9)).alias("groups"),
-        F.when(head.rlike("[0-9]"), F.ascii(head) - 48).when(head == "+", 10).when(head == "(", 11).otherwise(12).alias("head"),
-        m["before"].rlike(CUE[kind]).cast("int").alias("cue"),
-        m["before"].rlike(r"[\p{L}_]$").cast("int").alias("letter_before"),
-        m["after"].rlike(r"^[\p{L}_]").cast("int").alias("letter_after"),
-        (m["before"].rlike(r"[0-9][^\p{L}]{0,3}$") | m["after"].rlike(r"^[^\p{L}]{0,3}[0-9]")).cast("int").alias("number_near"),
-    )
+    """Surroundings of a candidate, each 0 or 1; nothing of its form or of the check of its kind."""
+    before, after = m["before"], m["after"]
+    marks = {
+        "cue": before.rlike(CUE[kind]),
+        "letter_before": before.rlike(r"[\p{L}_]$"),
+        "letter_after": after.rlike(r"^[\p{L}_]"),
+        "number_near": before.rlike(r"[0-9][^\p{L}]{0,3}$") | after.rlike(r"^[^\p{L}]{0,3}[0-9]"),
+        "link_before": before.rlike(r"[=/#&?-]$"),
+        "bracket_before": before.rlike(r"[<\[({\"']$"),
+        "ends": after.rlike(r"^(?:$|\s|[.,;:!?)\]}>\"'])"),
+    }
+    return F.struct(*(marks[f].cast("int").alias(f) for f in FEATURES))
 
 
 def _code(kind: int, m: Column) -> Column:
@@ -168,17 +200,12 @@ def _base_codes(i: int, found: Column) -> Column:
 
 
 def _judged(i: int, found: Column) -> Column:
-    """Candidates of kind ``i`` with features and what the base rule says of them."""
+    """Candidates of kind ``i`` with features and their truth: 1, 0 (refuted) or -1 (open)."""
     kind = KINDS[i]
 
     def one(m: Column) -> Column:
         whole = m["value"].rlike(f"^(?:{BASE[kind]})$")
-        # Open (-1) if the rule holds for a part only.
-        truth = (
-            F.when(whole & valid(kind, m["value"]), 1)
-            .when(~whole & m["value"].rlike(BASE[kind]), -1)
-            .otherwise(0)
-        )
+        truth = F.when(whole & valid(kind, m["value"]), 1).when(refuted(kind, m["value"]), 0).otherwise(-1)
         return F.struct(
             F.lit(i).alias("kind"), _code(i, m).alias("code"), truth.alias("truth"), _features(kind, m).alias("f")
         )
@@ -238,7 +265,7 @@ def _with_spans(found: DataFrame, rules: dict[int, tuple[str, float]]) -> DataFr
     picks = [f"(c.kind = {i} AND {margin} >= {least - 1e-9!r}D)" for i, (margin, least) in rules.items()]
     if not picks:
         return found.withColumn("_spans", F.col("_base"))
-    chosen = F.expr(f"transform(filter(_wide, c -> {' OR '.join(picks)}), c -> c.code)")
+    chosen = F.expr(f"transform(filter(_wide, c -> c.truth <> 0 AND ({' OR '.join(picks)})), c -> c.code)")
     return found.withColumn("_spans", F.array_sort(F.array_distinct(F.concat("_base", chosen))))
 
 

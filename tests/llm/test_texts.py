@@ -268,5 +268,34 @@ def test_redaction_keeps_columns_and_hides_spans(spark):
     assert out[3]["text"] == "[IP] or [CARD]"
 
 
+def test_other_forms_of_personal_data_are_found_and_redacted(spark):
+    planted = [
+        ("phone", "0049 30 1234567"),
+        ("phone", "(555) 123-4567"),
+        ("ip", "1[.]2[.]3[.]4"),
+        ("ip", "10(.)0(.)0(.)7"),
+        ("email", "name (at) host (dot) com"),
+        ("email", "a.b[at]host.co[dot]uk"),
+    ]
+    # Some counter-evidence per kind, and values that only look like a kind.
+    false = ["300.1.2.3", "1[.]2[.]3[.]999", "+12 34567", "00 12 345 678", "(2020-01-15 10", "(1939-1945) 12", "five @ 10.30", "4111.1111.1111.1112"]
+    texts = [f"word write u{i}@m{i % 9}.com and 10.0.{i % 250}.9 or +49 30 {1000000 + i} there" for i in range(400)]
+    start = len(texts)
+    texts += [f"so we write {v} here {k}" for k in range(8) for _, v in planted]
+    end = len(texts)
+    texts += [f"so we write {v} here" for v in false]
+    texts += ["mail a.b@c.de. Then 5 @ noon. Then more"]
+    docs = frame(spark, texts)
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.find_personal_data(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i in range(start, end):
+        kind, value = planted[(i - start) % len(planted)]
+        assert f"{kind}:12:{12 + len(value)}" in spans[i]
+        assert clean[i] == texts[i].replace(value, f"[{kind.upper()}]")
+    for i in range(end, end + len(false)):
+        assert clean[i] == texts[i]
+    assert clean[len(texts) - 1] == "mail [EMAIL]. Then 5 @ noon. Then more"
+
+
 def test_vocabulary_path_is_a_parameter():
     assert os.path.exists(VOCAB)

@@ -1,9 +1,10 @@
-"""WARC fixity audit with Merkle trees over ordered offset ranges.
+"""WARC fixity audit with Merkle trees over ordered ranges of record ids.
 
-A replica of an archive is a table of records in files. Records are hashed once; a tree node is
-the hash of its children in offset order and covers the range from its first record's offset to
-its last record's end. Replicas are compared by their roots, and only below nodes that differ
-are children looked at, down to the records that changed.
+A replica of an archive is a table of records in files. Records are hashed once; a leaf covers a
+fixed range of record ids and a node the ranges of its children, so a record that is missing,
+added or of another length moves no other record to another node. Replicas are compared by their
+roots, and only below nodes that differ are children looked at, down to ranges whose records are
+then aligned by id and digest.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import stage_table, with_rank
+from reportloom.llm.common import join_groups, stage_table, with_rank
 
 # Records of one archive file and children of one tree node: both bound what meets in a task.
 FILE_RECORDS = 1024
@@ -59,103 +60,130 @@ def archive_index(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFra
     )
 
 
-def merkle_levels(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """Tree levels of each file from the records up: (file, node, start, end, hash, size).
+def _node(width: int) -> list[Column]:
+    """Leaf of a record: whether it lacks an id, and its range of ``width`` ids."""
+    at = F.coalesce(F.floor(F.col("page_id") / F.lit(width)), F.lit(0)).cast("long")
+    return [F.col("page_id").isNull().alias("void"), at.alias("node")]
 
-    Level 0 are the records in offset order. The last level has one node per file.
+
+def merkle_levels(records: DataFrame, width: int, height: int, fanout: int = FANOUT) -> list[DataFrame]:
+    """``height`` tree levels from the leaves up: (void, node, hash).
+
+    A leaf's hash is of the sums over its records' digests, which are added up in the tasks, so
+    no range is too full; the order of records within a leaf does not count.
     """
-    order = Window.partitionBy("file").orderBy("offset", "sha256")
+    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "sha256"), 256)
+    words = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = [F.sum(f"_w{i}").cast("string") for i in range(4)]
     level = stage_table(
-        records.select(
-            "file",
-            (F.row_number().over(order) - 1).cast("long").alias("node"),
-            F.col("offset").alias("start"),
-            (F.col("offset") + F.col("length")).alias("end"),
-            F.sha2(F.concat_ws(":", "offset", "length", "sha256"), 256).alias("hash"),
-        ),
+        records.select(*_node(width), *(w.alias(f"_w{i}") for i, w in enumerate(words)))
+        .groupBy("void", "node")
+        .agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums), 256).alias("hash")),
         "leaves",
     )
     levels = [level]
-    most = level.agg(F.max("node")).first()[0] or 0
-    while most > 0:
+    while len(levels) < height:
         child = F.struct("node", "hash")
         level = stage_table(
-            level.groupBy("file", F.floor(F.col("node") / fanout).cast("long").alias("_up"))
-            .agg(
-                F.min("start").alias("start"),
-                F.max("end").alias("end"),
-                # At most `fanout` children.
-                F.sha2(F.array_join(F.array_sort(F.collect_list(child))["hash"], ""), 256).alias("hash"),
-            )
+            level.groupBy("void", F.floor(F.col("node") / fanout).cast("long").alias("_up"))
+            # At most `fanout` children; the place of each counts, as some may be lacking.
+            .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])), ","), 256).alias("hash"))
             .withColumnRenamed("_up", "node"),
             "nodes",
         )
         levels.append(level)
-        most //= fanout
     return levels
 
 
 def differing_leaves(left: list[DataFrame], right: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(file, node, left_hash, right_hash) of the records in which two replicas differ.
+    """(void, node) of the leaves in which two replicas differ.
 
     Roots are compared first; each lower level is joined for children of differing nodes only.
     """
-    height = max(len(left), len(right))
-    # A lower tree is its own root on the levels it lacks.
-    a = left + [left[-1]] * (height - len(left))
-    b = right + [right[-1]] * (height - len(right))
     below = None
-    for up in range(height - 1, -1, -1):
-        x, y = (t[up].select("file", "node", F.col("hash")) for t in (a, b))
+    for x, y in zip(left[::-1], right[::-1], strict=True):
         if below is not None:
             x, y = (
-                t.join(below, (t["file"] == below["_file"]) & (F.floor(t["node"] / fanout) == below["_up"]), "left_semi")
-                for t in (x, y)
+                t.join(below, (t["void"] == below["_void"]) & (F.floor(t["node"] / fanout) == below["_up"]), "left_semi") for t in (x, y)
             )
-        differ = (
+        differ = stage_table(
             x.withColumnRenamed("hash", "left_hash")
-            .join(y.withColumnRenamed("hash", "right_hash"), ["file", "node"], "full")
+            .join(y.withColumnRenamed("hash", "right_hash"), ["void", "node"], "full")
             .where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
+            .select("void", "node"),
+            "differ",
         )
-        differ = stage_table(differ, "differ")
-        below = differ.select(F.col("file").alias("_file"), F.col("node").alias("_up"))
+        below = differ.select(F.col("void").alias("_void"), F.col("node").alias("_up"))
     return differ
 
 
-def fixity_audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """One row per record place: page_id, file, offset, length, sha256, replica_sha256, status.
+def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` plus ``_copy``, their number among rows of equal ``keys`` in order of place.
+
+    Ranks and one minimum per key; a key with very many rows meets in no task.
+    """
+    ranked = with_rank(rows, *keys, "file", "offset").withColumn(
+        "_key", F.sha2(F.concat_ws(":", *(F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys)), 256)
+    )
+    groups = stage_table(ranked.groupBy("_key").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_size")), "groups")
+    joined = join_groups(ranked, groups, "_key", "_size", ranked.count())
+    return stage_table(joined.select(*rows.columns, "_key", (F.col("_rank") - F.col("_first")).alias("_copy")), "numbered")
 
-    ``left`` and ``right`` have the columns of ``archive_index``. status is ``ok``, ``changed``
-    (another hash, length or offset), ``missing`` (only in ``left``) or ``added`` (only in
-    ``right``); the last two can only stand at the end of a file, as places are counted by
-    offset order. Rows with a null file are their own file; repeated records are places of their
-    own. Empty replicas give an empty result; other columns are not read.
+
+def _pairs(left: DataFrame, right: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of rows of equal ``keys``, copy by copy (other side's columns with _), and what is left of each side."""
+    columns = left.columns
+    a, b = _numbered(left, *keys), _numbered(right, *keys)
+    on = ["_key", "_copy"]
+    both = a.join(b.select(*on, *(F.col(c).alias(f"_{c}") for c in columns)), on)
+    return both, a.join(b, on, "left_anti").select(columns), b.join(a, on, "left_anti").select(columns)
+
+
+def fixity_audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """One row per record: page_id, file, offset, length, sha256, replica_sha256, status.
+
+    ``left`` and ``right`` have the columns of ``archive_index``. status is ``ok`` (a record of the
+    same page_id and hash is in ``right``, wherever it stands), ``changed`` (another hash under the
+    page_id), ``missing`` (only in ``left``) or ``added`` (only in ``right``). Repeated records
+    count copy by copy; what remains of a page_id is paired in order of place. Place is that of
+    ``left``, of added records that of ``right``. Rows with a null file are their own file (-1). A
+    null sha256 is a record that could not be read. Empty replicas give an empty result; other
+    columns are not read.
     """
     same = ["page_id", "file", "offset", "length", "sha256"]
     left, right = (
-        stage_table(t.select(*same).withColumn("file", F.coalesce("file", F.lit(-1).cast("long"))), "replica") for t in (left, right)
-    )
-    wrong = differing_leaves(merkle_levels(left, fanout), merkle_levels(right, fanout), fanout)
-    order = Window.partitionBy("file").orderBy("offset", "sha256")
-    a, b = (t.withColumn("node", (F.row_number().over(order) - 1).cast("long")) for t in (left, right))
-    marked = a.join(wrong, ["file", "node"], "left")
-    other = b.join(wrong, ["file", "node"], "left_semi").select(
-        "file", "node", F.col("page_id").alias("_page"), F.col("offset").alias("_offset"), F.col("length").alias("_length"), F.col("sha256").alias("_sha")
+        stage_table(
+            t.select(*same).withColumn("file", F.coalesce("file", F.lit(-1).cast("long"))).withColumn("sha256", F.coalesce("sha256", F.lit(""))),
+            "replica",
+        )
+        for t in (left, right)
     )
-    held = marked.join(other, ["file", "node"], "full")
-    fine = F.col("sha256").isNotNull() & F.col("left_hash").isNull() & F.col("right_hash").isNull()
-    return held.select(
-        F.coalesce("page_id", "_page").alias("page_id"),
-        "file",
-        F.coalesce("offset", "_offset").alias("offset"),
-        F.coalesce("length", "_length").alias("length"),
-        "sha256",
-        F.when(fine, F.col("sha256")).otherwise(F.col("_sha")).alias("replica_sha256"),
-        F.when(fine, "ok")
-        .when(F.col("sha256").isNull(), "added")
-        .when(F.col("_sha").isNull(), "missing")
-        .otherwise("changed")
-        .alias("status"),
+    low, high, n = left.select("page_id").unionByName(right.select("page_id")).agg(F.min("page_id"), F.max("page_id"), F.count(F.lit(1))).first()
+    low, high = low or 0, high or 0
+    # Leaves of about `fanout` records, and as many levels as leave at most about `fanout` roots.
+    width = min(max(fanout * (high - low + 1) // max(n // 2, 1), 1), 1 << 62)
+    height, span = 1, (high - low) // width + 1
+    while span > fanout:
+        height, span = height + 1, span // fanout + 1
+    wrong = differing_leaves(*(merkle_levels(t, width, height, fanout) for t in (left, right)), fanout)
+    placed = [t.select(*same, *_node(width)) for t in (left, right)]
+    fine = placed[0].join(wrong, ["void", "node"], "left_anti")
+    a, b = (stage_table(t.join(wrong, ["void", "node"], "left_semi").select(same), "below") for t in placed)
+    equal, a, b = _pairs(a, b, "page_id", "sha256")
+    changed, a, b = _pairs(a, b, "page_id")
+    none = F.lit(None).cast("string")
+
+    def rows(part: DataFrame, sha: Column, replica: Column, status: str) -> DataFrame:
+        # A record that could not be read is never fine.
+        bad = F.lit(status) if status != "ok" else F.when(F.col("sha256") == "", "changed").otherwise("ok")
+        return part.select(*same[:4], F.nullif(sha, F.lit("")).alias("sha256"), F.nullif(replica, F.lit("")).alias("replica_sha256"), bad.alias("status"))
+
+    return (
+        rows(fine, F.col("sha256"), F.col("sha256"), "ok")
+        .unionByName(rows(equal, F.col("sha256"), F.col("sha256"), "ok"))
+        .unionByName(rows(changed, F.col("sha256"), F.col("_sha256"), "changed"))
+        .unionByName(rows(a, F.col("sha256"), none, "missing"))
+        .unionByName(rows(b, none, F.col("sha256"), "added"))
     )
 
 
@@ -174,20 +202,33 @@ def write_warc(pages: DataFrame, folder: str, file_records: int = FILE_RECORDS)
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, offset, length, sha256) of the records of files that ``write_warc`` made."""
+    """(file, offset, length, sha256) of the records of files that ``write_warc`` made.
+
+    A member that cannot be unpacked is a row without length and hash, which adds nothing to the
+    offsets after it; reading goes on at the next member that can.
+    """
     import hashlib
     import zlib
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for number, data in zip(frame["file"], frame["content"], strict=True):
-                out, at = [], 0
-                while data:
+                out, at, place = [], 0, 0
+                while place < len(data):
                     member = zlib.decompressobj(31)
-                    record = member.decompress(data)
-                    out.append((number, at, len(record), hashlib.sha256(record).hexdigest()))
-                    at += len(record)
-                    data = member.unused_data
-                yield pd.DataFrame(out, columns=["file", "offset", "length", "sha256"])
+                    try:
+                        record = member.decompress(data[place:])
+                    except zlib.error:
+                        record = None
+                    if record is not None and member.eof:
+                        out.append((number, at, len(record), hashlib.sha256(record).hexdigest()))
+                        at += len(record)
+                        place = len(data) - len(member.unused_data)
+                        continue
+                    # Bytes of one damaged run are one row.
+                    if not out or out[-1][3] is not None or place != broken:
+                        out.append((number, at, None, None))
+                    place = broken = data.find(b"\x1f\x8b\x08", place + 1) % (len(data) + 1)
+                yield pd.DataFrame(out, columns=["file", "offset", "length", "sha256"]).astype({"length": "Int64"})
 
     return spark.read.parquet(folder).mapInPandas(unpack, "file long, offset long, length long, sha256 string")

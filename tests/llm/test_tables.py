@@ -126,6 +126,40 @@ def test_audit_finds_damage(spark, tmp_path):
     assert len(read) == 903
 
 
+def test_audit_of_missing_added_longer_and_shorter_records(spark, tmp_path):
+    texts = {i: "<p>" + "x" * (i * 13 % 200) for i in range(0, 900, 2)}
+    other = {i: t for i, t in texts.items() if i not in (100, 500)} | {301: "new", 777: "new"}
+    other[200] += "longer"
+    other[600] = other[600][:-2]
+
+    def index(pages):
+        rows = [(i, f"http://h/{i % 7}", t) for i, t in pages.items()]
+        rows += [(None, "n", "a"), (None, "n", "b" if pages is texts else "c"), (-5, "r", "same")] + [(-5, "r", "same")] * (pages is texts)
+        return archive_index(spark.createDataFrame(rows, "page_id long, url string, html string"), 64)
+
+    left, right = index(texts), index(other)
+    got = fixity_audit(left, right).collect()
+    wrong = [(r["page_id"], r["status"]) for r in got if r["status"] != "ok"]
+    assert sorted(wrong, key=str) == sorted(
+        [(100, "missing"), (500, "missing"), (301, "added"), (777, "added"), (200, "changed"), (600, "changed"), (None, "changed"), (-5, "missing")], key=str
+    )
+    assert len(got) == len(texts) + 4 + 2
+    want = {(r["page_id"], r["file"], r["offset"], r["sha256"]) for r in left.collect()}
+    assert {(r["page_id"], r["file"], r["offset"], r["sha256"]) for r in got if r["status"] != "added"} == want
+    assert all((r["sha256"] == r["replica_sha256"]) == (r["status"] == "ok") for r in got)
+    # A damaged member is a row, and the others are read.
+    folder = str(tmp_path / "warc")
+    write_warc(spark.createDataFrame([(i, "u", "y" * 50 + str(i)) for i in range(6)], "page_id long, url string, html string"), folder, 6)
+    whole = [r["sha256"] for r in read_warc(spark, folder).orderBy("offset").collect()]
+    data = spark.read.parquet(folder).first()["content"]
+    third = [i for i in range(len(data)) if data[i : i + 3] == b"\x1f\x8b\x08"][2]
+    hurt = bytearray(data)
+    hurt[third + 12] ^= 255
+    spark.createDataFrame([(0, hurt)], "file long, content binary").write.parquet(f"{folder}-hurt")
+    read = [r["sha256"] for r in read_warc(spark, f"{folder}-hurt").collect()]
+    assert read == [*whole[:2], None, *whole[3:]]
+
+
 def test_boosting_learns_and_sql_agrees(spark):
     rnd = np.random.default_rng(5)
     x = rnd.normal(size=(3000, 4))

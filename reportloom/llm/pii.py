@@ -56,7 +56,6 @@ CUE = {
 }
 CONTEXT = 16
 FEATURES = ("cue", "letter_before", "letter_after", "number_near", "link_before", "bracket_before", "ends")
-TABLE_ROWS = 50_000
 
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 RUN = 64
@@ -229,11 +228,11 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     return full.select(*keep, F.array_sort(F.concat(*base)).alias("_base"), F.concat(*wide).alias("_wide"))
 
 
-def fit_thresholds(found: DataFrame, precision: float = 0.9, most: int = TABLE_ROWS) -> dict[int, tuple[str, float]]:
+def fit_thresholds(found: DataFrame, precision: float = 0.9) -> dict[int, tuple[str, float]]:
     """kind -> (SQL of the margin over ``c.f``, least margin whose calibrated share reaches ``precision``).
 
-    All candidates count: they are summed up by their features, which take few values, and the
-    ``most`` commonest rows of that table go to the driver.
+    All candidates count: they are summed up by kind, truth and features. Each feature is 0 or 1,
+    so that table has at most 1,024 rows, all of which go to the driver.
     """
     table = (
         found.select(F.explode("_wide").alias("c"))
@@ -241,7 +240,6 @@ def fit_thresholds(found: DataFrame, precision: float = 0.9, most: int = TABLE_R
         .groupBy("c.kind", *[f"c.f.{f}" for f in FEATURES], "c.truth")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), *FEATURES, "truth", "kind")
-        .limit(most)
         .collect()
     )
     out = {}

@@ -297,5 +297,15 @@ def test_other_forms_of_personal_data_are_found_and_redacted(spark):
     assert clean[len(texts) - 1] == "mail [EMAIL]. Then 5 @ noon. Then more"
 
 
+def test_features_take_two_values(spark):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("0123456789.@+-=/<( ab\n") for _ in range(200)) for _ in range(100)]
+    texts += [f"call{'x' * k}+49 30 {10 ** k} ip {k}.{k}.{k}.{k} (a@b{k}.com)" for k in range(5, 12)]
+    found = pii.candidates(frame(spark, texts).withColumn("_text", F.col("text")), ["doc_id"])
+    rows = found.select(F.explode("_wide").alias("c")).select("c.f.*").distinct().collect()
+    assert len(rows) > 3 and {v for r in rows for v in r} == {0, 1}
+    assert 2 ** len(pii.FEATURES) * 2 * len(pii.KINDS) <= 1024
+
+
 def test_vocabulary_path_is_a_parameter():
     assert os.path.exists(VOCAB)

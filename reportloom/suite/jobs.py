@@ -11,7 +11,7 @@ from reportloom.operators import chat, costs, names
 from reportloom.plans import hydrate as hy, knowledge as kn, questions as qn
 from reportloom.session import workspace
 from reportloom.sinks import files as sink
-from reportloom.streaming import jobs as st
+from reportloom.streaming import context as live, jobs as st
 from reportloom.suite import chat as chat_suite, content as content_suite, costs as costs_suite
 from reportloom.suite import names as names_suite, observations as obs_suite, retrieval as retrieval_suite
 from reportloom.suite import tables as tb
@@ -337,13 +337,14 @@ def write_answer_csv(spark, sf_dir):
 _BATCHES = 4
 
 
-def _stream(spark, sf_dir, name, keep, at=None, shaken=0):
-    """A table as a stream of four batches: by time ``at``, or by hash without one.
+def _stream(spark, sf_dir, name, keep, at=None, shaken=0, repeated=False):
+    """A table, by name or itself, as a stream of four batches: by time ``at``, or by hash without one.
 
     ``shaken`` seconds of disorder: rows are dealt by their time moved by up to half of that in
-    either direction, so batches overlap in time and no row is later than ``shaken``.
+    either direction, so batches overlap in time and no row is later than ``shaken``. With
+    ``repeated``, one row in eight comes twice, one half of these again in the next batch.
     """
-    rows = tb.table(spark, sf_dir, name).select(*keep)
+    rows = (tb.table(spark, sf_dir, name) if isinstance(name, str) else name).select(*keep)
     if at is None:
         batch = F.pmod(F.xxhash64(keep[0]), F.lit(_BATCHES))
     else:
@@ -354,6 +355,14 @@ def _stream(spark, sf_dir, name, keep, at=None, shaken=0):
         batch = F.least(F.greatest(batch, F.lit(0)), F.lit(_BATCHES - 1))
     folder, files = workspace(spark, "stream"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("_batch", batch)
+    if repeated:
+        again = F.pmod(F.xxhash64(F.lit("again"), *keep), F.lit(16))
+        later = F.least(F.col("_batch") + (again == 0).cast("int"), F.lit(_BATCHES - 1))
+        dealt = dealt.unionByName(dealt.where(again < 2).withColumn("_batch", later))
+    staged = workspace(spark, "dealt")
+    dealt.write.partitionBy("_batch").parquet(staged)
+    dealt = spark.read.schema(dealt.schema).parquet(staged)
+    # One append per batch: the file source takes files in the order of their times.
     for i in range(_BATCHES):
         dealt.where(F.col("_batch") == i).drop("_batch").repartition(files).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
@@ -369,14 +378,24 @@ def _finish(started) -> int:
 
 @query("stream_ingest_reports", f"WITH {obs_suite.OBSERVATIONS_SQL} SELECT * FROM observations")
 def stream_ingest_reports(spark, sf_dir):
+    """Four batches, one document in eight twice, merged into the stored observations."""
     path = workspace(spark, "ingest")
-    docs = _stream(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+    docs = _stream(spark, sf_dir, "documents", ["doc_id", "text"], repeated=True).select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("report_id"), "text"
     )
-    _finish(st.stream_ingest_reports(docs, path, f"{path}/checkpoint"))
+    _finish(st.stream_ingest_reports(docs, path, f"{path}/checkpoint", buckets=16))
     return st.current_rows(spark, f"{path}/observations")
 
 
+@query("stream_ingest_names", f"{names_suite._EVIDENCE} SELECT patient_id, source_report, name, confidence FROM evidence")
+def stream_ingest_names(spark, sf_dir):
+    """Reports with ids of persons: the stored name evidence after four batches with repeats."""
+    path = workspace(spark, "ingest")
+    texts = tb.report_texts(spark, sf_dir).select("report_id", "text")
+    _finish(st.stream_ingest_reports(_stream(spark, sf_dir, texts, texts.columns, repeated=True), path, f"{path}/checkpoint", buckets=16))
+    return st.current_rows(spark, f"{path}/name_evidence")
+
+
 @query("stream_daily_costs", costs_suite.DAILY_SQL)
 def stream_daily_costs(spark, sf_dir):
     path = workspace(spark, "daily")
@@ -411,7 +430,10 @@ c AS (SELECT *, sum(CASE WHEN newer >= ts + INTERVAL 3600 SECOND THEN 1 ELSE 0 E
 SELECT user_id, event_id, recency FROM c WHERE recency <= 20 AND cuts = 0 AND last + INTERVAL 3600 SECOND > as_of""",
 )
 def stream_context_window(spark, sf_dir):
+    """Four batches that overlap by up to two hours, with repeated rows."""
     path = workspace(spark, "context")
-    messages = _stream(spark, sf_dir, "events", ["user_id", "event_id", "ts"], "ts")
-    last = _finish(st.stream_context_window(messages, "user_id", "ts", "event_id", f"{path}/out", f"{path}/checkpoint"))
-    return st.current_context(spark, f"{path}/out", last).select("user_id", "event_id", "recency")
+    messages = _stream(spark, sf_dir, "events", ["user_id", "event_id", "ts"], "ts", 7200, repeated=True)
+    _finish(live.stream_context_window(
+        messages, "user_id", "ts", "event_id", f"{path}/out", f"{path}/checkpoint", late="7200 seconds"
+    ))
+    return live.current_context(spark, f"{path}/out", "user_id").select("user_id", "event_id", "recency")

@@ -225,50 +225,6 @@ def run(query):
     assert query.exception() is None
 
 
-def test_ingest_stream_replaces_per_report(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    (src / "P1_LFT_20240101_a.md").write_text("Patient: LEE, ANN\nIron 5 mg\nZinc 1 g")
-    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
-
-    def go():
-        run(st.stream_ingest_reports(st.read_report_stream(spark, str(src), glob="*.{md,txt}"), out, cp))
-
-    go()
-    second = tmp_path / "in2" / "P1_LFT_20240101_a.md"
-    second.parent.mkdir()
-    second.write_text("Iron 6 mg")
-    other = st.read_report_stream(spark, str(src / "*"))
-    assert other.isStreaming
-    (src / "P1_LFT_20240101_a.txt").write_bytes(b"Iron\xff 6 mg")
-    (src / "P1_LFT_20240101_a.bin").write_bytes(b"Zinc 7 mg")
-    go()
-    got = st.current_rows(spark, f"{out}/observations").collect()
-    assert [(r.report_id, r.analyte, r.value) for r in got] == [("P1_LFT_20240101_a", "Iron", "6")]
-    assert [r.name for r in st.current_rows(spark, f"{out}/name_evidence", "source_report").collect()] == ["Ann Lee"]
-
-
-def test_context_stream_like_one_batch(spark, tmp_path):
-    base = dt.datetime(2024, 1, 1)
-    rows = [(u, 100 * u + i, base + dt.timedelta(seconds=s)) for u, secs in
-            {1: range(0, 9000, 100), 2: [0, 10, 20], 3: [0, 8000, 8100, 8950], 4: [5300, 8899]}.items() for i, s in enumerate(secs)]
-    rows.sort(key=lambda r: r[2])
-    ddl = "u int, id int, ts timestamp"
-    src = str(tmp_path / "in")
-    for part in range(0, len(rows), 25):
-        spark.createDataFrame(rows[part : part + 25], ddl).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
-    q = st.stream_context_window(stream, "u", "ts", "id", str(tmp_path / "out"), str(tmp_path / "cp"), n=5)
-    run(q)
-    last = max(p["batchId"] for p in q.recentProgress)
-    assert last > 1
-    got = sorted((r.u, r.id, r.recency) for r in st.current_context(spark, str(tmp_path / "out"), last).collect())
-    want = sorted(
-        [(1, 100 + i, 90 - i) for i in range(85, 90)] + [(3, 303, 1), (3, 302, 2), (3, 301, 3)] + [(4, 401, 1), (4, 400, 2)]
-    )
-    assert got == want
-
-
 def test_daily_cost_stream_over_several_batches(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     ddl = "timestamp timestamp, total_tokens int, total_cost decimal(10,6)"

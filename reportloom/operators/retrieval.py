@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 COSINE_THRESHOLD = 0.2
 TOP_K = 60
 RESUMMARY_AT = 6
+BLOCK_ROWS = 8192  # vectors that a task holds at a time
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -81,39 +82,39 @@ def vector_top_k(
 ) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top ``k`` at or above ``threshold``.
 
-    Scores have 6 decimals; equal ones rank by id. Vectors are hashed into ``blocks`` (as many
-    as shuffles have partitions unless given) and shuffled once; queries go to every block. A
-    task holds the vectors of one block and keeps its own best ``k`` per query, so neither all
-    vectors nor all queries meet anywhere and no pair lists are shuffled. Nothing runs while the
-    plan is built. Choose ``blocks`` so that a block's vectors fit in a task.
+    Scores have 6 decimals; equal ones rank by id. Vectors are hashed into ``blocks`` (of about
+    ``BLOCK_ROWS``, by one count of the rows, unless given) and shuffled once; queries go to every
+    block. A task holds the vectors of one block and keeps its own best ``k`` per query, so neither
+    all vectors nor all queries meet anywhere and no pair lists are shuffled. ``operators.vectors``
+    has an index for stores that are searched often.
     """
-    n = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or max(1, -(-vectors.count() // BLOCK_ROWS))
     vec = "array<double>"
     held = vectors.where(F.col(vec_col).isNotNull()).select(
-        F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(id_col), F.lit(n)).cast("bigint").alias("block"),
         F.lit(0).alias("is_query"),
         F.lit(0).cast("bigint").alias("query_id"),
         F.col(id_col).cast("bigint").alias("id"),
         F.col(vec_col).cast(vec).alias("vec"),
     )
     asked = queries.where(F.col(query_vec).isNotNull()).select(
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"),
         F.lit(1).alias("is_query"),
         F.col(query_id).cast("bigint").alias("query_id"),
         F.lit(0).cast("bigint").alias("id"),
         F.col(query_vec).cast(vec).alias("vec"),
     )
-    found = (
-        held.unionByName(asked)
-        .repartition(n, "block")
-        .sortWithinPartitions("block", "is_query")
-        .mapInPandas(_search(k, threshold), "query_id bigint, id bigint, score double")
-        .withColumnRenamed("id", id_col)
-    )
+    found = search_blocks(held.unionByName(asked), k, threshold).withColumnRenamed("id", id_col)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def search_blocks(rows: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(query_id, id, score) from rows (block, is_query, query_id, id, vec): each block's best per query."""
+    found = rows.repartition("block").sortWithinPartitions("block", "is_query")
+    return found.mapInPandas(_search(k, threshold), "query_id bigint, id bigint, score double")
+
+
 def hybrid_candidates(
     local: DataFrame, global_: DataFrame, mode: str = "hybrid", keys: tuple[str, ...] = ("id",)
 ) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from reportloom.functions import content as ct, templates as tm
 from reportloom.operators import content, documents, models, retrieval
+from reportloom.operators.vectors import VectorIndex, index_top_k
 
 
 def insert_documents(
@@ -80,21 +81,23 @@ def insert_multimodal(
 
 def retrieve(
     queries: DataFrame,
-    entities: DataFrame,
-    relations: DataFrame,
+    entities: DataFrame | VectorIndex,
+    relations: DataFrame | VectorIndex,
     mode: str = "hybrid",
     k: int = retrieval.TOP_K,
     threshold: float = retrieval.COSINE_THRESHOLD,
-    chunks: DataFrame | None = None,
+    chunks: DataFrame | VectorIndex | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank): best ``k`` hits per query over entities and relations.
 
     With ``chunks`` their hits take part as well, in any mode. ``queries`` has (query_id,
-    embedding); the others (vec_id, embedding). Ids must not repeat across the sides.
+    embedding); the others (vec_id, embedding), or are indexes of such. Ids must not repeat across
+    the sides.
     """
 
-    def hits(vectors: DataFrame) -> DataFrame:
-        found = retrieval.vector_top_k(vectors, queries, k, threshold)
+    def hits(vectors: DataFrame | VectorIndex) -> DataFrame:
+        search = index_top_k if isinstance(vectors, VectorIndex) else retrieval.vector_top_k
+        found = search(vectors, queries, k, threshold)
         return found.select("query_id", F.col("vec_id").alias("id"), "score")
 
     keys = ("query_id", "id")
@@ -105,7 +108,5 @@ def retrieve(
         both = retrieval.hybrid_candidates(hits(entities), hits(relations), mode, keys)
     if chunks is not None:
         both = both.unionByName(hits(chunks))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

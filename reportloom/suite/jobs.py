@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from reportloom.functions import content as ct, templates as tm
-from reportloom.operators import chat, costs, names
+from reportloom.operators import chat, costs, names, vectors as vx
 from reportloom.plans import hydrate as hy, knowledge as kn, questions as qn
 from reportloom.session import workspace
 from reportloom.sinks import files as sink
@@ -137,16 +137,16 @@ def insert_multimodal(spark, sf_dir):
     "retrieve_with_chunks",
     """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE label = 0),
 s AS (SELECT query_id, vec_id AS id, label % 3 AS side, round(list_cosine_similarity(qe, CAST(embedding AS DOUBLE[])), 6) AS score
-      FROM q, embeddings WHERE label <> 0),
+      FROM q, embeddings),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, side ORDER BY score DESC, id) AS rn FROM s WHERE score >= 0.1) WHERE rn <= 10),
 r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM top)
 SELECT * FROM r WHERE rank <= 10""",
 )
 def retrieve_with_chunks(spark, sf_dir):
-    """Entities, relations and chunks together."""
+    """Entities, relations and chunks together, the entities as a stored index."""
     vectors = tb.table(spark, sf_dir, "embeddings")
-    sides = [vectors.where(f"label <> 0 AND label % 3 = {i}") for i in range(3)]
-    return kn.retrieve(retrieval_suite._queries(spark, sf_dir), *sides[:2], k=10, threshold=0.1, chunks=sides[2])
+    sides = [vectors.where(f"label % 3 = {i}") for i in range(3)]
+    return kn.retrieve(retrieval_suite._queries(spark, sf_dir), vx.build_index(sides[0]), sides[1], k=10, threshold=0.1, chunks=sides[2])
 
 
 @query(
@@ -167,16 +167,15 @@ def render_query(spark, sf_dir):
     "retrieve",
     """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE label = 0),
 s AS (SELECT query_id, vec_id AS id, label % 2 AS side, round(list_cosine_similarity(qe, CAST(embedding AS DOUBLE[])), 6) AS score
-      FROM q, embeddings WHERE label <> 0),
+      FROM q, embeddings),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, side ORDER BY score DESC, id) AS rn FROM s WHERE score >= 0.1) WHERE rn <= 10),
 r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM top)
 SELECT * FROM r WHERE rank <= 10""",
 )
 def retrieve(spark, sf_dir):
     vectors = tb.table(spark, sf_dir, "embeddings")
-    others = vectors.where("label <> 0")
     return kn.retrieve(
-        retrieval_suite._queries(spark, sf_dir), others.where("label % 2 = 0"), others.where("label % 2 = 1"),
+        retrieval_suite._queries(spark, sf_dir), vectors.where("label % 2 = 0"), vectors.where("label % 2 = 1"),
         k=10, threshold=0.1,
     )
 

@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from reportloom.operators import models as md, retrieval as op
+from reportloom.operators import models as md, retrieval as op, vectors as vx
 from reportloom.suite import tables as tb
 from reportloom.suite.registry import query
 
@@ -33,16 +33,24 @@ def vector_top_k_many_queries(spark, sf_dir):
     return op.vector_top_k(tb.table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), k=5, blocks=31)
 
 
+@query("vector_index_top_k", _TOP_SQL.format(k=60).replace("label = 0", "vec_id % 100 = 0"))
+def vector_index_top_k(spark, sf_dir):
+    """Every hundredth vector as a query, over an index of all vectors."""
+    vectors = tb.table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vx.index_top_k(vx.build_index(vectors), asked)
+
+
 @query(
     "hybrid_candidates",
     """SELECT id, max(score) AS score FROM (
   SELECT l_partkey AS id, l_discount AS score FROM lineitem WHERE l_returnflag = 'A'
-  UNION ALL SELECT l_partkey, l_tax FROM lineitem WHERE l_returnflag = 'R') GROUP BY id""",
+  UNION ALL SELECT l_partkey, l_tax FROM lineitem WHERE l_returnflag <> 'A') GROUP BY id""",
 )
 def hybrid_candidates(spark, sf_dir):
     lines = tb.table(spark, sf_dir, "lineitem")
     local = lines.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("id"), F.col("l_discount").alias("score"))
-    far = lines.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id"), F.col("l_tax").alias("score"))
+    far = lines.where("l_returnflag <> 'A'").select(F.col("l_partkey").alias("id"), F.col("l_tax").alias("score"))
     return op.hybrid_candidates(local, far)
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 COSINE_THRESHOLD = 0.2
 TOP_K = 60
 RESUMMARY_AT = 6
-BLOCK_ROWS = 8192  # vectors that a task holds at a time
+BLOCK_ROWS = 65_536  # vectors that a task holds at a time, on average
+SCORES = 1 << 21  # scores that a task makes at a time
+HITS = 1 << 20  # hits that a task gathers before it hands them on
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -20,11 +22,11 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _block_best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, vector row) of the k best scores of each query, ties by vector id."""
+def _block_best(scores: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, vector row) of the k best scores of each query from its floor on, ties by vector id."""
     out_q, out_v = [], []
     for q, row in enumerate(scores):
-        hits = np.flatnonzero(row >= threshold)
+        hits = np.flatnonzero(row >= floors[q])
         if len(hits) > k:
             # Scores as good as the k-th all stay in the draw, then ids decide.
             hits = hits[row[hits] >= np.partition(row[hits], -k)[-k]]
@@ -34,15 +36,56 @@ def _block_best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float) -
     return np.concatenate(out_q), np.concatenate(out_v)
 
 
-def _search(k: int, threshold: float, step: int = 256):
-    """Task body over rows (block, query_id, id, vec), the vectors of a block before its queries.
-
-    A block's vectors are held as one matrix; queries pass by, ``step`` at a time.
+class _Hits:
+    """The best ``k`` hits per query of a task so far; beyond ``most`` rows they are handed on."""
+
+    def __init__(self, k: int, most: int):
+        self.k, self.most = k, most
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+        self.floors: dict[int, float] = {}
+
+    def floors_of(self, names: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """What a hit has to reach: a query with ``k`` hits needs no lower score."""
+        return np.maximum(floors, [self.floors.get(n, -np.inf) for n in names.tolist()])
+
+    def add(self, names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.parts.append((names, ids, scores))
+        self.size += len(names)
+        if self.size > self.most:
+            self._cut()
+            if self.size > self.most // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.size:
+            self._cut()
+            yield pd.DataFrame(dict(zip(("query_id", "id", "score"), self.parts[0], strict=True)))
+        self.parts, self.size, self.floors = [], 0, {}
+
+    def _cut(self) -> None:
+        names, ids, scores = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -scores, names))
+        names, ids, scores = names[order], ids[order], scores[order]
+        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        place = np.arange(len(names)) - np.repeat(starts, np.diff(np.append(starts, len(names))))
+        last = place == self.k - 1
+        self.floors = dict(zip(names[last].tolist(), scores[last].tolist(), strict=True))
+        kept = place < self.k
+        self.parts, self.size = [(names[kept], ids[kept], scores[kept])], int(kept.sum())
+
+
+def _search(k: int, most: int = SCORES, hits: int = HITS):
+    """Task body over rows (block, is_query, query_id, id, floor, vec), a block's vectors before its queries.
+
+    A block's vectors are held as one matrix; queries pass by, as many at a time as give ``most``
+    scores. Hits of all blocks of the task are cut to the best ``k`` per query.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, parts, ids = None, [], []
         matrix, known = np.zeros((0, 0)), np.zeros(0, np.int64)
+        best = _Hits(k, hits)
         for pdf in batches:
             for (number, is_query), rows in pdf.groupby(["block", "is_query"], sort=True):
                 if number != block:
@@ -59,12 +102,15 @@ def _search(k: int, threshold: float, step: int = 256):
                     parts, ids = [], []
                 if not len(matrix):
                     continue
-                names = rows["query_id"].to_numpy(np.int64)
+                names, floors = rows["query_id"].to_numpy(np.int64), rows["floor"].to_numpy(np.float64)
+                step = max(1, most // len(matrix))
                 for at in range(0, len(vecs), step):
+                    some = names[at : at + step]
                     scores = np.round(vecs[at : at + step] @ matrix.T, 6)
-                    q, v = _block_best(scores, known, k, threshold)
+                    q, v = _block_best(scores, known, k, best.floors_of(some, floors[at : at + step]))
                     if len(q):
-                        yield pd.DataFrame({"query_id": names[at + q], "id": known[v], "score": scores[q, v]})
+                        yield from best.add(some[q], known[v], scores[q, v])
+        yield from best.rest()
 
     return run
 
@@ -82,19 +128,21 @@ def vector_top_k(
 ) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top ``k`` at or above ``threshold``.
 
-    Scores have 6 decimals; equal ones rank by id. Vectors are hashed into ``blocks`` (of about
-    ``BLOCK_ROWS``, by one count of the rows, unless given) and shuffled once; queries go to every
-    block. A task holds the vectors of one block and keeps its own best ``k`` per query, so neither
+    Scores have 6 decimals; equal ones rank by id. Vectors are hashed into ``blocks`` (unless given,
+    as many as shuffles have partitions, more beyond ``BLOCK_ROWS`` each by one count of the
+    rows) and shuffled once; queries go to every block. A task holds the vectors of one block and keeps its own best ``k`` per query, so neither
     all vectors nor all queries meet anywhere and no pair lists are shuffled. ``operators.vectors``
     has an index for stores that are searched often.
     """
-    n = blocks or max(1, -(-vectors.count() // BLOCK_ROWS))
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or max(partitions, -(-vectors.count() // BLOCK_ROWS))
     vec = "array<double>"
     held = vectors.where(F.col(vec_col).isNotNull()).select(
         F.pmod(F.xxhash64(id_col), F.lit(n)).cast("bigint").alias("block"),
         F.lit(0).alias("is_query"),
         F.lit(0).cast("bigint").alias("query_id"),
         F.col(id_col).cast("bigint").alias("id"),
+        F.lit(float(threshold)).alias("floor"),
         F.col(vec_col).cast(vec).alias("vec"),
     )
     asked = queries.where(F.col(query_vec).isNotNull()).select(
@@ -102,17 +150,21 @@ def vector_top_k(
         F.lit(1).alias("is_query"),
         F.col(query_id).cast("bigint").alias("query_id"),
         F.lit(0).cast("bigint").alias("id"),
+        F.lit(float(threshold)).alias("floor"),
         F.col(query_vec).cast(vec).alias("vec"),
     )
-    found = search_blocks(held.unionByName(asked), k, threshold).withColumnRenamed("id", id_col)
+    found = search_blocks(held.unionByName(asked), k).withColumnRenamed("id", id_col)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search_blocks(rows: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(query_id, id, score) from rows (block, is_query, query_id, id, vec): each block's best per query."""
+def search_blocks(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) from rows (block, is_query, query_id, id, floor, vec).
+
+    Of each block the best ``k`` of each query that reach its ``floor``.
+    """
     found = rows.repartition("block").sortWithinPartitions("block", "is_query")
-    return found.mapInPandas(_search(k, threshold), "query_id bigint, id bigint, score double")
+    return found.mapInPandas(_search(k), "query_id bigint, id bigint, score double")
 
 
 def hybrid_candidates(

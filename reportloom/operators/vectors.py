@@ -3,8 +3,8 @@
 Centroids are fitted on a bounded sample; every vector is assigned to its nearest one. A cell is a
 cone: no vector in it is nearer to a query than the query's angle to the centroid less the cell's
 widest angle. A query first visits the cells of best bound that hold ``k`` vectors; the score of its
-k-th hit then rules out every cell whose bound is lower, and the rest are visited. Results are
-those of a search through all vectors.
+k-th hit then rules out every cell whose bound is lower; in the rest, only what reaches that
+score comes out. Results are those of a search through all vectors.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reportloom.operators.retrieval import BLOCK_ROWS, COSINE_THRESHOLD, TOP_K, search_blocks
+from reportloom.operators.retrieval import COSINE_THRESHOLD, TOP_K, search_blocks
 from reportloom.session import workspace
 
 SAMPLE_ROWS = 20_000
 MOST_CELLS = 1024
+BLOCK_ROWS = 8192  # vectors of a cell that a task holds at a time, on average
 ROUNDS = 8
 _SLACK = 2e-6  # scores have 6 decimals; angles are good to far less
 
@@ -135,7 +136,7 @@ def _first_cells(cells: Cells, bound: np.ndarray, k: int) -> np.ndarray:
 
 
 def _asked(cells: Cells, queries: DataFrame, k: int, threshold: float, again: bool) -> DataFrame:
-    """(query_id, cell, vec): cells to visit, first or ``again`` after ``floor`` is known."""
+    """(query_id, cell, floor, vec): cells to visit, first or ``again`` after ``floor`` is known."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -144,16 +145,16 @@ def _asked(cells: Cells, queries: DataFrame, k: int, threshold: float, again: bo
             vecs = _unit_rows(np.stack(pdf["vec"].to_numpy()))
             bound = _bounds(cells, vecs)
             first = _first_cells(cells, bound, k)
-            floor = np.maximum(pdf["floor"].to_numpy(), threshold)[:, None] if again else threshold
-            visit = (~first if again else first) & (bound >= floor)
+            floor = np.maximum(pdf["floor"].to_numpy(), threshold) if again else np.full(len(vecs), float(threshold))
+            visit = (~first if again else first) & (bound >= floor[:, None])
             q, c = np.nonzero(visit)
             if len(q):
-                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[q], "cell": c.astype(np.int32), "vec": [vecs[i] for i in q]})
+                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[q], "cell": c.astype(np.int32), "floor": floor[q], "vec": [vecs[i] for i in q]})
 
-    return queries.mapInPandas(ask, "query_id bigint, cell int, vec array<double>")
+    return queries.mapInPandas(ask, "query_id bigint, cell int, floor double, vec array<double>")
 
 
-def _visit(index: VectorIndex, asked: DataFrame, k: int, threshold: float) -> DataFrame:
+def _visit(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score): the best ``k`` of each query in each block of the cells it asks for."""
     # At most one row per cell.
     wanted = asked.select("cell").distinct()
@@ -161,10 +162,10 @@ def _visit(index: VectorIndex, asked: DataFrame, k: int, threshold: float) -> Da
     every = F.explode(F.sequence(F.lit(0), F.get(index.cells.blocks(), F.col("cell")) - 1))
     number = (F.shiftleft(F.col("cell").cast("bigint"), 32) + F.col("block")).alias("block")
     zero = F.lit(0).cast("bigint")
-    rows = held.select(number, F.lit(0).alias("is_query"), zero.alias("query_id"), "id", "vec").unionByName(
-        asked.withColumn("block", every).select(number, F.lit(1).alias("is_query"), "query_id", zero.alias("id"), "vec")
-    )
-    return search_blocks(rows, k, threshold)
+    kept = held.select(number, F.lit(0).alias("is_query"), zero.alias("query_id"), "id", F.lit(0.0).alias("floor"), "vec")
+    sent = asked.withColumn("block", every)
+    sent = sent.select(number, F.lit(1).alias("is_query"), "query_id", zero.alias("id"), "floor", "vec")
+    return search_blocks(kept.unionByName(sent), k)
 
 
 def index_top_k(
@@ -188,11 +189,11 @@ def index_top_k(
         return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     path = workspace(spark, "first-hits")
-    best(_visit(index, _asked(index.cells, given, k, threshold, False), k, threshold)).drop("rank").write.parquet(path)
+    best(_visit(index, _asked(index.cells, given, k, threshold, False), k)).drop("rank").write.parquet(path)
     first = spark.read.schema("query_id bigint, id bigint, score double").parquet(path)
     kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     told = given.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(threshold)))
-    more = _visit(index, _asked(index.cells, told, k, threshold, True), k, threshold)
+    more = _visit(index, _asked(index.cells, told, k, threshold, True), k)
     return best(first.unionByName(more)).select("query_id", F.col("id").alias(id_col), "score", "rank")
 
 

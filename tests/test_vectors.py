@@ -26,6 +26,8 @@ def _frame(spark, ids, x, names):
 @pytest.mark.parametrize("spread, k, threshold", [(0.05, 7, 0.2), (0.5, 20, 0.5), (5.0, 3, -1.0), (0.05, 2000, 0.9)])
 def test_index_equals_brute_force(spark, monkeypatch, spread, k, threshold):
     monkeypatch.setattr(vx, "BLOCK_ROWS", 40)
+    if k == 20:
+        monkeypatch.setattr(retrieval._search, "__defaults__", (500, 90))
     rnd = np.random.default_rng(int(spread * 100))
     centres = rnd.normal(size=(12, 16))
     x = np.concatenate([c + spread * rnd.normal(size=(80, 16)) for c in centres] + [np.repeat(centres[:1], 300, axis=0)])
@@ -56,6 +58,7 @@ def test_index_of_nothing_and_of_one(spark):
 
 def test_blocks_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(retrieval._search, "__defaults__", (64, 12))
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(95, 4))
     got = retrieval.vector_top_k(_frame(spark, range(95), x, "vec_id"), _frame(spark, range(3), x[:3], "query_id"), 5, 0.0)

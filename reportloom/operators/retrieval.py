@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from reportloom.operators import models
+from reportloom.session import workspace
+
 COSINE_THRESHOLD = 0.2
 TOP_K = 60
 RESUMMARY_AT = 6
 BLOCK_ROWS = 65_536  # vectors that a task holds at a time, on average
+_SUMMARY_PROMPT = "Write one description from these:\n"
 SCORES = 1 << 21  # scores that a task makes at a time
 HITS = 1 << 20  # hits that a task gathers before it hands them on
 
@@ -196,6 +200,62 @@ def entity_descriptions(mentions: DataFrame, name: str = "name", description: st
     return mentions.groupBy(name, description).agg(F.count(F.lit(1)).alias("n_mentions"))
 
 
+def merge_relations(
+    relations: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight", description: str = "description"
+) -> DataFrame:
+    """Undirected relations, one row per pair of ends: (src, dst, weight, n_mentions, n_descriptions, ...).
+
+    The smaller end stands first, weights add up, and as in ``merge_entities`` descriptions are
+    counted and the smallest is kept. Rows without an end drop out; a missing weight counts 1.
+    """
+    ends = [F.least(src, dst).alias(src), F.greatest(src, dst).alias(dst)]
+    told = relations.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(
+        *ends, F.coalesce(F.col(weight), F.lit(1)).alias(weight), description
+    )
+    distinct = told.groupBy(src, dst, description).agg(F.sum(weight).alias(weight), F.count(F.lit(1)).alias("_n"))
+    return distinct.groupBy(src, dst).agg(
+        F.sum(weight).alias(weight),
+        F.sum("_n").alias("n_mentions"),
+        F.count(description).alias("n_descriptions"),
+        F.min(description).alias(description),
+        (F.sum("_n") >= RESUMMARY_AT).alias("needs_summary"),
+    )
+
+
+def summarise_descriptions(
+    descriptions: DataFrame, keys: list[str], make_model: Callable, description: str = "description", most: int = 8,
+) -> DataFrame:
+    """(keys, description): the descriptions of each key drawn together by a model, ``most`` at a time.
+
+    Level by level, groups of at most ``most`` texts become one prompt and one answer, until a key
+    has one text; a single text is not sent. Texts are dealt to groups by slots of a bounded
+    number of texts, so a key with a third of all rows fills many tasks. Every level is written, so
+    an answer is asked for once even when an executor is lost later. Equal texts count once.
+    """
+    if most < 2:
+        raise ValueError("most must be at least 2")
+    spark = descriptions.sparkSession
+    texts = descriptions.where(F.col(description).isNotNull()).select(*keys, description).distinct()
+    schema = texts.schema
+    while True:
+        path = workspace(spark, "summaries")
+        texts.write.parquet(path)
+        texts = spark.read.schema(schema).parquet(path)
+        sizes = texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        if (sizes.agg(F.max("_n")).first()[0] or 0) <= 1:
+            return texts
+        numbered = texts.join(sizes, keys).withColumn(
+            "_slot", F.pmod(F.xxhash64(description), F.expr(f"(_n + {64 * most - 1}) div {64 * most}"))
+        )
+        place = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(description)) - 1
+        groups = numbered.withColumn("_group", F.floor(place / most)).groupBy(*keys, "_slot", "_group").agg(
+            F.array_join(F.array_sort(F.collect_list(description)), "\n").alias("_joined"), F.count(F.lit(1)).alias("_n")
+        )
+        several = groups.withColumn("prompt", F.when(F.col("_n") > 1, F.concat(F.lit(_SUMMARY_PROMPT), "_joined")))
+        answered = models.apply_text_model(several, make_model)
+        texts = answered.select(*keys, F.coalesce("answer", "_joined").alias(description)).distinct()
+
+
 def graph_neighbourhood(
     edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None, src: str = "src", dst: str = "dst"
 ) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from reportloom.functions import content as ct, templates as tm
-from reportloom.operators import content, documents, models, retrieval
+from reportloom.operators import content, documents, merge, models, retrieval
 from reportloom.operators.vectors import VectorIndex, index_top_k
+from reportloom.session import workspace
+from reportloom.streaming import store
 
 
 def insert_documents(
@@ -30,6 +33,59 @@ def insert_documents(
     return models.embed_texts(chunks, make_embedder, dim, "chunk")
 
 
+def insert_into_store(
+    docs: DataFrame,
+    path: str,
+    make_embedder: Callable,
+    dim: int,
+    key: str = "doc_id",
+    text_col: str = "text",
+    path_col: str = "file_path",
+    buckets: int = store.BUCKETS,
+    **chunking,
+) -> None:
+    """Add ``docs`` to the stored index below ``path``; ``stored_chunks`` reads it.
+
+    Content that is stored already is neither cut nor embedded again, whoever brings it. A document
+    that comes with another text under the same ``key`` then stands for that text only; chunks that
+    no document stands for any more are not read, and serve again if their content returns. Of a
+    key that comes twice the greatest content id counts. Running it again changes nothing: chunks
+    are merged before the documents that point to them.
+    """
+    spark = docs.sparkSession
+    named = docs.withColumn("document_id", documents.document_id(F.col(text_col)))
+    # Ids alone decide, so no text is sorted or written here.
+    staged = workspace(spark, "insert")
+    merge.latest_per_key(named.select(key, "document_id", path_col), [key], ["document_id", path_col]).write.parquet(staged)
+    new = spark.read.parquet(staged)
+    first = new.groupBy("document_id").agg(F.min(key).alias(key))
+    held = f"{path}/chunks"
+    chunk_schema = "document_id string, chunk_index int, chunk string, n_words int, embedding array<float>"
+    known = store.read_buckets(spark, held, T.StructType.fromDDL(chunk_schema)).select("document_id").distinct()
+    wanted = first.join(known, "document_id", "left_anti")
+    fresh = named.join(wanted, ["document_id", key], "left_semi").dropDuplicates(["document_id"])
+    chunks = content.chunk_documents(fresh, text_col, ("document_id",), **chunking)
+    embedded = models.embed_texts(chunks, make_embedder, dim, "chunk")
+    embedded = embedded.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(chunk_schema)])
+    by_content = partial(merge.replace_observations, key="document_id")
+    store.merge_buckets(spark, held, embedded, "document_id", by_content, buckets)
+
+    def latest(old: DataFrame, rows: DataFrame) -> DataFrame:
+        return merge.upsert(old, rows, [key], ["document_id", path_col], ["document_id"])
+
+    store.merge_buckets(spark, f"{path}/documents", new.select(key, "document_id", path_col), key, latest, buckets)
+
+
+def stored_chunks(spark: SparkSession, path: str, key: str = "doc_id", path_col: str = "file_path") -> DataFrame:
+    """(document_id, file_path, chunk_index, chunk, n_words, embedding) of all contents in use.
+
+    A content has the path of its first document by ``key``.
+    """
+    first = F.min_by(path_col, key).alias(path_col)
+    used = spark.read.parquet(f"{path}/documents").where(F.col(key).isNotNull()).groupBy("document_id").agg(first)
+    return spark.read.parquet(f"{path}/chunks").drop("_bucket").join(used, "document_id")
+
+
 def describe_items(
     items: DataFrame,
     make_model: Callable,

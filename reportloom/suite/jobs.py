@@ -115,6 +115,27 @@ def insert_documents(spark, sf_dir):
     )
 
 
+@query(
+    "insert_into_store",
+    f"""WITH {content_suite._chunks_sql(_FIRST_DOCS, 'document_id', size=200, overlap=40)}
+SELECT c.document_id, 'docs/' || d.doc_id AS file_path, chunk_index, md5(chunk) AS chunk, n_words,
+  CAST(length(chunk) AS DOUBLE) AS e0 FROM chunks c JOIN {_FIRST_DOCS} d USING (document_id)""",
+)
+def insert_into_store(spark, sf_dir):
+    """Two runs that overlap: two thirds of the documents, some with an older text, then all of them."""
+    path = workspace(spark, "index")
+    docs = tb.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("file_path"), "text"
+    )
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("older "), "text")).otherwise(F.col("text"))
+    for run in (docs.where("doc_id % 3 <> 0").withColumn("text", old), docs):
+        kn.insert_into_store(run, path, retrieval_suite._measuring_embedder, 3, buckets=16, size=200, overlap=40)
+    return kn.stored_chunks(spark, path).select(
+        "document_id", "file_path", "chunk_index", F.md5("chunk").alias("chunk"), "n_words",
+        F.get("embedding", F.lit(0)).cast("double").alias("e0"),
+    )
+
+
 def _describing_model():
     def model(prompt, **_):
         if len(prompt) % 7 == 0:

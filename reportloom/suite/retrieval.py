@@ -66,6 +66,43 @@ def merge_entities(spark, sf_dir):
     return op.merge_entities(mentions)
 
 
+@query(
+    "merge_relations",
+    """SELECT least('s' || l_suppkey, 'p' || l_partkey) AS src, greatest('s' || l_suppkey, 'p' || l_partkey) AS dst,
+  CAST(sum(l_quantity) AS DOUBLE) AS weight, count(*) AS n_mentions, count(DISTINCT l_returnflag || l_linestatus) AS n_descriptions,
+  min(l_returnflag || l_linestatus) AS description, count(*) >= 6 AS needs_summary FROM lineitem GROUP BY 1, 2""",
+)
+def merge_relations(spark, sf_dir):
+    """Supplier-part relations, told from either end."""
+    part, supplier = (F.concat(F.lit(c), F.col(k).cast("string")) for c, k in (("p", "l_partkey"), ("s", "l_suppkey")))
+    turned = F.col("l_linenumber") % 2 == 0
+    told = tb.table(spark, sf_dir, "lineitem").select(
+        F.when(turned, part).otherwise(supplier).alias("src"), F.when(turned, supplier).otherwise(part).alias("dst"),
+        F.col("l_quantity").cast("double").alias("weight"), F.concat("l_returnflag", "l_linestatus").alias("description"),
+    )
+    return op.merge_relations(told)
+
+
+def _shortest_line_model():
+    def model(prompt, **_):
+        return min(prompt.split("\n")[1:], key=lambda line: (len(line.encode()), line.encode()))
+
+    return model
+
+
+@query(
+    "summarise_descriptions",
+    """SELECT p_type AS name, arg_min(d, (strlen(d), d)) AS description FROM (
+  SELECT p_type, p_name || ' ' || p_partkey AS d FROM part) GROUP BY p_type""",
+)
+def summarise_descriptions(spark, sf_dir):
+    """With a model that answers its shortest line, so the grouping does not show."""
+    told = tb.table(spark, sf_dir, "part").select(
+        F.col("p_type").alias("name"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("description")
+    )
+    return op.summarise_descriptions(told, ["name"], _shortest_line_model)
+
+
 _GRAPH_SQL = """WITH edges AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem),
 seeds AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_acctbal > 9000 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size = 50),
 hits AS (SELECT dst AS node FROM edges WHERE src IN (SELECT seed FROM seeds)

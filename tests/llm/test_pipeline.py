@@ -116,6 +116,6 @@ def test_stages_decide_by_row_with_null_and_repeated_ids(spark, corpus):
 
 
 def test_every_operator_has_a_query():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "personal_data", "packing"]

@@ -1,20 +1,21 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
-Each dimension is cut at its approximate quantiles, so every level holds about as many rows; the
-levels' place on the curve orders the rows, and the order is cut into runs of equal row counts.
+Each dimension is cut at quantiles, so every level holds about as many rows: numbers at approximate
+ones, texts by the rows counted before them in the order of whole texts. The levels' place on the curve orders the rows, and the order is cut into runs of equal row counts.
 Rows of a run are near in all dimensions at once, so filters on any of them skip files.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import stage_table, with_rank
+from reportloom.llm.common import ROW, stage_table, with_rank
 
 
 def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -47,33 +48,74 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def text_number(col: Column) -> Column:
-    """An order-keeping number of the first six bytes of a text (null stays null)."""
-    raw = F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6))
-    return F.conv(F.rpad(raw, 12, "0"), 16, 10).cast("double")
+def text_levels(rows: DataFrame, column: str, levels: int, total: int) -> list[tuple[bytes, int]]:
+    """(smallest text, level) of each used level; at most ``levels`` pairs reach the driver.
+
+    A text's level is the share of rows before it in byte order, nulls first, times ``levels``:
+    whole texts are compared, so any that differ may get different levels, and a text with many
+    rows leaves its levels to itself. Rows are counted per text, the counts are summed up
+    within range partitions, and only one sum per partition meets in a single window.
+    """
+    value = F.col(column)
+    counts = rows.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    laid = stage_table(
+        counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("run", F.spark_partition_id()), "values"
+    )
+    sums = laid.groupBy("run").agg(F.sum("n").alias("rows"))
+    starts = sums.select(
+        "run",
+        (F.sum("rows").over(Window.orderBy(F.desc("run")))).alias("rest"),
+    )
+    inside = Window.partitionBy("run").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.lit(total) - F.col("rest") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    # One row per written partition: a bound that does not depend on the rows.
+    found = (
+        laid.join(F.broadcast(starts), "run")
+        .select("v", before.alias("before"))
+        .groupBy(F.expr(f"before * {levels} div {max(total, 1)}").alias("level"))
+        .agg(F.min("v").alias("v"))
+        .collect()
+    )
+    return sorted((r["v"].encode(), r["level"]) for r in found)
+
+
+def _levels_of(values: pd.Series, starts: list[tuple[bytes, int]]) -> np.ndarray:
+    """Level of each text under ``text_levels``; null is 0."""
+    codes, texts = pd.factorize(values)
+    first, level = [s for s, _ in starts], [0, *(n for _, n in starts)]
+    known = [level[bisect.bisect_right(first, t.encode())] for t in texts]
+    return np.array([*known, 0], np.uint64)[codes]
 
 
 def curve_order(rows: DataFrame, dims: dict[str, Column], bits: int = 6, accuracy: int = 1000) -> DataFrame:
     """``rows`` plus ``_curve``, the Hilbert position of its quantised dimensions.
 
-    A null dimension takes the lowest level. Cuts are at most 2**bits - 1 numbers a dimension.
+    Text dimensions are cut by ``text_levels``, others at quantiles of their numbers. A null
+    dimension takes the lowest level. Cuts are at most 2**bits a dimension.
     """
     levels = 1 << bits
-    named = {f"_dim{i}": c.cast("double") for i, c in enumerate(dims.values())}
-    rows = rows.withColumns(named)
+    names = [f"_dim{i}" for i in range(len(dims))]
+    rows = rows.withColumns(dict(zip(names, dims.values(), strict=True)))
+    texts = [n for n in names if rows.schema[n].dataType.typeName() == "string"]
+    numbers = [n for n in names if n not in texts]
+    rows = rows.withColumns({n: F.col(n).cast("double") for n in numbers})
     points = [i / levels for i in range(1, levels)]
     found = rows.agg(
-        *[F.percentile_approx(c, points, accuracy).alias(c) for c in named]
+        F.count(F.lit(1)).alias("_total"), *[F.percentile_approx(n, points, accuracy).alias(n) for n in numbers]
     ).first()
-    cuts = [np.unique(np.array(found[c] or [], float)) for c in named]
-    keep = [c for c in rows.columns if c not in named]
+    cuts = {n: np.unique(np.array(found[n] or [], float)) for n in numbers}
+    starts = {n: text_levels(rows, n, levels, found["_total"]) for n in texts}
+    keep = [c for c in rows.columns if c not in names]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            at = np.empty((len(frame), len(cuts)), np.uint64)
-            for i, cut in enumerate(cuts):
-                value = frame[f"_dim{i}"].to_numpy(float, na_value=-np.inf)
-                at[:, i] = np.searchsorted(cut, np.where(np.isnan(value), -np.inf, value), side="left")
+            at = np.empty((len(frame), len(names)), np.uint64)
+            for i, n in enumerate(names):
+                if n in starts:
+                    at[:, i] = _levels_of(frame[n], starts[n])
+                    continue
+                value = frame[n].to_numpy(float, na_value=-np.inf)
+                at[:, i] = np.searchsorted(cuts[n], np.where(np.isnan(value), -np.inf, value), side="left")
             out = frame[keep].copy()
             out["_curve"] = hilbert_index(at, bits)
             yield out
@@ -94,22 +136,26 @@ def equal_runs(rows: DataFrame, shards: int, *order) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, by_row: bool = False) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document.
 
     Law ``rows``: counts of shards differ by at most one. ``size`` is the UTF-8 bytes of the
     text plus 8; a null text has no bytes and the checksum of the empty text. Dimensions are
     source, lang, size and doc_id; nulls in them go to the lowest level. Rows equal on the curve
     are ordered by doc_id and checksum, so ties and repeated rows need no group in one task.
-    Other columns are not read; an empty table gives an empty result.
+    Whole sources and languages are compared, however long. Other columns are not read; an empty
+    table gives an empty result. With ``by_row``, ``docs`` and the result have the key of
+    ``with_row_key``.
     """
+    row = [ROW] if by_row else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     light = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        text_number(F.col("source")).alias("_source"),
-        text_number(F.col("lang")).alias("_lang"),
+        F.col("source").cast("string").alias("_source"),
+        F.col("lang").cast("string").alias("_lang"),
+        *row,
     )
     light = stage_table(light, "shard-rows")
     dims = {k: F.col(k) for k in ("_source", "_lang", "size", "doc_id")}
@@ -122,18 +168,24 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         "shard",
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *row,
     )
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
     """Whole documents in one folder per shard, rows in slot order.
 
-    doc_id must be unique. A folder is one task's work; choose the shard count to fit.
+    ``placed`` is the result of ``shard_documents``. If it has the row key, rows meet their
+    places by it and null and repeated ids are written once each; without it doc_id must be
+    unique and not null. Columns of ``docs`` named shard or slot are replaced by the place. A
+    folder is one task's work; choose the shard count to fit. An empty table writes no folder.
     """
-    at = placed.select(F.col("doc_id").alias("_doc"), "shard", "slot")
+    key = ROW if ROW in placed.columns else "doc_id"
+    at = stage_table(placed.select(F.col(key).alias("_place_of"), "shard", "slot"), "places")
     (
-        docs.join(at, docs["doc_id"] == at["_doc"])
-        .drop("_doc")
+        docs.drop("shard", "slot")
+        .join(at, F.col(key) == F.col("_place_of"))
+        .drop("_place_of", ROW)
         .repartition("shard")
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")

@@ -21,9 +21,12 @@ from reportloom.llm.bpe import Remembered
 from reportloom.llm.common import ROW, ROW_TYPE, small_batches, stage_table
 from reportloom.llm.features import PREFIXES, TOXIC_NAMES, ChunkFeatures, toxic_row
 
-# Bounds of fitting: labelled rows, and terms that may enter the lexicon.
+# Bound of fitting: labelled rows.
 TRAINING_ROWS = 20_000
-LEXICON_TERMS = 20_000
+
+# A term enters the lexicon above these: log-odds, and normal score of its count in toxic texts.
+MIN_ODDS = 2.0
+MIN_SCORE = 5.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -35,7 +38,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int = T
     """(doc_id, text, y, half) of at most ``bound`` labelled documents, chosen by hash of the id.
 
     Only ids are sorted and sent to the tasks; the bound is the broadcast's. A document with
-    several labels takes the largest; held-out rows and null ids or labels are left out.
+    several labels takes the largest, an id of several rows its largest text; held-out rows and
+    null ids or labels are left out.
     """
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -47,9 +51,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int = T
         .withColumn("half", F.expr("cast(pmod(xxhash64(doc_id, 'half'), 2) as int)"))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(stage_table(picked, "picked")), F.col("_id") == F.col("doc_id")).select(
-        "doc_id", "text", "y", "half"
-    )
+    found = texts.join(F.broadcast(stage_table(picked, "picked")), F.col("_id") == F.col("doc_id"))
+    return found.groupBy("doc_id", "y", "half").agg(F.max("text").alias("text")).select("doc_id", "text", "y", "half")
 
 
 def _beginnings(words: Column, n: int) -> Column:
@@ -57,8 +60,23 @@ def _beginnings(words: Column, n: int) -> Column:
     return F.transform(longer, lambda w: F.concat(F.lit("p:"), F.substring(w, 1, n)))
 
 
-def term_counts(rows: DataFrame, most: int = LEXICON_TERMS) -> list:
-    """Terms with the toxic and other texts they stand in, per half; at most ``most``."""
+def _telling(a, b, toxic: int, other: int):
+    """(log-odds, normal score) of a term in ``a`` toxic and ``b`` other texts; numbers or columns.
+
+    The score is that of ``a`` against its share if labels did not matter.
+    """
+    log, root = (F.log, F.sqrt) if isinstance(a, Column) else (np.log, np.sqrt)
+    odds = log((a + 0.5) / (toxic + 1)) - log((b + 0.5) / (other + 1))
+    share = toxic / max(toxic + other, 1)
+    return odds, (a - (a + b) * share) / (root((a + b) * share * (1 - share)) + 1e-12)
+
+
+def term_counts(rows: DataFrame, toxic: dict[int, int], other: dict[int, int]) -> list:
+    """Terms with the toxic and other texts they stand in, per half.
+
+    All terms that ``lexicon`` takes from either half or from both are returned, and no others:
+    their number is bounded by the texts of the bounded training rows alone.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
     terms = F.array_distinct(
         F.concat(
@@ -70,14 +88,19 @@ def term_counts(rows: DataFrame, most: int = LEXICON_TERMS) -> list:
     def number(y: int, half: int) -> Column:
         return F.count(F.when((F.col("y") == y) & (F.col("half") == half), 1)).alias(f"n{y}{half}")
 
+    def taken(halves: tuple[int, ...]) -> Column:
+        a, b = (sum((F.col(f"n{y}{h}") for h in halves), F.lit(0)) for y in (1, 0))
+        odds, score = _telling(a, b, sum(toxic[h] for h in halves), sum(other[h] for h in halves))
+        # Wider than the rule of ``lexicon`` by what two ways of rounding may differ.
+        return (odds > MIN_ODDS - 1e-6) & (score > MIN_SCORE - 1e-6)
+
     return (
         rows.select(F.explode(terms).alias("term"), "y", "half")
         .groupBy("term")
         .agg(number(1, 0), number(1, 1), number(0, 0), number(0, 1))
-        # In doubt kept: a term far more common in toxic texts, seen there at least thrice.
+        # A term far more common in toxic texts, seen there at least thrice.
         .where("n10 + n11 >= 3 AND (n10 + n11) * 2 >= n00 + n01")
-        .orderBy(F.expr("(n10 + n11) / (n10 + n11 + n00 + n01 + 1.0) * ln(1 + n10 + n11)").desc(), "term")
-        .limit(most)
+        .where(taken((0,)) | taken((1,)) | taken((0, 1)))
         .collect()
     )
 
@@ -89,11 +112,8 @@ def lexicon(terms: list, toxic: dict[int, int], other: dict[int, int], halves: t
     for row in terms:
         a = sum(row[f"n1{h}"] for h in halves)
         b = sum(row[f"n0{h}"] for h in halves)
-        odds = np.log((a + 0.5) / (nt + 1)) - np.log((b + 0.5) / (nc + 1))
-        # Normal score of a against its share if labels did not matter.
-        share = nt / max(nt + nc, 1)
-        spread = np.sqrt((a + b) * share * (1 - share)) or 1
-        if odds > 2 and (a - (a + b) * share) / spread > 5:
+        odds, score = _telling(a, b, nt, nc)
+        if odds > MIN_ODDS and score > MIN_SCORE:
             out[row["term"]] = float(odds)
     return out
 
@@ -129,7 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS)
     sums = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic = {h: sums.get((1, h), 0) for h in (0, 1)}
     other = {h: sums.get((0, h), 0) for h in (0, 1)}
-    terms = term_counts(rows)
+    terms = term_counts(rows, toxic, other)
     across = [lexicon(terms, toxic, other, (1,)), lexicon(terms, toxic, other, (0,))]
     got = _feature_frame(rows, across).collect()
     x = np.array([r["x"] for r in got], float).reshape(-1, len(TOXIC_NAMES))

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from reportloom.llm.common import ROW
 from reportloom.llm.queries import ORACLES, QUERIES, VOCAB
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept string, bag string"
@@ -115,6 +117,17 @@ def test_stages_decide_by_row_with_null_and_repeated_ids(spark, corpus):
     assert sum(i == 0 for i, _ in got) == 3
 
 
+def test_stages_take_columns_named_like_their_key(spark, corpus):
+    folder, rows, _ = corpus
+    frame = spark.createDataFrame(rows[:40], COLUMNS).withColumns(
+        {ROW: F.col("doc_id"), ROW + "_": F.lit("kept"), "n": F.lit(1), "kept": F.lit(2), "keep_id": F.lit(3)}
+    )
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        kept = stage(spark, frame, folder)
+        assert set(kept.columns) == set(frame.columns)
+        assert all(r[ROW] == r["doc_id"] and r[ROW + "_"] == "kept" for r in kept.collect())
+
+
 def test_every_operator_has_a_query():
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)

@@ -1,17 +1,19 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from reportloom.llm import boost
-from reportloom.llm.common import components, with_rank
+from reportloom.llm.common import ROW, components, with_rank, with_row_key
 from reportloom.llm.embed import near_vectors
 from reportloom.llm.quality import quality
-from reportloom.llm.shards import hilbert_index, shard_documents, write_shards
-from reportloom.llm.toxicity import toxicity
+from reportloom.llm.shards import _levels_of, hilbert_index, shard_documents, text_levels, write_shards
+from reportloom.llm.toxicity import lexicon, term_counts, toxicity, training_rows
 from reportloom.llm.warc import archive_index, fixity_audit, read_warc, write_warc
 
 
@@ -102,6 +104,64 @@ def test_shards_are_equal_runs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
 
 
+def test_whole_sources_make_levels(spark, tmp_path):
+    rnd = random.Random(5)
+    long = "https://" + "x" * 5000
+    names = [f"https://site{i}.org/é" for i in range(5)] + [long + "a", long + "b", "", None]
+    held = [rnd.choices(names, [9, 3, 3, 3, 3, 2, 2, 1, 1])[0] for _ in range(2000)]
+    rows = spark.createDataFrame([(s,) for s in held], "s string").repartition(5)
+    starts = text_levels(rows, "s", 64, len(held))
+    ordered = sorted(held, key=lambda s: (s is not None, (s or "").encode()))
+    want = {s: ordered.index(s) * 64 // len(held) for s in names}
+    got = dict(zip(names, _levels_of(pd.Series(names), starts), strict=True))
+    assert got == want and got[None] == 0 and len(set(got.values())) >= 8
+    assert text_levels(rows.where("false"), "s", 64, 0) == []
+    assert _levels_of(pd.Series([None, "a"]), []).tolist() == [0, 0]
+
+    # Placing the whole table plainly, by the same levels and curve, gives the same shards.
+    docs = [(i, "t" * (i % 7), None, s, 0, "x") for i, s in enumerate(held)] + [(None, "n", "en", None, 0, "x"), (3, "r", "en", "", 0, "x")]
+    frame = with_row_key(_documents(spark, docs))
+    placed = shard_documents(frame, 8, by_row=True)
+    ranked = sorted(placed.collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["shard"] for r in ranked] == [i * 8 // len(docs) for i in range(len(docs))]
+    by_source: dict = {}
+    for r in ranked:
+        if r["doc_id"] is not None and r["text_crc32"] != zlib.crc32(b"r"):
+            by_source.setdefault(held[r["doc_id"]], set()).add(r["shard"])
+    assert all(len(s) < 8 for s in by_source.values())
+    write_shards(frame, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(docs) and back.where("doc_id IS NULL").count() == 1
+    assert ROW not in back.columns and back.where("doc_id = 3").count() == 2
+
+
+def test_one_training_row_per_labelled_id_and_no_cap_on_terms(spark):
+    docs = spark.createDataFrame(
+        [(i, f"text {i}") for i in range(400)] + [(i, f"again {i}") for i in range(400)] * 4 + [(1, None), (None, "n")],
+        "doc_id long, text string",
+    )
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, 1), (None, 1)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", 100).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 100
+    assert all(r["text"] == f"text {r['doc_id']}" for r in rows)
+
+    # Every term that the rule takes is found, however many there are.
+    def word(n):
+        return "q" + "".join(chr(97 + int(d)) for d in f"{n:06d}")
+
+    bad = " ".join(word(i) for i in range(30_000))
+    made = spark.createDataFrame([(bad, 1, i % 2) for i in range(40)] + [("plain words", 0, i % 2) for i in range(40)], "text string, y int, half int")
+    sums = {0: 20, 1: 20}
+    terms = term_counts(made, sums, sums)
+    words = {r["term"] for r in terms if r["term"].startswith("w:")}
+    assert words == {"w:" + word(i) for i in range(30_000)}
+    for halves in ((0,), (1,), (0, 1)):
+        got = lexicon(terms, sums, sums, halves)
+        n = 20 * len(halves)
+        taken = (n - n * 0.5) / (n * 0.25) ** 0.5 > 5
+        assert (("w:" + word(7)) in got) == taken
+
+
 def test_audit_finds_damage(spark, tmp_path):
     pages = spark.createDataFrame(
         [(i, f"http://h/{i % 7}", "<p>" + "x" * (i * 13 % 200)) for i in range(900)] + [(None, None, None), (3, "http://h/3", None), (3, "http://h/3", None)],

@@ -56,6 +56,54 @@ def patients_per_year(reports: DataFrame, approximate: bool = False) -> DataFram
     )
 
 
+def patient_bitmaps(reports: DataFrame, number: str = "patient_no", period: str = "month") -> DataFrame:
+    """(period, bucket, bitmap): the patients of each period as bitmaps that merge exactly.
+
+    ``number`` is a whole number per patient; a bitmap of 4 KiB holds 32,768 consecutive ones,
+    so numbers should lie close. Periods whose patients are all NULL keep an empty bitmap.
+    """
+    no = F.col(number).cast("bigint")
+    return (
+        reports.where("report_date IS NOT NULL")
+        .groupBy(F.trunc("report_date", period).alias("period"), F.bitmap_bucket_number(no).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(no)).alias("bitmap"))
+    )
+
+
+def roll_up_bitmaps(bitmaps: DataFrame, unit: str = "year") -> DataFrame:
+    """The same bitmaps for longer periods, from those alone."""
+    return bitmaps.groupBy(F.trunc("period", unit).alias("period"), "bucket").agg(
+        F.bitmap_or_agg("bitmap").alias("bitmap")
+    )
+
+
+def patients_of_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    """(period, patients): exact numbers of distinct patients."""
+    return bitmaps.groupBy("period").agg(F.sum(F.bitmap_count("bitmap")).alias("patients"))
+
+
+def patient_sketches(reports: DataFrame, key: str = "patient_id", period: str = "month", lg_k: int = 14) -> DataFrame:
+    """(period, sketch): patients of each period for any kind of key.
+
+    Sketches of at most 2**lg_k registers; the relative standard error is near 1 / sqrt(2**lg_k).
+    """
+    return (
+        reports.where("report_date IS NOT NULL")
+        .groupBy(F.trunc("report_date", period).alias("period"))
+        .agg(F.hll_sketch_agg(key, lg_k).alias("sketch"))
+    )
+
+
+def roll_up_sketches(sketches: DataFrame, unit: str = "year") -> DataFrame:
+    """The same sketches for longer periods, from those alone."""
+    return sketches.groupBy(F.trunc("period", unit).alias("period")).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def patients_of_sketches(sketches: DataFrame) -> DataFrame:
+    """(period, patients): estimated numbers of distinct patients."""
+    return sketches.select("period", F.hll_sketch_estimate("sketch").alias("patients"))
+
+
 def last_report_date(reports: DataFrame, patient_id: str | None = None) -> DataFrame:
     """Last report date of one patient (one row, NULL if none) or of every patient."""
     last = F.max("report_date").alias("last_seen_date")

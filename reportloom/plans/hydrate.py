@@ -24,40 +24,53 @@ class Store:
 _KEYS = ["report_id", "patient_id", "test_type", "report_date", "src_path"]
 
 
-def stage_reports(parsed: DataFrame, path: str) -> DataFrame:
-    """Write what each report says (keys, name, value rows) in one pass; read it back."""
-    said = F.struct(
-        tx.person_name(F.col("text")).alias("found"), obs.observation_rows(F.col("text")).alias("rows")
-    )
-    parsed.select(*_KEYS, F.inline(F.array(said))).write.mode("overwrite").parquet(path)
-    return parsed.sparkSession.read.parquet(path)
+PARTS = ("names", "observations")
+
+
+def stage_reports(parsed: DataFrame, path: str, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Write what each report says (keys, and its name and value rows as asked) in one pass; read it back."""
+    said = []
+    if "names" in parts:
+        said.append(tx.person_name(F.col("text")).alias("found"))
+    if "observations" in parts:
+        said.append(obs.observation_rows(F.col("text")).alias("rows"))
+    rows = parsed.select(*_KEYS, F.inline(F.array(F.struct(*said)))) if said else parsed.select(*_KEYS)
+    rows.write.mode("overwrite").parquet(path)
+    return parsed.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def hydrate(
-    docs: DataFrame, store: Store, strict: bool = True, stage: str | None = None
-) -> tuple[Store, DataFrame]:
+    docs: DataFrame,
+    store: Store,
+    strict: bool = True,
+    stage: str | None = None,
+    parts: tuple[str, ...] = PARTS,
+) -> tuple[Store, DataFrame | None]:
     """New table states and the name index for ``docs`` (report_id, path, text).
 
     The caller writes each state to a new path. The rows read from the texts are first written
     to ``stage`` (a new path in the shared folder unless given), so the texts are read once for
-    all states and a lost task never re-reads them.
+    all states and a lost task never re-reads them. ``parts`` says what is read from the texts:
+    without "names", evidence and full names stay as they are and there is no index; without
+    "observations", those stay.
     """
     parsed = documents.decompose_report_id(docs, strict=strict).withColumn("src_path", F.col("path"))
-    rows = stage_reports(parsed, stage or workspace(docs.sparkSession, "hydrate"))
+    rows = stage_reports(parsed, stage or workspace(docs.sparkSession, "hydrate"), parts)
     keyed = rows.select(*_KEYS)
-    found = rows.where("found IS NOT NULL").select(
-        "patient_id", F.col("report_id").alias("source_report"), "found.name", "found.confidence"
-    )
-    seen = rows.select("report_id", F.inline("rows"))
     patients = merge.insert_if_absent(store.patients, keyed.select("patient_id"), ["patient_id"])
     reports = merge.upsert_reports(store.reports, keyed, ["src_path"])
-    evidence = merge.replace_observations(store.name_evidence, found, "source_report")
-    observations = merge.replace_observations(
-        store.observations, seen.withColumn("page", F.lit(None).cast("int"))
-    )
-    named = names.apply_canonical_name(patients, names.canonical_name(evidence))
-    state = Store(named, reports, evidence, observations)
-    return state, names.first_seen_name(found)
+    evidence, observations, index = store.name_evidence, store.observations, None
+    if "names" in parts:
+        found = rows.where("found IS NOT NULL").select(
+            "patient_id", F.col("report_id").alias("source_report"), "found.name", "found.confidence"
+        )
+        evidence = merge.replace_observations(evidence, found, "source_report")
+        patients = names.apply_canonical_name(patients, names.canonical_name(evidence))
+        index = names.first_seen_name(found)
+    if "observations" in parts:
+        seen = rows.select("report_id", F.inline("rows"))
+        observations = merge.replace_observations(observations, seen.withColumn("page", F.lit(None).cast("int")))
+    return Store(patients, reports, evidence, observations), index
 
 
 def bootstrap(files: DataFrame, store: Store, ingested: DataFrame, strict: bool = True, as_of: str | None = None):

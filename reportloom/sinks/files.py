@@ -87,6 +87,7 @@ def write_formatted_reports(reports: DataFrame, path: str) -> None:
 def write_file_per_row(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
     """Each row's bytes as a file of its own in ``folder``; returns the number of files.
 
+    A name with ``/`` goes into folders below, which are made as needed.
     Tasks write the files, so the folder must be one that all executors share. A repeated task
     writes the same files again.
     """
@@ -97,6 +98,8 @@ def write_file_per_row(rows: DataFrame, folder: str, name: str = "name", content
         store, inside = fs.FileSystem.from_uri(folder)
         store.create_dir(inside, recursive=True)
         for frame in frames:
+            for below in {n.rpartition("/")[0] for n in frame[name]} - {""}:
+                store.create_dir(f"{inside}/{below}", recursive=True)
             for file_name, data in zip(frame[name], frame[content], strict=True):
                 with store.open_output_stream(f"{inside}/{file_name}") as out:
                     out.write(bytes(data or b""))

@@ -32,3 +32,20 @@ def ensure_tables(
     prefix = f"{database}." if database else ""
     for name in missing:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({required[name]}) USING parquet")
+
+
+def save_bucketed(
+    rows: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None, exchange: bool = True
+) -> DataFrame:
+    """``rows`` as the new table ``name`` in ``buckets`` files hashed by ``keys``; read back.
+
+    Joins on ``keys`` read the buckets as they lie, so the functions of ``operators.merge`` move
+    the updates only and never the stored rows. The result of such a join lies in buckets
+    already: with ``exchange=False`` it is written as the next version without moving, and only
+    rows added by a union make further files in their buckets. Choose ``buckets`` for the size the
+    table will have; a table that meets this one should have the same number.
+    """
+    laid = rows.repartition(buckets, *keys) if exchange else rows
+    writer = laid.write.mode("errorifexists").format("parquet").bucketBy(buckets, *keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return rows.sparkSession.table(name)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reportloom.functions import content as ct, text as tx
+from reportloom.session import workspace
 
 # Suffixes that can be parsed, by group.
 SUFFIX_GROUPS = {
@@ -88,41 +89,50 @@ def scan_parsed_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _listing(recursive: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+# Rows of one listing frame.
+LISTED_ROWS = 10_000
 
-        def rows(root: str):
+
+def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each path itself, or what lies directly in it if it is a folder."""
+    from pyarrow import fs
+
+    kinds = {fs.FileType.File: "file", fs.FileType.Directory: "folder"}
+    for frame in frames:
+        for root in frame["root"]:
             store, inside = fs.FileSystem.from_uri(root)
             info = store.get_file_info(inside)
+            found = [info]
             if info.type == fs.FileType.Directory:
-                return store.get_file_info(fs.FileSelector(inside, recursive=recursive))
-            return [info]
-
-        kinds = {fs.FileType.File: "file", fs.FileType.Directory: "folder"}
-        for pdf in batches:
-            for root in pdf["root"]:
-                found = [(i.path, kinds.get(i.type, "missing"), i.size) for i in rows(root)]
-                yield pd.DataFrame(found, columns=["path", "kind", "length"]).astype({"length": "Int64"})
-
-    return run
+                found = store.get_file_info(fs.FileSelector(inside, recursive=False))
+            scheme = root[: root.index(":") + 1] + "//" if "://" in root else ""
+            for at in range(0, len(found), LISTED_ROWS):
+                rows = [(i.path, kinds.get(i.type, "missing"), i.size, scheme + i.path) for i in found[at : at + LISTED_ROWS]]
+                yield pd.DataFrame(rows, columns=["path", "kind", "length", "root"]).astype({"length": "Int64"})
 
 
 def list_files(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
     """(path, kind, length) of files and of what is in folders, empty files included.
 
-    ``kind`` is ``file``, or ``missing`` for a path that does not exist. Tasks do the
-    listing: first the given folders, then each folder inside them on its own.
+    ``kind`` is ``file``, or ``missing`` for a path that does not exist. Tasks do the listing, one
+    level of folders per step: the folders found by a step are dealt to the tasks of the next, so
+    a deep or uneven tree keeps all tasks busy and no task descends a tree alone. Steps are as
+    many as the tree is deep; each is written to the shared folder. A path that both a folder and
+    its parent lead to is listed once per given path.
     """
-    schema = "path string, kind string, length bigint"
-    roots = spark.createDataFrame([(p,) for p in paths], "root string")
-    top = roots.mapInPandas(_listing(False), schema)
-    if not recursive:
-        return top.where("kind <> 'folder'")
-    folders = top.where("kind = 'folder'").select(F.col("path").alias("root"))
-    spread_out = folders.repartition(spark.sparkContext.defaultParallelism, "root")
-    below = spread_out.mapInPandas(_listing(True), schema)
-    return top.unionByName(below).where("kind <> 'folder'")
+    schema = "path string, kind string, length bigint, root string"
+    level = spark.createDataFrame([(p,) for p in paths], "root string")
+    every = None
+    while True:
+        place = workspace(spark, "listing")
+        level.mapInPandas(_listed, schema).write.parquet(place)
+        found = spark.read.schema(schema).parquet(place)
+        files = found.where("kind <> 'folder'").drop("root")
+        every = files if every is None else every.unionByName(files)
+        folders = found.where("kind = 'folder'").select("root")
+        if not recursive or folders.isEmpty():
+            return every
+        level = folders.repartition(spark.sparkContext.defaultParallelism)
 
 
 def supported_extensions(groups: dict = SUFFIX_GROUPS) -> tuple[str, ...]:

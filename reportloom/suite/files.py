@@ -65,6 +65,22 @@ def list_files(spark, sf_dir):
     )
 
 
+_NESTED_SQL = """source || '/' || coalesce(lang, '-') || '/' || (doc_id // 100 % 10) || '/D' || doc_id || '.md'"""
+
+
+@query("list_nested_files", f"SELECT {_NESTED_SQL} AS name, strlen(text) AS length FROM documents")
+def list_nested_files(spark, sf_dir):
+    """Every document as a file three folders deep, found level by level."""
+    below = F.concat_ws(
+        "/", "source", F.coalesce("lang", F.lit("-")), F.expr("cast(doc_id div 100 % 10 as string)"),
+        F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit(".md")),
+    )
+    folder = workspace(spark, "files")
+    rows = tb.table(spark, sf_dir, "documents").select(below.alias("name"), F.encode("text", "UTF-8").alias("content"))
+    sink.write_file_per_row(rows, folder)
+    return op.list_files(spark, [folder]).select(F.substring_index("path", "/", -4).alias("name"), "length")
+
+
 @query("scan_parsed_folder", f"WITH {_FOLDER_SQL} SELECT 'D' || doc_id AS report_id, md5(text) AS text_md5 FROM files WHERE name LIKE '%.md'")
 def scan_parsed_folder(spark, sf_dir):
     return op.scan_parsed_text(spark, _folder(spark, sf_dir)).select("report_id", F.md5("text").alias("text_md5"))

@@ -32,9 +32,9 @@ def _store(spark, sf_dir):
     return hy.Store(people, tb.reports(spark, sf_dir), no_evidence, old)
 
 
-def _hydrated(spark, sf_dir, stage=None):
+def _hydrated(spark, sf_dir, parts, stage=None):
     docs = tb.report_texts(spark, sf_dir).select("report_id", F.concat(F.lit("md/"), "report_id").alias("path"), "text")
-    return hy.hydrate(docs, _store(spark, sf_dir), stage=stage)
+    return hy.hydrate(docs, _store(spark, sf_dir), stage=stage, parts=parts)
 
 
 @query(
@@ -44,7 +44,7 @@ ids AS (SELECT 'P' || c_custkey AS patient_id FROM customer UNION SELECT patient
 SELECT i.patient_id, coalesce(c.full_name, 'old ' || i.patient_id) AS full_name FROM ids i LEFT JOIN canonical c USING (patient_id)""",
 )
 def hydrate_patients(spark, sf_dir):
-    return _hydrated(spark, sf_dir)[0].patients.select("patient_id", "full_name")
+    return _hydrated(spark, sf_dir, ("names",))[0].patients.select("patient_id", "full_name")
 
 
 @query(
@@ -55,7 +55,7 @@ UNION ALL SELECT DISTINCT report_id, patient_id, string_split(report_id, '_')[2]
   strftime(strptime(string_split(report_id, '_')[3], '%Y%m%d'), '%Y-%m-%d'), 'md/' || report_id FROM report_texts""",
 )
 def hydrate_reports(spark, sf_dir):
-    got = _hydrated(spark, sf_dir)[0].reports.drop("pages")
+    got = _hydrated(spark, sf_dir, ())[0].reports.drop("pages")
     return got.withColumn("report_date", F.date_format("report_date", "yyyy-MM-dd"))
 
 
@@ -66,7 +66,7 @@ UNION ALL SELECT 'R' || o_orderkey, 0, 'old', '1', '', '' FROM orders""",
 )
 def hydrate_observations(spark, sf_dir):
     """From the staged table: the texts are read once, whatever is derived."""
-    state, _ = _hydrated(spark, sf_dir, workspace(spark, "hydrate"))
+    state, _ = _hydrated(spark, sf_dir, ("observations",), workspace(spark, "hydrate"))
     return state.observations.drop("page")
 
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from reportloom.operators import documents as docs, merge, reports as op
+from reportloom.schemas import REQUIRED_TABLES
+from reportloom.session import workspace
+from reportloom.sinks import tables as sink
+from reportloom.sinks.tables import save_bucketed
 from reportloom.suite import tables as tb
-from reportloom.suite.registry import query
+from reportloom.suite.registry import ORACLES, query
 
 _R = f"WITH {tb.REPORTS_SQL}"
 _PR = f"WITH {tb.PATIENTS_SQL}, {tb.REPORTS_SQL}"
@@ -125,6 +130,21 @@ def insert_if_absent(spark, sf_dir):
     return merge.insert_if_absent(have, new, ["patient_id"])
 
 
+_UPDATE_ORDER = ["report_date", "src_path", "l_extendedprice", "l_linenumber"]
+
+
+def _report_updates(spark, sf_dir):
+    """A report per order line, up to three lines on one."""
+    return tb.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("R"), (F.col("l_orderkey") + F.col("l_linenumber") % 3).cast("string")).alias("report_id"),
+        F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("patient_id"),
+        F.col("l_returnflag").alias("test_type"),
+        F.col("l_shipdate").cast("date").alias("report_date"),
+        F.concat(F.lit("new/"), F.col("l_partkey").cast("string")).alias("src_path"),
+        "l_extendedprice", "l_linenumber",
+    )
+
+
 @query(
     "upsert_reports",
     f"""{_R},
@@ -143,17 +163,77 @@ FROM pages r FULL OUTER JOIN latest u ON r.report_id = u.report_id""",
 )
 def upsert_reports(spark, sf_dir):
     have = tb.reports(spark, sf_dir).withColumn("pages", F.length("src_path"))
-    updates = tb.table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("R"), (F.col("l_orderkey") + F.col("l_linenumber") % 3).cast("string")).alias("report_id"),
-        F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("patient_id"),
-        F.col("l_returnflag").alias("test_type"),
-        F.col("l_shipdate").cast("date").alias("report_date"),
-        F.concat(F.lit("new/"), F.col("l_partkey").cast("string")).alias("src_path"),
-        "l_extendedprice", "l_linenumber",
+    merged = merge.upsert_reports(have, _report_updates(spark, sf_dir), _UPDATE_ORDER)
+    return _day(merged.withColumn("pages", F.coalesce("pages", F.lit(-1))), "report_date")
+
+
+@query("upsert_stored_reports", ORACLES["upsert_reports"])
+def upsert_stored_reports(spark, sf_dir):
+    """The same against a bucketed table, whose rows stay where they are; the new version is read back."""
+    have = tb.reports(spark, sf_dir).withColumn("pages", F.length("src_path"))
+    stored, later = (f"reports_{uuid.uuid4().hex}" for _ in range(2))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = save_bucketed(have, stored, ["report_id"], buckets, workspace(spark, stored))
+    merged = merge.upsert_reports(target, _report_updates(spark, sf_dir), _UPDATE_ORDER)
+    # Rows of the join lie in their buckets already.
+    done = save_bucketed(merged, later, ["report_id"], buckets, workspace(spark, later), exchange=False)
+    return _day(done.withColumn("pages", F.coalesce("pages", F.lit(-1))), "report_date")
+
+
+@query(
+    "replace_stored_observations",
+    """WITH old AS (SELECT 'R' || o_orderkey AS report_id, 'total' AS analyte, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS value FROM orders),
+new AS (SELECT 'R' || (l_orderkey * 2) AS report_id, 'Q' || l_partkey AS analyte, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value FROM lineitem)
+SELECT report_id, analyte, value, count(*) AS n FROM (
+  SELECT * FROM old WHERE report_id NOT IN (SELECT report_id FROM new) UNION ALL SELECT * FROM new) GROUP BY ALL""",
+)
+def replace_stored_observations(spark, sf_dir):
+    """Every order line as a new value of the report of twice its number, against a bucketed table."""
+
+    def rid(c):
+        return F.concat(F.lit("R"), c.cast("string")).alias("report_id")
+
+    total = F.floor("o_totalprice").cast("string")
+    old = tb.table(spark, sf_dir, "orders").select(rid(F.col("o_orderkey")), F.lit("total").alias("analyte"), total.alias("value"))
+    new = tb.table(spark, sf_dir, "lineitem").select(
+        rid(F.col("l_orderkey") * 2),
+        F.concat(F.lit("Q"), F.col("l_partkey").cast("string")).alias("analyte"),
+        F.col("l_quantity").cast("bigint").cast("string").alias("value"),
     )
-    order = ["report_date", "src_path", "l_extendedprice", "l_linenumber"]
-    merged = merge.upsert_reports(have, updates, order).withColumn("pages", F.coalesce("pages", F.lit(-1)))
-    return _day(merged, "report_date")
+    name = f"observations_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merged = merge.replace_observations(save_bucketed(old, name, ["report_id"], buckets, workspace(spark, name)), new)
+    return merged.groupBy("report_id", "analyte", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CREATED_SQL = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{field.split()[0]}' AS column_name, '{field.split()[1]}' AS data_type, "
+    + (f"count({field.split()[0]}) AS filled FROM {table}" if table in ("patients", "reports") else "0")
+    for table, fields in REQUIRED_TABLES.items()
+    for field in fields.split(", ")
+)
+
+
+@query("ensure_tables", f"{_PR} {_CREATED_SQL}")
+def ensure_tables(spark, sf_dir):
+    """Tables made in a fresh database, filled, and read back column by column from the catalog."""
+    database = f"records_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{workspace(spark, database)}'")
+    if sink.missing_tables(spark, database=database) != sorted(REQUIRED_TABLES):
+        raise AssertionError("a fresh database has tables")
+    sink.ensure_tables(spark, init=True, database=database)
+    tb.patients(spark, sf_dir).write.insertInto(f"{database}.patients")
+    tb.reports(spark, sf_dir).write.insertInto(f"{database}.reports")
+    sink.ensure_tables(spark, database=database)
+    columns = [(t, c.name, c.dataType) for t in REQUIRED_TABLES for c in spark.catalog.listColumns(f"{database}.{t}")]
+    known = spark.createDataFrame(columns, "table_name string, column_name string, data_type string")
+    filled = None
+    for name in REQUIRED_TABLES:
+        table = spark.table(f"{database}.{name}")
+        counts = F.create_map(*[x for c in table.columns for x in (F.lit(c), F.count(c))])
+        one = table.agg(counts.alias("m")).select(F.lit(name).alias("table_name"), F.explode("m").alias("column_name", "filled"))
+        filled = one if filled is None else filled.unionByName(one)
+    return known.join(filled, ["table_name", "column_name"], "left")
 
 
 @query(
@@ -303,6 +383,46 @@ def patients_per_year(spark, sf_dir):
     return op.patients_per_year(tb.reports(spark, sf_dir))
 
 
+def _stored(spark, rows, name):
+    """``rows`` written once, as a roll-up that is kept between runs."""
+    path = workspace(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query(
+    "patients_rolled_up",
+    f"""{_R}, units AS (SELECT unnest(['month', 'quarter', 'year']) AS unit)
+SELECT unit, strftime(date_trunc(unit, report_date), '%Y-%m-%d') AS period, count(DISTINCT patient_id) AS patients
+FROM reports, units WHERE report_date IS NOT NULL GROUP BY 1, 2""",
+)
+def patients_rolled_up(spark, sf_dir):
+    """Months from the reports; quarters and years from the months' bitmaps alone."""
+    numbered = tb.reports(spark, sf_dir).withColumn("patient_no", F.expr("cast(substring(patient_id, 2) as bigint)"))
+    months = _stored(spark, op.patient_bitmaps(numbered), "months")
+    quarters = op.roll_up_bitmaps(months, "quarter")
+    every = None
+    for unit, maps in (("month", months), ("quarter", quarters), ("year", op.roll_up_bitmaps(quarters, "year"))):
+        counted = _day(op.patients_of_bitmaps(maps).withColumn("unit", F.lit(unit)), "period")
+        every = counted if every is None else every.unionByName(counted)
+    return every
+
+
+@query(
+    "patients_rolled_up_approximately",
+    f"""{_R} SELECT CAST(year(report_date) AS INT) AS year, true AS near FROM reports WHERE report_date IS NOT NULL GROUP BY 1""",
+)
+def patients_rolled_up_approximately(spark, sf_dir):
+    """Years from the months' sketches; ``near`` if within four standard errors of the exact number."""
+    rows = tb.reports(spark, sf_dir)
+    months = _stored(spark, op.patient_sketches(rows), "sketches")
+    rough = op.patients_of_sketches(op.roll_up_sketches(months)).select(F.year("period").alias("year"), F.col("patients").alias("rough"))
+    exact = op.patients_per_year(rows)
+    return exact.join(rough, "year", "left").select(
+        "year", (F.abs(F.col("rough") - F.col("patients")) <= F.col("patients") * 4 / 128).alias("near")
+    )
+
+
 @query(
     "last_report_date",
     f"{_R} SELECT patient_id, strftime(max(report_date), '%Y-%m-%d') AS last_seen_date FROM reports GROUP BY 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reportloom.functions import content as ct
+from reportloom.functions import content as ct, text as tx
 
 
 def separate_content(docs: DataFrame, items: str = "items", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -120,6 +120,42 @@ def chunk_context(
     )
 
 
+def chunk_context_of_lists(
+    docs: DataFrame,
+    items: str = "items",
+    keep: tuple[str, ...] = ("doc_id",),
+    window: int = 1,
+    max_words: int = ct.MAX_CONTEXT_WORDS,
+    types: tuple[str, ...] = ("text",),
+    headers: bool = True,
+    captions: bool = True,
+) -> DataFrame:
+    """(keep..., pos, context) like ``chunk_context``, from rows that hold whole content lists.
+
+    Every item is rendered once and neighbours are slices of the row's own list, so the lists are
+    read once and nothing is shuffled or joined; work grows with items times ``window``.
+    """
+
+    def shown_of(item: Column) -> Column:
+        return F.when(ct.kind_of(item["type"]).isin(*types), ct.format_context(item, headers, captions))
+
+    def contexts(whole: Column) -> Column:
+        kinds = F.transform(whole, lambda item, i: F.struct(i.alias("pos"), ct.kind_of(item["type"]).alias("kind")))
+        targets = F.transform(F.filter(kinds, lambda k: k["kind"] != "text"), lambda k: k["pos"])
+
+        def around(shown: Column) -> Column:
+            def one(pos: Column) -> Column:
+                before = F.least(pos, F.lit(window))
+                near = F.concat(F.slice(shown, pos - before + 1, before), F.slice(shown, pos + 2, F.lit(window)))
+                return F.struct(pos.alias("pos"), _joined(near, max_words).alias("context"))
+
+            return F.transform(targets, one)
+
+        return tx.bind(F.transform(whole, shown_of), around)
+
+    return docs.select(*keep, F.inline(tx.bind(F.col(items), contexts)))
+
+
 def chunk_documents(
     docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), **how
 ) -> DataFrame:

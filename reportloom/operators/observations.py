@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions import labs, text as tx
+from reportloom.session import workspace
 
 # A record separator cannot occur inside a line: it ends lines.
 _SEP = "\x1e"
@@ -345,29 +346,42 @@ def analyte_trend(
     time_col: str,
     value_col: str,
     tie: list[str],
-    period: str = "month",
 ) -> DataFrame:
     """Each value with the previous one of the same keys (prev_value) and the change.
 
-    The look-back runs inside (keys, period) groups; the last value of each period is then
-    carried to the first row of the next. A key that owns a third of all rows is thus
-    spread over its periods instead of sorted by one task, and only its period summaries
-    (one row each) meet in one place.
+    Rows are written, range-partitioned by keys and time, sorted and written again with their
+    places: a key that owns a third of all rows thus spreads evenly, whatever its times. The
+    look-back runs inside a partition; the last row of each partition, one per partition however
+    many rows there are, is carried to the first row of the next.
     """
-    bucket = F.date_trunc(period, F.col(time_col))
-    rows = observations.withColumn("_bucket", bucket)
-    order = [F.col(time_col), *[F.col(t) for t in tie]]
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(inside)).withColumn(
-        "_prev", F.lag(value_col).over(inside)
+    spark = observations.sparkSession
+    order = [*keys, time_col, *tie]
+    # A given number is not made smaller at run time: the sort uses all tasks.
+    runs = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = workspace(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    # Finding range bounds reads the rows once more: from the copy, not from what made it.
+    rows = written(observations, "trend-rows")
+    laid = written(
+        rows.repartitionByRange(runs, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),
+        "trend-order",
+    ).withColumn("_run", F.shiftright("_at", 33))
+    here = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value_col).alias("v"))
+    inside = Window.partitionBy("_run").orderBy("_at")
+    ends = laid.groupBy("_run").agg(F.max_by(here, "_at").alias("_end"))
+    carry = ends.select("_run", F.lag("_end").over(Window.orderBy("_run")).alias("_carry"))
+    looked = laid.withColumn("_prev", F.lag(here).over(inside)).join(F.broadcast(carry), "_run")
+    before = F.coalesce("_prev", "_carry")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"_before.k{i}").eqNullSafe(F.col(k))
+    return (
+        looked.withColumn("_before", before)
+        .withColumn("prev_value", F.when(F.col("_before").isNotNull() & same, F.col("_before.v")))
+        .withColumn("change", F.col(value_col) - F.col("prev_value"))
+        .select(*observations.columns, "prev_value", "change")
     )
-    last = rows.groupBy(*keys, "_bucket").agg(
-        F.max_by(value_col, F.struct(*order)).alias("_last")
-    )
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    carry = last.select(*keys, "_bucket", F.lag("_last").over(across).alias("_carry"))
-    joined = rows.join(carry, [*keys, "_bucket"], "left")
-    prev = F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    return joined.withColumn("prev_value", prev).withColumn(
-        "change", F.col(value_col) - F.col("prev_value")
-    ).drop("_bucket", "_n", "_prev", "_carry")

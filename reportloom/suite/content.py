@@ -126,8 +126,17 @@ def page_context(spark, sf_dir):
     return op.page_context(_items(spark, sf_dir), 1, 60)
 
 
-@query("chunk_context", _context_sql("s.pos BETWEEN t.pos - 2 AND t.pos + 2", "'text', 'image', 'table'", 40))
+_CHUNK_CONTEXT_SQL = _context_sql("s.pos BETWEEN t.pos - 2 AND t.pos + 2", "'text', 'image', 'table'", 40)
+
+
+@query("chunk_context", _CHUNK_CONTEXT_SQL)
 def chunk_context(spark, sf_dir):
+    return op.chunk_context_of_lists(tb.content_lists(spark, sf_dir), "items", ("doc_id",), 2, 40, ("text", "image", "table"))
+
+
+@query("chunk_context_by_position", _CHUNK_CONTEXT_SQL)
+def chunk_context_by_position(spark, sf_dir):
+    """The same from items that stand in rows of their own."""
     return op.chunk_context(_items(spark, sf_dir), 2, 40, ("text", "image", "table"))
 
 

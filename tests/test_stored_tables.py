@@ -9,9 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reportloom.operators import merge, reports as op
+from reportloom.operators import content, merge, observations as obs, reports as op
 from reportloom.plans import hydrate as hy
-from reportloom.schemas import NAME_EVIDENCE, OBSERVATIONS, PATIENTS, REPORTS
+from reportloom.schemas import CONTENT_LIST_DDL, NAME_EVIDENCE, OBSERVATIONS, PATIENTS, REPORTS
 from reportloom.sinks.files import write_file_per_row
 from reportloom.sinks.tables import save_bucketed
 from reportloom.sources import files
@@ -156,3 +156,40 @@ def test_parts_of_hydration_equal_the_whole(spark):
     for state in (named, seen, keys):
         assert rows(state.reports) == rows(whole.reports)
     assert {r.patient_id for r in keys.patients.collect()} == {r.patient_id for r in whole.patients.collect()}
+
+
+def test_trend_equals_brute_force_with_a_hot_key(spark):
+    rnd = random.Random(4)
+    people = ["P1"] * 6 + ["P2", "P3", "P4", None]
+    rows = [
+        (rnd.choice(people), rnd.choice("ab"), rnd.choice([None, *range(40)]), i, rnd.choice([None, 1.5, 2.0, 7.25]))
+        for i in range(3000)
+    ]
+    frame = spark.createDataFrame(rows, "p string, a string, t int, i int, v double").repartition(6)
+    got = {r.i: (r.p, r.a, r.t, r.v, r.prev_value, r.change) for r in obs.analyte_trend(frame, ["p", "a"], "t", "v", ["i"]).collect()}
+    want, last = {}, {}
+    for p, a, t, i, v in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[3])):
+        prev = last.get((p, a))
+        want[i] = (p, a, t, v, prev, None if prev is None or v is None else v - prev)
+        last[p, a] = v
+    assert got == want
+    assert obs.analyte_trend(frame.where("false"), ["p", "a"], "t", "v", ["i"]).count() == 0
+
+
+def test_context_in_the_row_equals_context_by_position(spark):
+    rnd = random.Random(6)
+
+    def item(kind):
+        words = " ".join(rnd.choice(["one", "two.", "x\ny", ""]) for _ in range(rnd.randrange(9)))
+        return (kind, words, rnd.choice([None, 0, 2]), 0, None, rnd.choice([None, [], ["c", "d"]]), None, None, ["t"], None, None, None, None)
+
+    kinds = ["text", "text", "image", "table", "equation", None]
+    docs = [(i, [item(rnd.choice(kinds)) for _ in range(rnd.randrange(30))]) for i in range(40)] + [(99, None), (98, [])]
+    frame = spark.createDataFrame(docs, f"doc_id long, items {CONTENT_LIST_DDL}")
+    rows = content.content_items(frame)
+    for window, words, types in ((0, 5, ("text",)), (1, 5, ("text",)), (3, 12, ("text", "image", "table")), (50, 400, ("text",))):
+        one = content.chunk_context_of_lists(frame, "items", ("doc_id",), window, words, types)
+        two = content.chunk_context(rows, window, words, types)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -101,7 +101,8 @@ def write_file_per_row(rows: DataFrame, folder: str, name: str = "name", content
             for below in {n.rpartition("/")[0] for n in frame[name]} - {""}:
                 store.create_dir(f"{inside}/{below}", recursive=True)
             for file_name, data in zip(frame[name], frame[content], strict=True):
-                with store.open_output_stream(f"{inside}/{file_name}") as out:
+                # The bytes as they are, whatever the name ends in.
+                with store.open_output_stream(f"{inside}/{file_name}", compression=None) as out:
                     out.write(bytes(data or b""))
             yield pd.DataFrame({"n": [len(frame)]})
 

@@ -193,3 +193,9 @@ def test_context_in_the_row_equals_context_by_position(spark):
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_files_hold_their_bytes_whatever_their_name(spark, tmp_path):
+    rows = spark.createDataFrame([("a.gz", bytearray(b"plain")), ("b/c.bz2", bytearray(b"")), ("d.txt", None)], "name string, content binary")
+    assert write_file_per_row(rows, f"file://{tmp_path}") == 3
+    assert [(tmp_path / n).read_bytes() for n in ("a.gz", "b/c.bz2", "d.txt")] == [b"plain", b"", b""]

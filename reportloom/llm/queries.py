@@ -19,7 +19,7 @@ from reportloom.llm.quality import quality
 from reportloom.llm.repeats import repeat_digests
 from reportloom.llm.shards import shard_documents
 from reportloom.llm.toxicity import toxicity
-from reportloom.llm.warc import archive_index, fixity_audit
+from reportloom.llm.warc import damaged_replica, fixity_audit
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -37,10 +37,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as an archive, audited against a replica with one page in 97 damaged."""
-    pages = read_table(spark, sf_dir, "pages")
-    hurt = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    return fixity_audit(archive_index(pages), archive_index(pages.withColumn("html", hurt)))
+    """All pages as an archive, audited against a replica with damage of six kinds."""
+    return fixity_audit(*damaged_replica(read_table(spark, sf_dir, "pages")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,30 +155,41 @@ ORACLES = {
         SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM class
     """,
     "op4_merkle_audit": r"""
-        WITH r AS (
-            SELECT page_id, coalesce(url, '') AS url, html,
-                CASE WHEN page_id % 97 = 13 THEN '#' || substr(html, 2) ELSE html END AS other
-            FROM pages
+        WITH p AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+        ), texts AS (
+            SELECT 'left' AS side, page_id AS home, page_id, 0 AS later, url, html FROM p
+            UNION ALL
+            SELECT 'right', page_id, page_id, 0, url,
+                CASE WHEN page_id % 97 = 13 THEN '#' || substr(html, 2)
+                    WHEN page_id % 223 = 100 THEN html || '!'
+                    WHEN page_id % 227 = 150 THEN substr(html, 2)
+                    ELSE html END
+            FROM p WHERE page_id % 211 <> 40
+            UNION ALL
+            SELECT 'right', page_id, -1 - page_id, 1, url, '+' || html FROM p WHERE page_id % 229 = 200
         ), records AS (
-            SELECT page_id, url,
-                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
-                    || chr(13) || chr(10) || 'Content-Length: ' AS head,
-                chr(13) || chr(10) || chr(13) || chr(10) AS gap, coalesce(html, '') AS html, coalesce(other, '') AS other
-            FROM r
-        ), hashed AS (
-            SELECT page_id, url,
-                strlen(head || strlen(html) || gap || html || gap) AS length,
-                sha256(head || strlen(html) || gap || html || gap) AS sha256,
-                sha256(head || strlen(other) || gap || other || gap) AS replica_sha256
-            FROM records
+            SELECT side, home, page_id, later,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+                    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                    || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+                    || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+                    || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM texts
+        ), files AS (
+            SELECT page_id AS home, (row_number() OVER (ORDER BY page_id) - 1) // 1024 AS file FROM p
         ), placed AS (
-            SELECT *, (row_number() OVER (ORDER BY page_id, url, sha256) - 1) AS place FROM hashed
-        )
-        SELECT page_id, place // 1024 AS file,
-            (sum(length) OVER (PARTITION BY place // 1024 ORDER BY place) - length)::BIGINT AS "offset",
-            length, sha256, replica_sha256,
-            CASE WHEN sha256 = replica_sha256 THEN 'ok' ELSE 'changed' END AS status
-        FROM placed
+            SELECT side, page_id, file, sha256(record) AS sha256, strlen(record) AS length,
+                (sum(strlen(record)) OVER (PARTITION BY side, file
+                    ORDER BY side = 'right' AND later = 0 AND home % 233 = 60, home, later) - strlen(record))::BIGINT AS "offset"
+            FROM records JOIN files USING (home)
+        ), l AS (SELECT * FROM placed WHERE side = 'left'), r AS (SELECT * FROM placed WHERE side = 'right')
+        SELECT page_id, coalesce(l.file, r.file) AS file, coalesce(l."offset", r."offset") AS "offset",
+            coalesce(l.length, r.length) AS length, l.sha256 AS sha256, r.sha256 AS replica_sha256,
+            CASE WHEN r.sha256 IS NULL THEN 'missing' WHEN l.sha256 IS NULL THEN 'added'
+                WHEN l.sha256 = r.sha256 THEN 'ok' ELSE 'changed' END AS status,
+            coalesce(l.sha256 = r.sha256 AND l."offset" <> r."offset", false) AS moved
+        FROM l FULL JOIN r USING (page_id)
     """,
     "op5_exact_dedup": r"""
         WITH d AS (

@@ -14,7 +14,18 @@ from reportloom.llm.embed import near_vectors
 from reportloom.llm.quality import quality
 from reportloom.llm.shards import _levels_of, hilbert_index, shard_documents, text_levels, write_shards
 from reportloom.llm.toxicity import lexicon, term_counts, toxicity, training_rows
-from reportloom.llm.warc import archive_index, fixity_audit, read_warc, write_warc
+from reportloom.llm.warc import (
+    LEAF_BYTES,
+    archive_index,
+    differing_leaves,
+    fixity_audit,
+    merkle_levels,
+    parents,
+    read_warc,
+    read_warc_files,
+    write_warc,
+    write_warc_files,
+)
 
 
 def _parts(n, edges):
@@ -220,6 +231,79 @@ def test_audit_of_missing_added_longer_and_shorter_records(spark, tmp_path):
     assert read == [*whole[:2], None, *whole[3:]]
 
 
+def test_audit_tells_records_at_other_places(spark):
+    rows = [(i, f"http://h/{i}", "x" * (500 + i)) for i in range(600)]
+    index = archive_index(spark.createDataFrame(rows, "page_id long, url string, html string"), 64)
+    extra = index.withColumn("note", F.lit("a")).withColumn("moved", F.lit(3))
+    # Every place is wrong, and no content.
+    wrong = index.selectExpr("page_id", "file + 7 AS file", "offset * 3 + 1 AS offset", "length + 2 AS length", "sha256")
+    got = fixity_audit(extra, wrong).collect()
+    assert len(got) == 600 and all(r["status"] == "ok" and r["moved"] for r in got)
+    # Two records that change places are moved, and so is what lies between if lengths differ.
+    ids = [r["page_id"] for r in index.where("file = 3").orderBy("offset").collect()]
+    swap = {ids[5]: ids[6], ids[6]: ids[5]}
+    order = sorted(range(600), key=lambda i: (i // 64, swap.get(i, i)))
+    place, laid = {}, []
+    length = {r["page_id"]: (r["length"], r["sha256"]) for r in index.collect()}
+    for i in order:
+        at = place.get(i // 64, 0)
+        laid.append((i, i // 64, at, *length[i]))
+        place[i // 64] = at + length[i][0]
+    swapped = spark.createDataFrame(laid, "page_id long, file long, offset long, length long, sha256 string")
+    audit = fixity_audit(index, swapped)
+    assert {r["page_id"] for r in audit.where("moved").collect()} == {ids[5], ids[6]}
+    assert audit.where("status <> 'ok'").count() == 0 and audit.count() == 600
+    # Only the leaves of that place are descended to.
+    above = parents(1, 1, 16)
+    leaves = differing_leaves(*(merkle_levels(t, above) for t in (index, swapped)), above).collect()
+    spots = {(3, r["offset"] // LEAF_BYTES) for r in laid_rows(laid, ids[5:7])}
+    assert {(r["file"], r["node"]) for r in leaves} == spots
+
+
+def laid_rows(laid, ids):
+    return [{"offset": at} for i, _, at, *_ in laid if i in ids]
+
+
+def test_audit_of_odd_indexes(spark):
+    kind = "page_id long, file long, offset long, length long, sha256 string"
+    far = 1 << 32
+    rows = [(1, None, None, None, "a"), (1, None, None, None, "a"), (None, -far, -5, 3, "b"), (2, far, far, far, "c"), (3, 0, 0, 1, None)]
+    rows += [(i, 1, 0, 4, f"d{i}") for i in range(300)]
+    index = spark.createDataFrame(rows, kind)
+    status = [(r["status"], r["moved"]) for r in fixity_audit(index, index).collect()]
+    # A record that cannot be read is not fine, although the other replica has no more of it.
+    assert len(status) == 305 and set(status) <= {("ok", False), ("changed", False)}
+    other = [(1, None, None, None, "a"), (None, -far, -4, 3, "b"), (2, far, far, far, "x"), (3, 0, 0, 1, "e")] + rows[5:-1]
+    wrong = fixity_audit(index, spark.createDataFrame(other, kind)).where("status <> 'ok' OR moved").collect()
+    got = sorted(((r["page_id"], r["status"], r["moved"]) for r in wrong), key=str)
+    assert got == sorted([(1, "missing", False), (None, "ok", True), (2, "changed", False), (3, "changed", False), (299, "missing", False)], key=str)
+
+
+def test_audit_of_files_that_are_read(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "é" * (i % 50) + str(i)) for i in range(200)]
+    rows += [(None, "x\r\nWARC-Record-ID: <urn:page:5>", "n"), (7, "http://h/7", None), (201, "long", "z" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = str(tmp_path / "replica")
+    assert write_warc_files(pages, f"file://{folder}", 64) == 4
+    index = archive_index(pages, 64)
+    read = read_warc_files(spark, f"file://{folder}")
+    assert sorted(map(str, read.select("page_id", "sha256").collect())) == sorted(map(str, index.select("page_id", "sha256").collect()))
+    assert fixity_audit(read, read_warc_files(spark, f"file://{folder}")).where("status <> 'ok' OR moved").count() == 0
+    path = sorted((tmp_path / "replica").glob("*.warc.gz"))[1]
+    data = bytearray(path.read_bytes())
+    fifth = [i for i in range(len(data)) if data[i : i + 3] == b"\x1f\x8b\x08"][4]
+    whole = read.where("file = 1").orderBy("offset").collect()
+    data[fifth + 12] ^= 255
+    other = tmp_path / "hurt"
+    other.mkdir()
+    for p in path.parent.glob("*.warc.gz"):
+        (other / p.name).write_bytes(bytes(data) if p == path else p.read_bytes())
+    wrong = fixity_audit(read, read_warc_files(spark, f"file://{other}"))
+    assert [(r["page_id"], r["status"], r["replica_sha256"]) for r in wrong.where("status <> 'ok'").collect()] == [(whole[4]["page_id"], "changed", None)]
+    # What follows in that file is whole; it is told as moved since the lost bytes add nothing.
+    assert {r["page_id"] for r in wrong.where("moved").collect()} == {r["page_id"] for r in whole[5:]}
+
+
 def test_boosting_learns_and_sql_agrees(spark):
     rnd = np.random.default_rng(5)
     x = rnd.normal(size=(3000, 4))

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportloom.functions import text as tx
+from reportloom.session import spread, workspace
+
+
+def _staged(rows: DataFrame) -> DataFrame:
+    """``rows`` written once to the shared folder, for plans that read them more than once."""
+    path = workspace(rows.sparkSession, "names")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def extract_patient_name(
@@ -88,18 +96,46 @@ def _deletions(key: Column) -> Column:
     )
 
 
-def deletion_keys(key: Column) -> Column:
-    """Hashes of the string and of every string with one or two characters deleted.
+def deletion_keys(key: Column, edits: int = 2) -> Column:
+    """Hashes of the string and of every string with up to ``edits`` (one or two) characters deleted.
 
-    Two strings within edit distance 2 always share one of these, so an equi join on them
-    finds every such pair.
+    Two strings within edit distance ``edits`` always share one of these, so an equi join on
+    them finds every such pair.
     """
     some = F.when(F.length(key) > 0, _deletions(key)).otherwise(F.array())
-    two = F.flatten(
-        F.transform(some, lambda s: F.when(F.length(s) > 0, _deletions(s)).otherwise(F.array()))
+    if edits == 1:
+        every = F.concat(F.array(key), some)
+    else:
+        two = F.flatten(
+            F.transform(F.array_distinct(some), lambda s: F.when(F.length(s) > 0, _deletions(s)).otherwise(F.array()))
+        )
+        every = F.concat(F.array(key), some, two)
+    return F.array_distinct(F.transform(F.array_distinct(every), lambda s: F.xxhash64(s)))
+
+
+def _third(key: Column, size: Column, number: Column, shift: Column) -> Column:
+    """Hash of the characters of ``key`` where the ``number``-th third of a string of ``size`` stands."""
+    start = F.floor(number * size / 3).cast("int")
+    end = F.floor((number + 1) * size / 3).cast("int")
+    return F.xxhash64(size, number, F.substr(key, F.greatest(start + shift, F.lit(0)) + 1, end - start))
+
+
+def _thirds(key: Column) -> Column:
+    """Hashes of the three thirds of a string."""
+    return F.transform(F.array(*map(F.lit, range(3))), lambda n: _third(key, F.length(key), n, F.lit(0)))
+
+
+def _thirds_near(key: Column) -> Column:
+    """Hashes of all thirds that a string within two edits of ``key`` may share with it.
+
+    Two edits leave one third of a string as it is, and move it by at most two places.
+    """
+    sizes = F.transform(F.array(*map(F.lit, range(-2, 3))), lambda d: F.length(key) + d)
+    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n in range(3) for d in range(-2, 3)])
+    each = F.transform(
+        F.filter(sizes, lambda z: z >= 0), lambda z: F.transform(places, lambda p: _third(key, z, p["n"], p["d"]))
     )
-    every = F.array_distinct(F.concat(F.array(key), some, two))
-    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.flatten(each))
 
 
 def _plain_words(name: Column) -> Column:
@@ -124,6 +160,24 @@ def word_orders(name: Column) -> Column:
     return F.when(F.size(words) > 0, F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
 
 
+def _nearest(asked: DataFrame, spelled: DataFrame, edits: int) -> DataFrame:
+    """(_key, patient_id, distance) of keys that have a known name within ``edits`` of one of their orders.
+
+    Both sides are spread over their hashes, many times the rows the optimizer sees before it:
+    the join must not be a broadcast, and the few rows before it must not stay in few tasks.
+    """
+    left = spread(asked).select("_key", "_order", F.explode(deletion_keys(F.col("_order"), edits)).alias("_h"))
+    right = spread(spelled).select("known_key", "patient_id", F.explode(deletion_keys(F.col("known_key"), edits)).alias("_h"))
+    return (
+        left.join(right.hint("merge"), "_h")
+        .select("_key", "patient_id", F.levenshtein("_order", "known_key", edits).alias("distance"))
+        .where("distance >= 0")
+        .groupBy("_key")
+        .agg(F.min(F.struct("distance", "patient_id")).alias("_m"))
+        .select("_key", F.col("_m.patient_id").alias("patient_id"), F.col("_m.distance").alias("distance"))
+    )
+
+
 def resolve_patient_name(
     mentions: DataFrame,
     patients: DataFrame,
@@ -137,11 +191,11 @@ def resolve_patient_name(
     it stands. Up to ``max_distance`` (at most 2) edits
     are accepted. Nearest first, then smallest patient_id; no match gives NULLs.
 
-    Exact keys are settled by an equi join. Only the remaining distinct keys enter the fuzzy
-    join, which meets on deletion hashes: every pair within distance 2 shares one, and since
-    a hash stands for nearly the whole string no block holds all names, whatever prefix or
-    sound they share. Copies of a name collapse to one key first, and a pair is compared once
-    however many hashes it shares.
+    Exact keys are settled by an equi join, then those one edit away by some twenty to fifty hashes a
+    name. Only keys still open meet on the hashes of two deletions, some hundred a name, and
+    only with known names that share a third with one of them. A hash stands for nearly the whole
+    string, so no block holds all names, whatever prefix or sound they share. Copies of a name
+    collapse to one key first. What is open after one edit is written once to the shared folder.
     """
     if not 0 <= max_distance <= 2:
         raise ValueError("max_distance must be 0, 1 or 2")
@@ -158,22 +212,27 @@ def resolve_patient_name(
     )
     keyed = mentions.withColumn("_key", F.array_join(_plain_words(F.col(mention_col)), " "))
     keys = keyed.select("_key").where("_key <> ''").distinct()
-    same = name_key(F.col("_key")) == F.col("sorted_key")
-    exact = keys.join(known, same).select("_key", "patient_id", F.lit(0).alias("distance"))
-    left = (
-        keys.join(known, same, "left_anti")
-        .select("_key", F.explode(word_orders(F.col("_key"))).alias("_order"))
-        .select("_key", "_order", F.explode(deletion_keys(F.col("_order"))).alias("_h"))
+    exact = (
+        keys.withColumn("sorted_key", name_key(F.col("_key")))
+        .join(known, "sorted_key", "left")
+        .select("_key", "patient_id", F.when(F.col("patient_id").isNotNull(), 0).alias("distance"))
     )
-    right = spelled.select("known_key", "patient_id", F.explode(deletion_keys(F.col("known_key"))).alias("_h"))
-    near = (
-        left.join(right, "_h")
-        .select("_key", "_order", "known_key", "patient_id")
-        .distinct()
-        .withColumn("distance", F.levenshtein("_order", "known_key", max_distance))
-        .where("distance >= 0")
-        .groupBy("_key")
-        .agg(F.min(F.struct("distance", "patient_id")).alias("_m"))
-        .select("_key", F.col("_m.patient_id").alias("patient_id"), F.col("_m.distance").alias("distance"))
-    )
-    return keyed.join(exact.unionByName(near), "_key", "left").drop("_key")
+    if max_distance == 0:
+        return keyed.join(exact, "_key", "left").drop("_key")
+    orders = F.explode(word_orders(F.col("_key"))).alias("_order")
+    settled = _staged(exact)
+    asked = settled.where("patient_id IS NULL").select("_key", orders)
+    found = settled.where("patient_id IS NOT NULL")
+    near = _nearest(asked, spelled, 1)
+    if max_distance == 2:
+        near = _staged(near)
+        left = asked.join(near, "_key", "left_anti")
+        thirds = left.select(F.explode(_thirds_near(F.col("_order"))).alias("_t")).distinct()
+        like = (
+            spelled.select("known_key", "patient_id", F.explode(_thirds(F.col("known_key"))).alias("_t"))
+            .join(thirds.hint("merge"), "_t", "left_semi")
+            .groupBy("known_key")
+            .agg(F.min("patient_id").alias("patient_id"))
+        )
+        found = found.unionByName(_nearest(left, like, 2))
+    return keyed.join(found.unionByName(near), "_key", "left").drop("_key")

@@ -244,3 +244,16 @@ def test_swapped_words_resolve(spark):
     asked = spark.createDataFrame([(1, "MOORE, MARY"), (2, "lee anm"), (3, "nobody")], "i int, mention string")
     got = {r.i: (r.patient_id, r.distance) for r in names.resolve_patient_name(asked, people).collect()}
     assert got == {1: ("P1", 0), 2: ("P2", 1), 3: (None, None)}
+
+
+def test_spread_hashes_of_names_are_not_broadcast(spark):
+    people = spark.createDataFrame([("P1", "Mary Moore"), ("P2", "Ann Lee"), ("P3", None)], "patient_id string, full_name string")
+    asked = spark.createDataFrame([(1, "mary moore"), (2, "ann leee"), (3, "an ee"), (3, "an ee"), (4, None), (5, "")], "i int, mention string")
+    found = names.resolve_patient_name(asked, people)
+    rows = sorted(((r.i, r.patient_id, r.distance) for r in found.collect()), key=str)
+    assert rows == [(1, "P1", 0), (2, "P2", 1), (3, "P2", 2), (3, "P2", 2), (4, None, None), (5, None, None)]
+    near = names._nearest(asked.selectExpr("mention AS _key", "mention AS _order"), people.selectExpr("full_name AS known_key", "patient_id"), 2)
+    near.collect()
+    for df in (found, near):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "_h#" in x]
+        assert joins and not any("Broadcast" in x for x in joins)

@@ -6,6 +6,8 @@ shuffled and expensive rules run once per document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions import labs, text as tx
@@ -314,6 +316,18 @@ HEADER_LABELS = {
     "specimen": r"(?i)\bSpecimen(?: ID)?\W*:\W*(\w+)",
     "accession": r"(?i)\bAccession\W*:\W*(\w+)",
 }
+# One of these words, in lower case, is in every match: a cheap test that spares texts without the label the rule.
+_LABEL_WORDS = {
+    "patient": ("patient", "name"),
+    "patient_id": ("id",),
+    "dob": ("dob", "date of birth"),
+    "gender": ("gender",),
+    "panel": ("panel",),
+    "collected": ("collected", "collection date", "test date"),
+    "report_date": ("report date",),
+    "specimen": ("specimen",),
+    "accession": ("accession",),
+}
 # Several labels may share a line: a value ends where the next label begins.
 _NEXT_LABEL = r"(?i)\s+(?:DOB|Date of Birth|Age|Gender|Sex|(?:Patient )?ID|MRN|Collected|Collection Date|(?:Test|Report) Date|Specimen(?: ID)?|Accession|Panel)\b(?:\W*:.*)?$"
 _DATE_FIELDS = ("dob", "collected", "report_date")
@@ -329,15 +343,30 @@ def header_fields(
     text = tx.plain_breaks(F.col(text_col))
     lines = F.filter(F.split(text, "\n", -1), lambda s: ~F.startswith(tx.strip(s), F.lit("![")))
 
-    def fields(body: Column) -> Column:
+    def found(body: Column, low: Column) -> Column:
+        """The raw values by label, each read once."""
         cols = []
         for name, pattern in HEADER_LABELS.items():
-            value = F.trim(F.regexp_replace(F.regexp_extract(body, pattern, 1), _NEXT_LABEL, ""))
-            value = F.nullif(value, F.lit(""))
-            cols.append((labs.clean_date(value) if name in _DATE_FIELDS else value).alias(name))
+            there = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in _LABEL_WORDS[name]])
+            cols.append(F.when(there, F.regexp_extract(body, pattern, 1)).alias(name))
+        return F.struct(*cols)
+
+    def ended(raw: Column) -> Column:
+        cols = []
+        for name in HEADER_LABELS:
+            # The next label begins with a blank and a word: one-word values have none.
+            value = F.when(raw[name].rlike(r"\s"), F.regexp_replace(raw[name], _NEXT_LABEL, "")).otherwise(raw[name])
+            cols.append(F.nullif(F.trim(value), F.lit("")).alias(name))
         return F.struct(*cols)
 
-    return docs.select(*keep, F.inline(F.array(tx.bind(F.array_join(lines, "\n"), fields))))
+    def fields(value: Column) -> Column:
+        return F.struct(
+            *[(labs.clean_date(value[n]) if n in _DATE_FIELDS else value[n]).alias(n) for n in HEADER_LABELS]
+        )
+
+    body = F.array_join(lines, "\n")
+    raw = tx.bind(body, lambda b: tx.bind(F.lower(b), lambda low: found(b, low)))
+    return docs.select(*keep, F.inline(F.array(tx.bind(tx.bind(raw, ended), fields))))
 
 
 def analyte_trend(

@@ -257,3 +257,14 @@ def test_spread_hashes_of_names_are_not_broadcast(spark):
     for df in (found, near):
         joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "_h#" in x]
         assert joins and not any("Broadcast" in x for x in joins)
+
+
+def test_every_header_label_passes_its_cheap_test(spark):
+    from reportloom.operators import observations as obs
+
+    body = "Patient NAME : LEE, ANN Gender: f\npatient iD: P7\nDATE OF BIRTH: 01/02/1970\nTEST Date: 2024-02-03\nPANEL: Iron Age: 3\nREPORT DATE: May 4, 2024\nspecimen ID: S1 ACCESSION: A1"
+    rows = obs.header_fields(spark.createDataFrame([("a", body), ("b", "nothing here"), ("c", None)], "report_id string, text string"))
+    got = {r[0]: [None if x is None else str(x) for x in r[1:]] for r in rows.collect()}
+    assert got["a"] == ["LEE, ANN", "P7", "1970-01-02", "f", "Iron", "2024-02-03", "2024-05-04", "S1", "A1"]
+    assert got["b"] == got["c"] == [None] * 9
+    assert set(obs._LABEL_WORDS) == set(obs.HEADER_LABELS)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from reportloom.llm.bpe import Remembered, tools
 from reportloom.llm.common import small_batches, stage_table, with_rank
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+# Chunks whose ids a worker remembers, unless the caller has memory for more; no result depends on it.
+REMEMBERED_CHUNKS = 250_000
 PLAN_SCHEMA = "length bigint, first bigint, last bigint, copies bigint, sequence bigint, offset bigint"
 
 
@@ -43,7 +46,7 @@ class PackedIds:
         ends = [i for i, t in self.bpe.piece.items() if t.endswith("</w>")] + [*self.bpe.special.values()]
         self.is_end = np.zeros(max(self.bpe.piece) + 1, bool)
         self.is_end[ends] = True
-        self.known = Remembered(None, 250_000)
+        self.known = Remembered(None, REMEMBERED_CHUNKS)
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         split, lettered = self.bpe.split, self.bpe.lettered
@@ -67,30 +70,38 @@ class PackedIds:
         return {c: raw[a:b] for c, a, b in zip(chunks, at, at[1:], strict=False)}
 
     def __call__(self, texts: list) -> list[bytes]:
-        chunked = [self.bpe.chunks(t or "") for t in texts]
-        seen: set[str] = set()
-        for chunks in chunked:
-            seen.update(chunks)
-        # A small table of this call's chunks answers much faster than the large ones.
-        here = {c: v for c, v in zip(seen, map(self.known.get, seen), strict=True) if v is not None}
-        if len(here) < len(seen):
+        # Texts are held as numbers of their chunks: each chunk's string is kept once a call.
+        number = _Numbers()
+        numbered = [array("I", map(number.__getitem__, self.bpe.chunks(t or ""))) for t in texts]
+        values = list(map(self.known.get, number))
+        new = [c for c, v in zip(number, values, strict=True) if v is None]
+        if new:
             older = self.known.older.get
-            new = [c for c in seen if c not in here]
             found = {c: v for c, v in zip(new, map(older, new), strict=True) if v is not None}
             found |= self.learn([c for c in new if c not in found])
             self.known.room(len(found))
             self.known.update(found)
-            here |= found
-        return [b"".join(map(here.__getitem__, chunks)) for chunks in chunked]
+            for c in new:
+                values[number[c]] = found[c]
+        return [b"".join(map(values.__getitem__, chunks)) for chunks in numbered]
+
+
+class _Numbers(dict):
+    """chunk -> its number, from 0 in the order of first use."""
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        return n
 
 
 _packers: dict[str, PackedIds] = {}
 
 
-def packer(path: str) -> PackedIds:
+def packer(path: str, remembered: int = REMEMBERED_CHUNKS) -> PackedIds:
     """The encoder of ``path``, one per Python worker; what other operators remember is let go."""
     if path not in _packers:
         _packers[path] = PackedIds(path)
+    _packers[path].known.most = remembered
     Remembered.keep_only(_packers[path].known)
     return _packers[path]
 
@@ -101,6 +112,7 @@ def cut_pieces(
     size: int = 4096,
     end_id: int = 1,
     with_ids: bool = False,
+    remembered: int = REMEMBERED_CHUNKS,
 ) -> DataFrame:
     """Token pieces of every document: ids of its text, then ``end_id``.
 
@@ -113,7 +125,7 @@ def cut_pieces(
     step = size * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = packer(vocab_path)
+        encode = packer(vocab_path, remembered)
         for batch in small_batches(batches):
             out: list[tuple] = []
             encoded = encode(batch.column(1).to_pylist())
@@ -237,7 +249,9 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, vocab_path: str, size: int = 4096, end_id: int = 1) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocab_path: str, size: int = 4096, end_id: int = 1, remembered: int = REMEMBERED_CHUNKS
+) -> DataFrame:
     """Pieces of all documents with their checksums, sequences and offsets."""
     # Written first: ordering reads its input twice, and texts should be encoded once.
-    return pack(stage_table(cut_pieces(docs, vocab_path, size, end_id), "pieces"), size)
+    return pack(stage_table(cut_pieces(docs, vocab_path, size, end_id, remembered=remembered), "pieces"), size)

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.operators import models
 from reportloom.session import workspace
@@ -15,7 +15,8 @@ from reportloom.session import workspace
 COSINE_THRESHOLD = 0.2
 TOP_K = 60
 RESUMMARY_AT = 6
-BLOCK_ROWS = 65_536  # vectors that a task holds at a time, on average
+BLOCK_ROWS = 65_536  # vectors, and queries, that a task meets, on average
+HIT_ROWS = 1 << 20  # hits that a task ranks, on average
 _SUMMARY_PROMPT = "Write one description from these:\n"
 SCORES = 1 << 21  # scores that a task makes at a time
 HITS = 1 << 20  # hits that a task gathers before it hands them on
@@ -133,16 +134,25 @@ def vector_top_k(
     """(query_id, id, score, rank): exact cosine top ``k`` at or above ``threshold``.
 
     Scores have 6 decimals; equal ones rank by id. Vectors are hashed into ``blocks`` (unless given,
-    as many as shuffles have partitions, more beyond ``BLOCK_ROWS`` each by one count of the
-    rows) and shuffled once; queries go to every block. A task holds the vectors of one block and keeps its own best ``k`` per query, so neither
-    all vectors nor all queries meet anywhere and no pair lists are shuffled. ``operators.vectors``
-    has an index for stores that are searched often.
+    two for each core or as many as shuffles have partitions, more beyond ``BLOCK_ROWS`` each by
+    one count of the rows), queries into groups of ``BLOCK_ROWS``, and each block meets each group in a task of its
+    own that keeps its best ``k`` per query, so neither all vectors nor all queries meet anywhere
+    and no pair lists are shuffled. Hits are ranked in as many tasks as their number asks for.
+    ``operators.vectors`` has an index for stores that are searched often.
     """
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = blocks or max(partitions, -(-vectors.count() // BLOCK_ROWS))
+    n_vectors, n_queries = vectors.count(), queries.count()
+    # Two for each core: every further block hands on another ``k`` hits per query.
+    least = min(partitions, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    n = blocks or max(least, -(-n_vectors // BLOCK_ROWS))
+    groups = max(1, -(-n_queries // BLOCK_ROWS))
     vec = "array<double>"
+
+    def from_on(first: Column, count: int, step: int) -> Column:
+        return F.explode(F.sequence(first, first + (count - 1) * step, F.lit(step).cast("bigint")))
+
     held = vectors.where(F.col(vec_col).isNotNull()).select(
-        F.pmod(F.xxhash64(id_col), F.lit(n)).cast("bigint").alias("block"),
+        from_on(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("bigint"), groups, n).alias("block"),
         F.lit(0).alias("is_query"),
         F.lit(0).cast("bigint").alias("query_id"),
         F.col(id_col).cast("bigint").alias("id"),
@@ -150,24 +160,28 @@ def vector_top_k(
         F.col(vec_col).cast(vec).alias("vec"),
     )
     asked = queries.where(F.col(query_vec).isNotNull()).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"),
+        from_on(F.pmod(F.xxhash64(query_id), F.lit(groups)).cast("bigint") * n, n, 1).alias("block"),
         F.lit(1).alias("is_query"),
         F.col(query_id).cast("bigint").alias("query_id"),
         F.lit(0).cast("bigint").alias("id"),
         F.lit(float(threshold)).alias("floor"),
         F.col(query_vec).cast(vec).alias("vec"),
     )
-    found = search_blocks(held.unionByName(asked), k).withColumnRenamed("id", id_col)
+    found = search_blocks(held.unionByName(asked), k, n * groups).withColumnRenamed("id", id_col)
+    # Dealt before they are ranked: no task sorts its hits on the way out.
+    found = found.repartition(max(partitions, -(-n_queries * min(k * n, n_vectors) // HIT_ROWS)), "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search_blocks(rows: DataFrame, k: int) -> DataFrame:
+def search_blocks(rows: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(query_id, id, score) from rows (block, is_query, query_id, id, floor, vec).
 
-    Of each block the best ``k`` of each query that reach its ``floor``.
+    Of each block the best ``k`` of each query that reach its ``floor``. With ``blocks``, numbered
+    from 0, each has a task of its own.
     """
-    found = rows.repartition("block").sortWithinPartitions("block", "is_query")
+    dealt = rows.repartitionById(blocks, F.col("block").cast("int")) if blocks else rows.repartition("block")
+    found = dealt.sortWithinPartitions("block", "is_query")
     return found.mapInPandas(_search(k), "query_id bigint, id bigint, score double")
 
 

@@ -22,6 +22,7 @@ from reportloom.session import workspace
 SAMPLE_ROWS = 20_000
 MOST_CELLS = 1024
 BLOCK_ROWS = 8192  # vectors of a cell that a task holds at a time, on average
+ASKED_NUMBERS = 1 << 22  # numbers that a task hands on at a time for cells to visit
 ROUNDS = 8
 _SLACK = 2e-6  # scores have 6 decimals; angles are good to far less
 
@@ -135,23 +136,31 @@ def _first_cells(cells: Cells, bound: np.ndarray, k: int) -> np.ndarray:
     return first & (bound > -2.0)
 
 
-def _asked(cells: Cells, queries: DataFrame, k: int, threshold: float, again: bool) -> DataFrame:
-    """(query_id, cell, floor, vec): cells to visit, first or ``again`` after ``floor`` is known."""
+def _ask(cells: Cells, k: int, threshold: float, again: bool, most: int = ASKED_NUMBERS):
+    """Task body over (query_id, vec[, floor]): a row for each cell to visit, as many queries at a time as fill ``most`` numbers."""
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            vecs = _unit_rows(np.stack(pdf["vec"].to_numpy()))
-            bound = _bounds(cells, vecs)
-            first = _first_cells(cells, bound, k)
-            floor = np.maximum(pdf["floor"].to_numpy(), threshold) if again else np.full(len(vecs), float(threshold))
-            visit = (~first if again else first) & (bound >= floor[:, None])
-            q, c = np.nonzero(visit)
-            if len(q):
-                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[q], "cell": c.astype(np.int32), "floor": floor[q], "vec": [vecs[i] for i in q]})
-
-    return queries.mapInPandas(ask, "query_id bigint, cell int, floor double, vec array<double>")
+            step = max(1, most // (len(cells.sizes) * len(pdf["vec"].iloc[0])))
+            for at in range(0, len(pdf), step):
+                some = pdf.iloc[at : at + step]
+                vecs = _unit_rows(np.stack(some["vec"].to_numpy()))
+                bound = _bounds(cells, vecs)
+                first = _first_cells(cells, bound, k)
+                floor = np.maximum(some["floor"].to_numpy(), threshold) if again else np.full(len(vecs), float(threshold))
+                visit = (~first if again else first) & (bound >= floor[:, None])
+                q, c = np.nonzero(visit)
+                if len(q):
+                    yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[q], "cell": c.astype(np.int32), "floor": floor[q], "vec": [vecs[i] for i in q]})
+
+    return run
+
+
+def _asked(cells: Cells, queries: DataFrame, k: int, threshold: float, again: bool) -> DataFrame:
+    """(query_id, cell, floor, vec): cells to visit, first or ``again`` after ``floor`` is known."""
+    return queries.mapInPandas(_ask(cells, k, threshold, again), "query_id bigint, cell int, floor double, vec array<double>")
 
 
 def _visit(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from reportloom.operators import chat
@@ -35,56 +34,57 @@ class RecentMessages(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", f"us bigint, id {self.id_type}, body string")
-        self.ends = handle.getValueState("ends", "ms bigint")
+        # One value of plain lists: reading or writing it is one call to the store, however many messages it has.
+        self.recent = handle.getValueState("recent", f"us array<bigint>, id array<{self.id_type}>, body array<string>")
+
+    def _held(self) -> list[tuple]:
+        held = self.recent.get()
+        return list(zip(*held, strict=True)) if held else []
 
     def _newest(self, held: dict) -> list[tuple]:
         return sorted(held.values(), key=lambda m: (m[0], m[1]), reverse=True)[: self.n]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = [tuple(m) for m in self.recent.get()]
+    def _end(self, newest: list[tuple]) -> int:
+        return -(-(newest[0][0] + self.ttl) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self._held()
         held = {m[1]: m for m in before}
-        for pdf in rows:
-            for message in zip(pdf["m_us"].tolist(), pdf["m_id"].tolist(), pdf["m_body"].tolist(), strict=True):
-                known = held.get(message[1])
-                if known is None or message[0] > known[0]:
-                    held[message[1]] = message
+        for row in rows:
+            message = row[2:]  # m_us, m_id, m_body
+            known = held.get(message[1])
+            if known is None or message[0] > known[0]:
+                held[message[1]] = message
             if len(held) > 8 * self.n:
                 held = {m[1]: m for m in self._newest(held)}
         newest = self._newest(held)
         if newest == before:
             return
-        self.recent.put(newest)
-        self._set_end(newest[0][0] + self.ttl)
+        self.recent.update(tuple(map(list, zip(*newest, strict=True))))
+        # A session has one timer: it is set when the session begins, and moved on when it fires too early.
+        if not before:
+            self.handle.registerTimer(self._end(newest))
         gaps = (newer[0] - older[0] for newer, older in zip(newest, newest[1:], strict=False))
         cut = next((i for i, gap in enumerate(gaps, 1) if gap >= self.ttl), len(newest))
-        yield self._rows(key, newest[0][0], [m[2] for m in newest[:cut]])
+        yield self._row(key, newest[0][0], [m[2] for m in newest[:cut]])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.ends.exists() or self.ends.get()[0] > expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self._held()
+        if not held:
+            return
+        end = self._end(held)
+        if end > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(end)
             return
-        last = max(m[0] for m in self.recent.get())
         self.recent.clear()
-        self.ends.clear()
-        yield self._rows(key, last, [None])
+        yield self._row(key, held[0][0], None)
 
     def close(self) -> None:
         pass
 
-    def _set_end(self, micros: int) -> None:
-        ms = -(-micros // 1000)
-        if self.ends.exists():
-            old = self.ends.get()[0]
-            if old == ms:
-                return
-            self.handle.deleteTimer(old)
-        self.ends.update((ms,))
-        self.handle.registerTimer(ms)
-
-    def _rows(self, key, last: int, bodies: list) -> pd.DataFrame:
-        """One row per message, newest first; recency 0 tells that the session has ended."""
-        recency = [0] if bodies == [None] else range(1, len(bodies) + 1)
-        return pd.DataFrame({self.key_name: key[0], "recency": recency, "_last": last, "_body": bodies})
+    def _row(self, key, last: int, bodies: list | None) -> Row:
+        """One row per session, its messages newest first; none tells that the session has ended."""
+        return Row(**{self.key_name: key[0], "_last": last, "_bodies": bodies})
 
 
 def stream_context_window(
@@ -109,15 +109,16 @@ def stream_context_window(
         F.to_json(F.struct(*body), _TIMES).alias("m_body"),
     )
     processor = RecentMessages(n, ttl_seconds * 1_000_000, types[message_id], session)
-    changes = given.withWatermark("m_at", late).groupBy(session).transformWithStateInPandas(
+    changes = given.withWatermark("m_at", late).groupBy(session).transformWithState(
         processor,
-        outputStructType=f"{session} {types[session]}, recency int, _last bigint, _body string",
+        outputStructType=f"{session} {types[session]}, _last bigint, _bodies array<string>",
         outputMode="Update",
         timeMode="EventTime",
     )
     fields = ", ".join(f"{c} {types[c]}" for c in body)
-    rows = changes.withColumn("_m", F.from_json("_body", fields, _TIMES)).select(
-        session, *[F.col(f"_m.{c}").alias(c) for c in body], "recency", "_last"
+    each = changes.select(session, "_last", F.posexplode_outer("_bodies").alias("_at", "_body"))
+    rows = each.withColumn("_m", F.from_json("_body", fields, _TIMES)).select(
+        session, *[F.col(f"_m.{c}").alias(c) for c in body], F.coalesce(F.col("_at") + 1, F.lit(0)).alias("recency"), "_last"
     )
     setting = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(setting)

@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -71,7 +73,7 @@ class PackedIds:
 
     def __call__(self, texts: list) -> list[bytes]:
         # Texts are held as numbers of their chunks: each chunk's string is kept once a call.
-        number = _Numbers()
+        number = defaultdict(count().__next__)
         numbered = [array("I", map(number.__getitem__, self.bpe.chunks(t or ""))) for t in texts]
         values = list(map(self.known.get, number))
         new = [c for c, v in zip(number, values, strict=True) if v is None]
@@ -86,14 +88,6 @@ class PackedIds:
         return [b"".join(map(values.__getitem__, chunks)) for chunks in numbered]
 
 
-class _Numbers(dict):
-    """chunk -> its number, from 0 in the order of first use."""
-
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        return n
-
-
 _packers: dict[str, PackedIds] = {}
 
 

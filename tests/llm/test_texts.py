@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -61,6 +62,25 @@ def test_encoding_equals_library(spark, library):
     assert bpe.encode_digests(frame(spark, []), VOCAB).count() == 0
 
 
+def test_the_packing_encoder_makes_no_call_per_chunk():
+    """op8_pack: chunks of a batch are numbered without a Python call each."""
+    encode = packing.PackedIds(VOCAB)
+    texts = [" ".join(f"{a}{b}{c}" for b in "abcdefghij" for c in "abcdefghij") for a in "abcdefghij"]
+    expected, calls = encode(texts), []
+    encode.known.clear()
+
+    def watch(frame, event, _):
+        if event == "call" and frame.f_code.co_filename == packing.__file__:
+            calls.append(frame.f_code.co_name)
+
+    sys.setprofile(watch)
+    try:
+        again = encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert again == expected and len(calls) < 20
+
+
 def test_packing_is_whole_and_dense(spark, library):
     texts = ODD + made(80) + ["long words here " * 4000]
     docs = frame(spark, texts + ["twice", "twice"], [*range(len(texts)), None, 5])

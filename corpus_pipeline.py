@@ -17,6 +17,9 @@ from reportloom.llm.pii import redact
 from reportloom.llm.queries import VOCAB
 from reportloom.llm.toxicity import toxicity
 
+# Packing shares its workers with the other stages: fewer chunks than when it runs alone. No result depends on it.
+REMEMBERED_CHUNKS = 60_000
+
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a row key, and the free name that a column named like the key got."""
@@ -61,7 +64,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens; a row without text is one id long."""
-    return pack_documents(docs, VOCAB)
+    return pack_documents(docs, VOCAB, remembered=REMEMBERED_CHUNKS)
 
 
 STAGES = [

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -50,7 +49,7 @@ def insert_into_store(
     that comes with another text under the same ``key`` then stands for that text only; chunks that
     no document stands for any more are not read, and serve again if their content returns. Of a
     key that comes twice the greatest content id counts. Running it again changes nothing: chunks
-    are merged before the documents that point to them.
+    are added before the documents that point to them, and stored ones stay where they are.
     """
     spark = docs.sparkSession
     named = docs.withColumn("document_id", documents.document_id(F.col(text_col)))
@@ -67,8 +66,8 @@ def insert_into_store(
     chunks = content.chunk_documents(fresh, text_col, ("document_id",), **chunking)
     embedded = models.embed_texts(chunks, make_embedder, dim, "chunk")
     embedded = embedded.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(chunk_schema)])
-    by_content = partial(merge.replace_observations, key="document_id")
-    store.merge_buckets(spark, held, embedded, "document_id", by_content, buckets)
+    # Known content is left out above, so no stored chunk is replaced.
+    store.add_to_buckets(spark, held, embedded, "document_id", buckets)
 
     def latest(old: DataFrame, rows: DataFrame) -> DataFrame:
         return merge.upsert(old, rows, [key], ["document_id", path_col], ["document_id"])

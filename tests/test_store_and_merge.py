@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reportloom.operators import retrieval
 from reportloom.plans import knowledge as kn
+from reportloom.streaming import store
 
 DDL = "doc_id long, text string, file_path string"
 
@@ -89,3 +90,23 @@ def test_summaries_are_bounded_and_whole(spark):
     assert retrieval.summarise_descriptions(told.where(F.lit(False)), ["name"], adding).count() == 0
     with pytest.raises(ValueError):
         retrieval.summarise_descriptions(told, ["name"], adding, most=1)
+
+
+def test_new_content_moves_no_stored_chunk_and_files_stay_few(spark, tmp_path):
+    path = str(tmp_path / "index")
+
+    def insert(rows):
+        kn.insert_into_store(spark.createDataFrame(rows, DDL), path, _embedder_without(), 2, buckets=2, size=5, overlap=1)
+
+    def files():
+        return {f for f in spark.read.parquet(f"{path}/chunks").inputFiles() if "_bucket=-1" not in f}
+
+    insert([(i, f"first text {i}", "a") for i in range(20)])
+    first = files()
+    insert([(100 + i, f"second text {i}", "b") for i in range(20)])
+    assert first and first < files()
+    for n in range(store.FILES + 2):
+        insert([(1000 * (n + 2) + i, f"more {n} text {i}", "c") for i in range(9)])
+    assert len(files()) <= 2 * store.FILES
+    got = kn.stored_chunks(spark, path)
+    assert got.count() == got.select("document_id").distinct().count() == 40 + 9 * (store.FILES + 2)

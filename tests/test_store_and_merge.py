@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reportloom.operators import retrieval
+from reportloom.operators import merge, retrieval
 from reportloom.plans import knowledge as kn
 from reportloom.streaming import store
 
@@ -110,3 +110,10 @@ def test_new_content_moves_no_stored_chunk_and_files_stay_few(spark, tmp_path):
     assert len(files()) <= 2 * store.FILES
     got = kn.stored_chunks(spark, path)
     assert got.count() == got.select("document_id").distinct().count() == 40 + 9 * (store.FILES + 2)
+
+
+def test_last_writer_of_whole_rows_travels_once(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "w"), ("a", None, "z"), (None, 1, None), (None, 1, "u"), ("b", None, None)], "k string, at int, text string")
+    best = merge.latest_per_key(rows, ["k"], ["at", "text"])
+    assert {tuple(r) for r in best.collect()} == {("a", 2, "w"), (None, 1, "u"), ("b", None, None)}
+    assert "max_by" not in best._jdf.queryExecution().toString()

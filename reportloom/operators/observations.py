@@ -6,8 +6,11 @@ shuffled and expensive rules run once per document.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions import labs, text as tx
@@ -69,7 +72,6 @@ _VALUE_TITLES = ("result", "value", "observed value")
 _UNIT_TITLES = ("unit", "units")
 _RANGE_TITLES = ("reference range", "reference", "range", "biological reference interval")
 _STATUS_TITLES = ("status", "flag")
-_SEPARATOR_ROW = r"^\|[\s:|\-]*-[\s:|\-]*$"
 # Rows inside a table that are no measurement: person banners, range notes, labelled headings.
 _NO_ANALYTE = (
     r"(?i)^(?:patient|name|dob|date of birth|age|gender|sex|ref(?:erence)?|test date|report date|collected|collection date"
@@ -77,128 +79,135 @@ _NO_ANALYTE = (
 )
 
 
-def _cells(line: Column) -> Column:
-    inner = F.regexp_replace(line, r"^\||\|$", "")
-    return F.transform(F.split(inner, r"\|", -1), tx.strip)
-
-
-def _place(titles: Column, names: tuple[str, ...]) -> Column:
-    """1-based place of the first column with one of these titles, 0 when absent."""
-    return F.greatest(*[F.array_position(titles, n) for n in names]).cast("int")
-
-
-def _layout(first: Column) -> Column:
-    """Where the fields are, from the first row of a table: its titles, else its shape."""
-
-    def layout(has_titles, name, value, unit, ref, status, flag=False) -> Column:
-        return F.struct(
-            F.lit(has_titles).alias("has_titles"),
-            (flag if isinstance(flag, Column) else F.lit(flag)).alias("blank_is_normal"),
-            *[
-                (x if isinstance(x, Column) else F.lit(x)).cast("int").alias(k)
-                for k, x in (("name", name), ("value", value), ("unit", unit), ("ref", ref), ("status", status))
-            ],
-        )
-
-    def titled(titles: Column) -> Column:
-        at = layout(
-            True,
-            _place(titles, _NAME_TITLES),
-            _place(titles, _VALUE_TITLES),
-            _place(titles, _UNIT_TITLES),
-            _place(titles, _RANGE_TITLES),
-            _place(titles, _STATUS_TITLES),
-            F.array_contains(titles, "flag"),
-        )
-        return tx.bind(at, lambda a: F.when((a["name"] > 0) & (a["value"] > 0), a))
-
-    third_is_range = F.get(first, F.lit(2)).rlike(rf"{labs.RANGE}\s*$")
-    by_place = (
-        F.when(F.size(first) >= 5, layout(False, 1, 2, 3, 4, 5))
-        .when((F.size(first) == 4) & third_is_range, layout(False, 1, 2, 0, 3, 4))
-        .when(F.size(first) == 4, layout(False, 1, 2, 3, 0, 4))
-        .otherwise(layout(False, 1, 2, 0, 0, 3))
-    )
-    return F.coalesce(tx.bind(F.transform(first, lambda c: F.lower(c)), titled), by_place)
-
-
-def _table_row(cells: Column, at: Column, table_no: Column, row_no: Column) -> Column:
-    def cell(field: str) -> Column:
-        return F.get(cells, at[field] - 1)
-
-    tail_range = rf"({labs.NUMBER}\s*-\s*{labs.NUMBER})\s*$"
-
-    def row(parts: Column) -> Column:
-        number, ref, status = parts["number"], parts["ref"], cell("status")
-        rest = F.trim(F.regexp_replace(cell("value"), labs.CELL_VALUE, ""))
-        return F.struct(
-            table_no.alias("table_no"),
-            row_no.alias("row_no"),
-            cell("name").alias("analyte"),
-            F.when(number != "", number).otherwise(cell("value")).alias("value"),
-            # Some unit and range cells both hold "unit low - high".
-            F.when(at["unit"] > 0, F.trim(F.regexp_replace(cell("unit"), tail_range, "")))
-            .when(number != "", rest)
-            .otherwise("")
-            .alias("unit"),
-            F.when(ref != "", ref).otherwise(F.coalesce(cell("ref"), F.lit(""))).alias("ref_range"),
-            F.coalesce(status, F.lit("")).alias("status"),
-            F.coalesce(
-                labs.normalize_status(status), F.when(at["blank_is_normal"] & (status == ""), "NORMAL")
-            ).alias("status_code"),
-        )
-
-    found = F.struct(
-        labs.cell_value(cell("value")).alias("number"),
-        F.regexp_extract(cell("ref"), tail_range, 1).alias("ref"),
-    )
-    return tx.bind(found, row)
+_FIELDS = (_NAME_TITLES, _VALUE_TITLES, _UNIT_TITLES, _RANGE_TITLES, _STATUS_TITLES)
+_FIELD_OF = {title: field for field, titles in enumerate(_FIELDS) for title in titles}
+_ENDS_IN_RANGE = re.compile(rf"{labs.RANGE}\s*\Z", re.ASCII)
+_MARKS = " \t:|-"  # what a ``|---|`` line is made of
+
+
+def _pipe_tables(text: str) -> list[list[str]]:
+    """The stripped lines of every pipe table, without its ``|---|`` lines."""
+    # str.splitlines and str.strip know the line ends and blanks of ``functions.text``.
+    lines = [s for s in [line.strip() for line in text.splitlines() if "|" in line] if s[0] == "|" and len(s) > 2]
+    starts, below = [], 0
+    for i in [i for i, s in enumerate(lines) if s[1] in _MARKS and not s.strip(_MARKS)][::-1]:
+        # A line of nothing but marks belongs to the ``|---|`` line below it.
+        if i and ("-" in lines[i] or below == i + 1):
+            starts.append(i - 1)
+            below = i
+    tables, end = [], len(lines)
+    for start in starts:
+        if end > start + 1:
+            tables.append([s for s in lines[start:end] if "-" not in s or s.strip(_MARKS)])
+        end = start
+    return tables[::-1]
+
+
+def _cells(line: str) -> list[str]:
+    return list(map(str.strip, (line[1:-1] if line[-1] == "|" else line[1:]).split("|")))
+
+
+def _layout(first: list[str]) -> tuple[bool, bool, list[int]]:
+    """(first row is titles, a blank status is normal, places of name, value, unit, range, status or -1)."""
+    at, titles = [-1] * 5, [c.lower() for c in first]
+    for place, title in enumerate(titles):
+        field = _FIELD_OF.get(title)
+        if field is not None and titles.index(title) == place:
+            at[field] = place
+    if at[0] >= 0 and at[1] >= 0:
+        return True, "flag" in titles, at
+    if len(first) >= 5:
+        return False, False, [0, 1, 2, 3, 4]
+    if len(first) == 4:
+        return False, False, [0, 1, -1, 2, 3] if _ENDS_IN_RANGE.search(first[2]) else [0, 1, 2, -1, 3]
+    return False, False, [0, 1, -1, -1, 2]
+
+
+def _table_cells(text: str, number: int, out: list[tuple]) -> None:
+    """Add (number, table_no, row_no, name, value, unit, range, status, has_unit, blank_is_normal) per row with a name and a value."""
+    for table_no, lines in enumerate(_pipe_tables(text)):
+        if not lines:
+            continue
+        first = _cells(lines[0])
+        has_titles, blank_is_normal, (name, value, unit, ref, status) = _layout(first)
+        for row_no, line in enumerate(lines[1:] if has_titles else lines):
+            cells = _cells(line)
+            n = len(cells)
+            if n > name and n > value and cells[name] and cells[value]:
+                out.append((
+                    number, table_no, row_no, cells[name], cells[value],
+                    cells[unit] if 0 <= unit < n else None,
+                    cells[ref] if 0 <= ref < n else None,
+                    cells[status] if 0 <= status < n else None,
+                    unit >= 0, blank_is_normal,
+                ))
+
+
+_CELL_FIELDS = {
+    "table_no": pa.int32(), "row_no": pa.int32(), "analyte": pa.string(), "_value": pa.string(), "_unit": pa.string(),
+    "_ref": pa.string(), "status": pa.string(), "_has_unit": pa.bool_(), "_blank_is_normal": pa.bool_(),
+}
+_CELL_TYPES = "table_no int, row_no int, analyte string, _value string, _unit string, _ref string, status string, _has_unit boolean, _blank_is_normal boolean"
+_TEXTS = 1000  # texts read at a time
+
+
+def _cut_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body over (keep..., text): the cells of all table rows, with the kept columns."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _TEXTS):
+            part, found = batch.slice(start, _TEXTS), []
+            for number, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                if text and "|" in text:
+                    _table_cells(text, number, found)
+            if found:
+                numbers, *cells = zip(*found, strict=True)
+                at = pa.array(numbers, pa.int32())
+                kept = [c.take(at) for c in part.columns[:-1]]
+                cut = [pa.array(c, t) for c, t in zip(cells, _CELL_FIELDS.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *cut], names=[*part.schema.names[:-1], *_CELL_FIELDS])
 
 
 def table_observations(
     docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("report_id",)
 ) -> DataFrame:
     """Rows of all pipe tables: (keep..., table_no, row_no, analyte, value, unit, ref_range,
-    status, value_num, status_code).
+    status, status_code, value_num).
 
     A table starts at the line before a ``|---|`` line; pipe lines before the first of these
     are no table. Its first row is a header when it has a name and a value title; otherwise it is
     data and the fields go by position. Banner, range and heading rows are left out. Values stay
     whole (``1,200``, ``<0.5``, words); ``value_num`` is NULL unless they are a number. A blank
     cell in a ``Flag`` column means normal.
+
+    Tables are cut into cells a batch of texts at a time; the rules of the cells are plain columns.
     """
-    pipes = F.filter(
-        F.transform(F.split(tx.plain_breaks(F.col(text_col)), "\n", -1), tx.strip),
-        lambda s: F.startswith(s, F.lit("|")) & (F.length(s) > 2),
-    )
-    joined = F.array_join(pipes, "\n")
-    separated = r"^[^\n]*\n\|[\s:|\-]*-[\s:|\-]*(?:\n|$)"
-    tables = F.filter(
-        F.split(joined, r"\n(?=[^\n]*\n\|[\s:|\-]*-[\s:|\-]*(?:\n|$))", -1), lambda b: b.rlike(separated)
+    kept = docs.select(*keep)
+    # Python reads valid UTF-8 only.
+    texts = docs.select(*keep, F.make_valid_utf8(F.col(text_col)).alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    rows = texts.mapInArrow(_cut_tables, f"{fields}, {_CELL_TYPES}" if fields else _CELL_TYPES)
+    # What is no measurement goes first: the other rules are dearer.
+    rows = rows.where(~F.col("analyte").rlike(_NO_ANALYTE) & ~labs.is_header_word(F.col("analyte")))
+    tail_range = rf"({labs.NUMBER}\s*-\s*{labs.NUMBER})\s*$"
+    rows = rows.withColumns({"_number": labs.cell_value(F.col("_value")), "_tail": F.regexp_extract("_ref", tail_range, 1)})
+    number, blank = F.col("_number") != "", F.lit("")
+    rows = rows.select(
+        *kept.columns,
+        "table_no",
+        "row_no",
+        "analyte",
+        F.when(number, F.col("_number")).otherwise(F.col("_value")).alias("value"),
+        # Some unit and range cells both hold "unit low - high".
+        F.when(F.col("_has_unit"), F.trim(F.regexp_replace("_unit", tail_range, "")))
+        .when(number, F.trim(F.regexp_replace("_value", labs.CELL_VALUE, "")))
+        .otherwise("")
+        .alias("unit"),
+        F.when(F.col("_tail") != "", F.col("_tail")).otherwise(F.coalesce("_ref", blank)).alias("ref_range"),
+        F.coalesce("status", blank).alias("status"),
+        F.coalesce(
+            labs.normalize_status(F.col("status")), F.when(F.col("_blank_is_normal") & (F.col("status") == ""), "NORMAL")
+        ).alias("status_code"),
     )
-
-    def read(block: Column, table_no: Column) -> Column:
-        lines = F.filter(F.split(block, "\n", -1), lambda s: ~s.rlike(_SEPARATOR_ROW) & (s != ""))
-
-        def rows(all_cells: Column) -> Column:
-            def data(at: Column) -> Column:
-                start = F.when(at["has_titles"], F.lit(2)).otherwise(F.lit(1))
-                body = F.slice(all_cells, start, F.greatest(F.size(all_cells), F.lit(1)))
-                return F.filter(
-                    F.transform(body, lambda c, i: _table_row(c, at, table_no, i)),
-                    lambda r: (r["analyte"] != "")
-                    & (r["value"] != "")
-                    & ~r["analyte"].rlike(_NO_ANALYTE)
-                    & ~labs.is_header_word(r["analyte"]),
-                )
-
-            return tx.bind(_layout(F.get(all_cells, F.lit(0))), data)
-
-        return tx.bind(F.transform(lines, _cells), rows)
-
-    # A search for a separator row by itself spares all other texts the rest.
-    found = F.when(F.col(text_col).rlike(r"\|[ \t:|]*-"), F.flatten(F.transform(tables, read)))
-    rows = docs.select(*keep, F.inline(found))
     return rows.withColumn("value_num", labs.cell_number(F.col("value")))
 
 

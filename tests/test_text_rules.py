@@ -268,3 +268,17 @@ def test_every_header_label_passes_its_cheap_test(spark):
     assert got["a"] == ["LEE, ANN", "P7", "1970-01-02", "f", "Iron", "2024-02-03", "2024-05-04", "S1", "A1"]
     assert got["b"] == got["c"] == [None] * 9
     assert set(obs._LABEL_WORDS) == set(obs.HEADER_LABELS)
+
+
+def test_tables_are_cut_once_and_cell_rules_are_plain_columns(spark):
+    """The cell rules ran in nested lambdas, interpreted and copied at every level."""
+    text = "| A | B |\n| : |\n|---|\n| Iron | 7 |\n| | 3 |\n| TSH | <0.5 uIU/mL | 0.4 - 4 |\n|Test|Result|Flag|\n|-|-|-|\n|x|1,200||"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "no table")], "report_id int, text string")
+    got = obs.table_observations(docs)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = [tuple(r) for r in got.orderBy("table_no", "row_no").collect()]
+    assert rows == [
+        (1, 0, 1, "Iron", "7", "", "", "", None, 7.0),
+        (1, 0, 3, "TSH", "<0.5", "uIU/mL", "", "0.4 - 4", None, None),
+        (1, 1, 0, "x", "1,200", "", "", "", "NORMAL", 1200.0),
+    ]

@@ -47,7 +47,7 @@ report_texts AS (
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One short report per order line: name line, value line, pipe table."""
     needed = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate"]
-    lines = spread(table(spark, sf_dir, "lineitem").select(*needed))
+    lines = spread(table(spark, sf_dir, "lineitem").select(*needed), *needed)
     parts = table(spark, sf_dir, "part")
     joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
     first = F.split_part("p_name", F.lit(" "), F.lit(1))

@@ -1,7 +1,7 @@
 """Measured values from report text: value lines, pipe tables, cards, header fields.
 
-All readers work on arrays inside the document row and end in one generator, so nothing is
-shuffled and expensive rules run once per document.
+All readers work inside the document row and end in one generator, so nothing is shuffled and
+expensive rules run once per document.
 """
 
 from __future__ import annotations
@@ -10,14 +10,33 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions import labs, text as tx
 from reportloom.session import workspace
 
-# A record separator cannot occur inside a line: it ends lines.
-_SEP = "\x1e"
+_TEXTS = 1000  # texts read at a time
+
+_VALUE_ROW = re.compile(labs.VALUE_ROW, re.ASCII)
+# Every match holds a blank before a digit; this cheap test spares prose the full rule.
+_BLANK_DIGIT = re.compile(r"\s-?\d", re.ASCII)
+_ROW_FIELDS = {"obs_no": pa.int32(), "analyte": pa.string(), "value": pa.string(), "unit": pa.string(), "ref_range": pa.string()}
+
+
+def _value_rows(text: str, max_rows: int | None, max_line: int | None) -> list[tuple]:
+    """(obs_no, analyte, value, unit, ref_range) of every line that holds a value."""
+    rows = []
+    # str.splitlines and str.strip know the line ends and blanks of ``functions.text``.
+    for line in map(str.strip, text.splitlines()):
+        if _BLANK_DIGIT.search(line) and (max_line is None or len(line) <= max_line):
+            found = _VALUE_ROW.search(line)
+            if found:
+                analyte, value, unit, _, ref = found.groups("")
+                if analyte.lower() not in labs.HEADER_WORDS:
+                    rows.append((len(rows), analyte.strip(" "), value, unit, ref))
+    return rows if max_rows is None else rows[:max_rows]
 
 
 def observation_rows(text: Column, max_rows: int | None = None, max_line: int | None = None) -> Column:
@@ -26,25 +45,24 @@ def observation_rows(text: Column, max_rows: int | None = None, max_line: int |
     ``obs_no`` numbers the rows of a document in text order. Every line and row counts unless
     ``max_line`` (characters) or ``max_rows`` is given.
     """
-    lines = F.transform(F.split(tx.plain_breaks(text), "\n", -1), tx.strip)
-    # Every match holds a blank before a digit; this cheap test spares prose the full rule.
-    fits = (lambda s: F.length(s) <= max_line) if max_line is not None else (lambda s: F.lit(True))
-    short = F.filter(lines, lambda s: fits(s) & s.rlike(r"\s-?\d"))
-    once = rf"(?s)^.*?{labs.VALUE_ROW}.*$"
-    fields = F.transform(
-        short, lambda s: F.split(F.regexp_replace(s, once, f"$1{_SEP}$2{_SEP}$3{_SEP}$5"), _SEP, -1)
-    )
-    kept = F.filter(fields, lambda f: (F.size(f) == 4) & ~labs.is_header_word(F.get(f, F.lit(0))))
-    return F.transform(
-        kept if max_rows is None else F.slice(kept, 1, max_rows),
-        lambda f, i: F.struct(
-            i.alias("obs_no"),
-            F.trim(F.get(f, F.lit(0))).alias("analyte"),
-            F.get(f, F.lit(1)).alias("value"),
-            F.get(f, F.lit(2)).alias("unit"),
-            F.get(f, F.lit(3)).alias("ref_range"),
-        ),
-    )
+
+    @F.arrow_udf("array<struct<obs_no:int,analyte:string,value:string,unit:string,ref_range:string>>")
+    def rows(texts: pa.Array) -> pa.Array:
+        # In slices, so that the strings of a batch are not all held as Python objects.
+        return pa.chunked_array([read(texts.slice(i, _TEXTS)) for i in range(0, len(texts), _TEXTS)], kind).combine_chunks()
+
+    kind = pa.list_(pa.struct(list(_ROW_FIELDS.items())))
+
+    def read(texts: pa.Array) -> pa.Array:
+        found = [None if t is None else _value_rows(t, max_rows, max_line) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *(len(f) if f else 0 for f in found)])
+        starts = pa.array(ends, pa.int32(), mask=np.array([*(f is None for f in found), False]))
+        columns = zip(*(row for f in found if f for row in f), strict=True) if ends[-1] else [[]] * len(_ROW_FIELDS)
+        fields = [pa.array(c, t) for c, t in zip(columns, _ROW_FIELDS.values(), strict=True)]
+        return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays(fields, names=list(_ROW_FIELDS)))
+
+    # Python reads valid UTF-8 only.
+    return rows(F.make_valid_utf8(text))
 
 
 def extract_observations(
@@ -148,7 +166,6 @@ _CELL_FIELDS = {
     "_ref": pa.string(), "status": pa.string(), "_has_unit": pa.bool_(), "_blank_is_normal": pa.bool_(),
 }
 _CELL_TYPES = "table_no int, row_no int, analyte string, _value string, _unit string, _ref string, status string, _has_unit boolean, _blank_is_normal boolean"
-_TEXTS = 1000  # texts read at a time
 
 
 def _cut_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -282,3 +282,24 @@ def test_tables_are_cut_once_and_cell_rules_are_plain_columns(spark):
         (1, 0, 3, "TSH", "<0.5", "uIU/mL", "", "0.4 - 4", None, None),
         (1, 1, 0, "x", "1,200", "", "", "", "NORMAL", 1200.0),
     ]
+
+
+ODD_TEXTS = [
+    None, "", "no label 4", "Name:\r\nLEE, ANN DOB 3\nIron 4.5 µg 1 - 2", "name: x\n\nTSH\t-3 (L) 0.4-4 5 6",
+    "First Name: ann\nGiven Name: Bo\nSurname Name: O'NEIL-LEE\nResult 5", "| Patient | LEE, ANN |\x85Name: Bo Ray 42 Zinc\xa04 Zinc 5",
+]
+
+
+def test_value_lines_run_once_per_text(spark):
+    """The line rules ran in nested lambdas, interpreted and copied at every level."""
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "report_id int, text string")
+    got = obs.extract_observations(docs)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.orderBy("report_id", "obs_no").collect()] == [
+        (2, 0, "no label", "4", "", ""),
+        (3, 0, "ANN DOB", "3", "", ""),
+        (3, 1, "Iron", "4.5", "µg", "1 - 2"),
+        (4, 0, "TSH", "-3", "", "0.4-4"),
+        (6, 0, "Bo Ray", "42", "", ""),
+        (6, 1, "Zinc", "5", "", ""),
+    ]

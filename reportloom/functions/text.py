@@ -1,10 +1,12 @@
-"""Line, whitespace and person-name rules as column expressions."""
+"""Line, whitespace and person-name rules as column expressions, and for one text at a time."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # Line ends and blank characters that text readers elsewhere treat as such; Java's own
@@ -34,6 +36,8 @@ FIELD_CONFIDENCE = 0.98
 LINE_CONFIDENCE = 0.93
 LABEL_CONFIDENCE = 0.94
 
+_TEXTS = 1000  # texts read at a time
+
 
 def strip(col: Column) -> Column:
     """Trim every blank character, not just the space."""
@@ -63,16 +67,6 @@ def lines_of(text: Column) -> Column:
     return F.filter(split_lines(text), lambda line: line != "")
 
 
-def lines_with(text: Column, *words: str) -> Column:
-    """Stripped lines of a plain-break text that hold one of the lower-case words in any case."""
-
-    def wanted(line: Column) -> Column:
-        low = F.lower(line)
-        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-
-    return F.transform(F.filter(F.split(text, "\n", -1), wanted), strip)
-
-
 def join_wrapped_labels(text: Column) -> Column:
     """Give a bare ``Name:`` line the following non-blank line as its value.
 
@@ -82,18 +76,6 @@ def join_wrapped_labels(text: Column) -> Column:
     return F.regexp_replace(F.array_join(lines_of(text), "\n"), WRAPPED_LABEL, "Name: $1")
 
 
-def label_lines(text: Column) -> Column:
-    """The lines a name can be read from, wrapped labels joined with their values."""
-    plain = lines_with(plain_breaks(text), "name", "patient")
-    return bind(
-        plain,
-        lambda lines: F.when(
-            F.exists(lines, lambda s: s.rlike(BARE_LABEL)),
-            lines_with(join_wrapped_labels(text), "name", "patient"),
-        ).otherwise(lines),
-    )
-
-
 def title_case_name(name: Column, hyphens: bool = False) -> Column:
     """Capitalise each word and each part after an apostrophe.
 
@@ -131,71 +113,109 @@ def normalize_name(raw: Column, whole_words: bool = False, hyphens: bool = False
     )
 
 
-def name_from_fields(lines: Column) -> Column:
-    """Name from separate first/middle/last label lines; the last of each kind counts."""
-    hits = F.filter(lines, lambda s: s.rlike(FIELD_PATTERN))
-    pairs = F.filter(
-        F.transform(
-            hits,
-            lambda s: F.struct(
-                F.lower(F.regexp_extract(s, FIELD_PATTERN, 1)).alias("kind"),
-                F.trim(clean_tail(F.regexp_extract(s, FIELD_PATTERN, 2)), F.lit(" ,")).alias("val"),
-            ),
-        ),
-        lambda p: p["val"] != "",
+# The rules above for one text at a time: in nested lambdas of columns every step is interpreted and
+# copied. str.splitlines and str.strip know the line ends and blanks named at the top.
+_NAME, _ALT_NAME, _PATIENT, _PIPE_CELL, _FIELD, _BARE, _WRAPPED = (
+    re.compile(p, re.ASCII)
+    for p in (
+        NAME_PATTERN, ALT_NAME_PATTERN, PATIENT_PATTERN, PIPE_CELL_PATTERN, FIELD_PATTERN,
+        # Java's flag d: a newline is the only line end, as always here.
+        BARE_LABEL.replace("(?imd)", "(?im)"), WRAPPED_LABEL.replace("(?imd)", "(?im)"),
     )
+)
+_TAIL = re.compile(r"(?is)(?<=.) (?:" + "|".join(TAIL_WORDS) + ").*$", re.ASCII)
+_LAST_FIRST = re.compile(r"(?s)^([^,]*),\s*(\S.*)$", re.ASCII)
+_TWO_WORDS = re.compile(r"\S\s+\S", re.ASCII)
+_SPACE = re.compile(r"\s+", re.ASCII)
+
 
-    def full(found: Column) -> Column:
-        def last_of(*kinds: str) -> Column:
-            return F.get(F.reverse(F.filter(found, lambda p: p["kind"].isin(*kinds))), F.lit(0))["val"]
+def _label_lines(text: str) -> list[str]:
+    """The lines a name can be read from, wrapped labels joined with their values."""
+
+    def labelled(some: str) -> list[str]:
+        lines = zip(some.splitlines(), some.lower().splitlines(), strict=True)
+        return [s.strip() for s, low in lines if "name" in low or "patient" in low]
+
+    found = labelled(text)
+    if not any(map(_BARE.search, found)):
+        return found
+    joined = "\n".join(s for s in map(str.strip, text.splitlines()) if s)
+    return labelled(_WRAPPED.sub(r"Name: \1", joined))
+
+
+def _title_case(name: str) -> str:
+    """``title_case_name`` of one name."""
+    words = [w for w in _SPACE.split(name.strip()) if w]
+    return " ".join("'".join(p[:1].upper() + p[1:].lower() for p in w.split("'")) for w in words)
+
+
+def _cleaned(value: str) -> str:
+    """``clean_tail`` of one value, without commas around it."""
+    return _TAIL.sub("", value).strip().strip(" ,")
 
-        first, last = last_of("first", "given"), last_of("last", "surname")
-        name = title_case_name(F.concat_ws(" ", first, last_of("middle"), last))
-        return F.when((F.size(found) > 1) & first.isNotNull() & last.isNotNull(), name)
 
-    return bind(pairs, full)
+def _normalized(raw: str) -> str | None:
+    """``normalize_name`` of one value."""
+    name = _LAST_FIRST.sub(r"\2 \1", _cleaned(raw))
+    return _title_case(name) if _TWO_WORDS.search(name) else None
 
 
-def name_from_lines(lines: Column) -> Column:
+def _name_from_fields(lines: list[str]) -> str | None:
+    """Name from separate first/middle/last label lines; the last of each kind counts."""
+    pairs = [(m[1].lower(), _cleaned(m[2])) for m in map(_FIELD.search, lines) if m]
+    pairs = [p for p in pairs if p[1]]
+    if len(pairs) < 2:
+        return None
+    kind_of = {"given": "first", "surname": "last"}
+    found = {kind_of.get(kind, kind): value for kind, value in pairs}
+    if "first" not in found or "last" not in found:
+        return None
+    return _title_case(" ".join(found[k] for k in ("first", "middle", "last") if k in found))
+
+
+def _name_from_lines(lines: list[str]) -> str | None:
     """First usable name from a table cell, ``Patient:`` or ``Name:`` line (whole line)."""
-    patterns = (PIPE_CELL_PATTERN, PATIENT_PATTERN, ALT_NAME_PATTERN)
-    names = F.transform(
-        lines,
-        lambda s: F.coalesce(
-            *[F.when(s.rlike(p), normalize_name(F.regexp_extract(s, p, 1))) for p in patterns]
-        ),
-    )
-    return F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0))
+    for line in lines:
+        for pattern in (_PIPE_CELL, _PATIENT, _ALT_NAME):
+            found = pattern.search(line)
+            name = _normalized(found[1]) if found else None
+            if name is not None:
+                return name
+    return None
 
 
-def name_from_labels(lines: Column) -> Column:
+def _name_from_labels(lines: list[str]) -> str | None:
     """First usable name from a ``Name:`` line that goes on after the name."""
-    hits = F.filter(lines, lambda s: s.rlike(NAME_PATTERN))
-    names = F.transform(hits, lambda s: normalize_name(F.regexp_extract(s, NAME_PATTERN, 1)))
-    return F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0))
+    names = (_normalized(m[1]) for m in map(_NAME.search, lines) if m)
+    return next((n for n in names if n is not None), None)
+
+
+def _person_name(text: str) -> tuple[str, float] | None:
+    lines = _label_lines(text)
+    if not lines:
+        return None
+    rules = ((_name_from_fields, FIELD_CONFIDENCE), (_name_from_lines, LINE_CONFIDENCE), (_name_from_labels, LABEL_CONFIDENCE))
+    for rule, confidence in rules:
+        name = rule(lines)
+        if name is not None:
+            return name, confidence
+    return None
 
 
 def person_name(text: Column) -> Column:
     """struct(name, confidence) by the best rule that yields a name, else NULL."""
-    def found(name: Column, confidence: float) -> Column:
-        return bind(
-            name,
-            lambda n: F.when(
-                n.isNotNull(), F.struct(n.alias("name"), F.lit(confidence).alias("confidence"))
-            ),
-        )
 
-    return bind(
-        label_lines(text),
-        lambda lines: F.when(
-            F.size(lines) > 0,
-            F.coalesce(
-                found(name_from_fields(lines), FIELD_CONFIDENCE),
-                found(name_from_lines(lines), LINE_CONFIDENCE),
-                found(name_from_labels(lines), LABEL_CONFIDENCE),
-            ),
-        ),
-    )
+    @F.arrow_udf("struct<name:string,confidence:double>")
+    def named(texts: pa.Array) -> pa.Array:
+        # In slices, so that the texts of a batch are not all held as Python objects.
+        parts = (texts.slice(i, _TEXTS).to_pylist() for i in range(0, len(texts), _TEXTS))
+        found = [t and _person_name(t) or None for part in parts for t in part]
+        fields = [pa.array([f and f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64()))]
+        none = pa.array([f is None for f in found], pa.bool_())
+        return pa.StructArray.from_arrays(fields, names=["name", "confidence"], mask=none)
+
+    # Python reads valid UTF-8 only.
+    return named(F.make_valid_utf8(text))
 
 
 def decode_ignoring_errors(content: Column) -> Column:

@@ -303,3 +303,13 @@ def test_value_lines_run_once_per_text(spark):
         (6, 0, "Bo Ray", "42", "", ""),
         (6, 1, "Zinc", "5", "", ""),
     ]
+
+
+def test_name_rules_run_once_per_text(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "report_id int, text string")
+    got = names.extract_patient_name(docs)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.orderBy("report_id").collect()] == [
+        (0, None, None), (1, None, None), (2, None, None), (3, "Ann Lee", 0.94), (4, None, None),
+        (5, "Bo O'Neil-lee", 0.98), (6, "Ann Lee", 0.93),
+    ]

@@ -34,7 +34,7 @@ def stage_reports(parsed: DataFrame, path: str, parts: tuple[str, ...] = PARTS)
         said.append(tx.person_name(F.col("text")).alias("found"))
     if "observations" in parts:
         said.append(obs.observation_rows(F.col("text")).alias("rows"))
-    rows = parsed.select(*_KEYS, F.inline(F.array(F.struct(*said)))) if said else parsed.select(*_KEYS)
+    rows = parsed.select(*_KEYS, *said)
     rows.write.mode("overwrite").parquet(path)
     return parsed.sparkSession.read.schema(rows.schema).parquet(path)
 

@@ -313,3 +313,16 @@ def test_name_rules_run_once_per_text(spark):
         (0, None, None), (1, None, None), (2, None, None), (3, "Ann Lee", 0.94), (4, None, None),
         (5, "Bo O'Neil-lee", 0.98), (6, "Ann Lee", 0.93),
     ]
+
+
+def test_names_are_staged_as_plain_columns(spark, tmp_path):
+    from reportloom.plans import hydrate as hy
+
+    parsed = spark.createDataFrame(
+        [("r", "P1", "CBC", None, "in/r", "Name: LEE, ANN\nIron 4 mg"), ("s", "P2", "CBC", None, "in/s", None)],
+        "report_id string, patient_id string, test_type string, report_date date, src_path string, text string",
+    )
+    rows = hy.stage_reports(parsed, str(tmp_path / "all")).orderBy("report_id").collect()
+    assert tuple(rows[0].found) == ("Ann Lee", 0.93) and rows[1].found is None
+    assert [tuple(r) for r in rows[0].rows] == [(0, "Iron", "4", "mg", "")] and rows[1].rows is None
+    assert "lambda" not in parsed.select(tx.person_name(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()

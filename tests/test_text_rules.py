@@ -326,3 +326,19 @@ def test_names_are_staged_as_plain_columns(spark, tmp_path):
     assert tuple(rows[0].found) == ("Ann Lee", 0.93) and rows[1].found is None
     assert [tuple(r) for r in rows[0].rows] == [(0, "Iron", "4", "mg", "")] and rows[1].rows is None
     assert "lambda" not in parsed.select(tx.person_name(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_report_texts_are_dealt_without_a_sort(spark, tmp_path):
+    """Dealing order lines in turns sorted all of them first."""
+    from reportloom.suite import tables as tb
+
+    spark.sql(
+        "SELECT id AS l_suppkey, id AS l_orderkey, 1 AS l_linenumber, id % 2 AS l_partkey, 3.0D AS l_quantity, 'R' AS l_returnflag,"
+        " timestamp '2024-01-02' AS l_shipdate FROM range(4)"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT id AS p_partkey, 'a b' AS p_name, 'B' AS p_brand, 'T' AS p_type, 5 AS p_size FROM range(2)").write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    texts = tb.report_texts(spark, str(tmp_path))
+    assert "RoundRobinPartitioning" not in texts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.report_id for r in texts.collect()) == [f"P{i}_T_20240102_o{i}_1" for i in range(4)]

@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reportloom.llm import boost
-from reportloom.llm.common import ROW, components, with_rank, with_row_key
+from reportloom.llm import boost, embed
+from reportloom.llm.common import ROW, components, stage_table, with_rank, with_row_key
 from reportloom.llm.embed import near_vectors
 from reportloom.llm.quality import quality
 from reportloom.llm.shards import _levels_of, hilbert_index, shard_documents, text_levels, write_shards
@@ -81,6 +81,30 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_of_many_blocks_move_no_copies(spark, monkeypatch, kind):
+    """Blocks meet in tasks that read both from their files: no vector is shuffled or written for each block it meets."""
+    staged = {}
+
+    def keep(df, name):
+        staged.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return stage_table(df, name)
+
+    for name, value in (("stage_table", keep), ("BLOCK", 30), ("TILE", 8), ("FILE_BLOCKS", 2)):
+        monkeypatch.setattr(embed, name, value, raising=False)
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(150, 10))
+    x = np.concatenate([base, base + rnd.normal(size=base.shape) * 0.15, base[:40]]).astype("f4" if kind == "float" else "f8")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(len(x), [3.0, 4.0]), (len(x) + 1, [6.0, 8.0])]
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
+    u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    want = _parts(len(x), [(i, j) for i in range(len(x)) for j in range(i) if near[i, j]])
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == [(near[i].sum() - 1, want[i]) for i in range(len(x))]
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (len(x), len(x) + 1)] == [(1, len(x))] * 2
+    assert "Exchange" not in staged["found"]
+
+
 def test_hilbert_neighbours_touch():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import random
 
 from pyspark.sql import Row, functions as F
 
 from reportloom.operators import chat, merge
+from reportloom.session import SHUFFLE_CLEANUP, passing_shuffles
 from reportloom.streaming import context as live, jobs as st, store
+from reportloom.suite import jobs as suite_jobs
 
 
 def run(query):
@@ -82,6 +85,60 @@ def test_untouched_buckets_are_not_written(spark, tmp_path):
     assert st.current_rows(spark, out).where("v < 0").count() == 1 and st.current_rows(spark, out).count() == 500
 
 
+def test_buckets_merged_in_rounds_give_the_same_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ROUND_BYTES", 2_000, raising=False)
+    monkeypatch.setattr(store, "FILE_BYTES", 100, raising=False)
+    written = []
+    overwrite = store._overwrite
+    monkeypatch.setattr(store, "_overwrite", lambda *a: written.append(1) or overwrite(*a))
+    out = str(tmp_path / "out")
+    key = F.concat(F.lit("r"), F.col("id") % 200)
+    old = spark.range(600).select(F.when(F.col("id") % 200 != 0, key).alias("report_id"), F.col("id").alias("v"))
+    new = spark.range(900, 1000).select(key.alias("report_id"), F.col("id").alias("v"))
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")
+    try:
+        for rows in (old, new, new):
+            store.merge_buckets(spark, out, rows, "report_id", merge.replace_observations, buckets=8)
+    finally:
+        spark.conf.set(small, "true")
+    want = [tuple(r) for r in merge.replace_observations(old, new).collect()]
+    got = [tuple(r) for r in st.current_rows(spark, out).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len(written) > 3 * 2  # several rounds for each merge
+    files = [f.split("_bucket=")[1].split("/")[0] for f in spark.read.parquet(out).inputFiles()]
+    assert max(map(files.count, files)) > 1  # a bucket has several files, written by several tasks
+
+
+def test_ingest_leaves_only_its_tables(spark, tmp_path, monkeypatch):
+    """What a job stages is gone when it ends, and its own copy of the source but for the last batch."""
+    numbers = itertools.count()
+    for module in (suite_jobs, st, store):
+        monkeypatch.setattr(module, "workspace", lambda _, name: f"{tmp_path}/{name}-{next(numbers)}")
+    docs = spark.range(400).select(
+        F.concat(F.lit("P"), "id", F.lit("_LFT_20240101_x")).alias("report_id"),
+        F.concat(F.lit("Name: Ann Lee\nIron "), "id", F.lit(" mg")).alias("text"),
+    )
+    stream = suite_jobs._stream(spark, "", docs, docs.columns, repeated=True)
+    staged = len(list(tmp_path.glob("stream-*/*.parquet")))
+    out = f"{tmp_path}/ingest"
+    run(st.stream_ingest_reports(stream, out, f"{tmp_path}/cp", buckets=4))
+    assert st.current_rows(spark, f"{out}/name_evidence").count() == 400
+    assert not [p for kind in ("dealt", "batch", "merge") for p in tmp_path.glob(f"{kind}-*/**/*.parquet")]
+    assert len(list(tmp_path.glob("stream-*/*.parquet"))) < staged
+
+
+def test_shuffles_pass_only_within_a_write(spark):
+    old = spark.conf.get(SHUFFLE_CLEANUP)
+    try:
+        with passing_shuffles(spark):
+            assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+            raise RuntimeError
+    except RuntimeError:
+        pass
+    assert spark.conf.get(SHUFFLE_CLEANUP) == old
+
+
 def test_an_ingest_batch_that_failed_is_merged_again(spark, tmp_path):
     """A crash after some tables: no marker, so the batch runs again from its start."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
